@@ -1,0 +1 @@
+"""Left empty on purpose: the capability set has no streaming operator (see README)."""
