@@ -64,8 +64,13 @@ def category_text(name: str, data_type: T.DataType) -> Column:
 
 def decimal_places(number: Column) -> Column:
     """Digits after the point in the shortest decimal text of a number."""
-    text = F.rtrim(number.try_cast(T.DecimalType(38, 18)).cast("string"), F.lit("0"))
-    return F.coalesce(F.length(F.regexp_extract(text, r"[.]([0-9]+)$", 1)), F.lit(0))
+    text = number.cast("string")
+    plain = F.rtrim(number.try_cast(T.DecimalType(38, 18)).cast("string"), F.lit("0"))  # for 1.0E-7 and such
+    return (
+        F.when(number.isNull() | (number == F.floor(number)), 0)
+        .when(~text.contains("E"), F.length(text) - F.instr(text, "."))
+        .otherwise(F.coalesce(F.length(plain) - F.instr(plain, "."), F.lit(0)))
+    )
 
 
 def round_half_up(number: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from twinframe.functions.cells import valid_number
@@ -24,38 +24,32 @@ class NumberStats:
     is_integer: bool
 
 
+def stat_fields(df: DataFrame, name: str) -> list[Column]:
+    value = valid_number(name, df.schema[name].dataType)
+    return [
+        F.lit(name).alias("column"),
+        F.coalesce(F.avg(value), F.lit(0.0)).alias("mean"),
+        F.coalesce(F.stddev_pop(value), F.lit(0.0)).alias("std"),
+        F.coalesce(F.min(value), F.lit(0.0)).alias("min"),
+        F.coalesce(F.max(value), F.lit(0.0)).alias("max"),
+        F.coalesce(F.bool_and(value == F.floor(value)), F.lit(False)).alias("is_integer"),
+    ]
+
+
 def synthesis_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     """Mean, population deviation, range and integrality per column; zeros when empty."""
-    facts = []
-    for name in columns:
-        value = valid_number(name, df.schema[name].dataType)
-        facts.append(
-            F.struct(
-                F.lit(name).alias("column"),
-                F.coalesce(F.avg(value), F.lit(0.0)).alias("mean"),
-                F.coalesce(F.stddev_pop(value), F.lit(0.0)).alias("std"),
-                F.coalesce(F.min(value), F.lit(0.0)).alias("min"),
-                F.coalesce(F.max(value), F.lit(0.0)).alias("max"),
-                F.coalesce(F.bool_and(value == F.floor(value)), F.lit(False)).alias("is_integer"),
-            )
-        )
-    return df.agg(F.array(*facts).alias("facts")).select(F.inline("facts"))
-
-
-def collect_stats(stats: DataFrame) -> dict[str, NumberStats]:
-    """Statistics on the driver, one row per column, at 12 significant digits.
+    facts = F.array(*[F.struct(*stat_fields(df, name)) for name in columns])
+    return df.agg(facts.alias("facts")).select(F.inline("facts"))
+
+
+def steady_stats(row: Row) -> NumberStats:
+    """Statistics for use in later expressions, at 12 significant digits.
 
     The order in which partial sums meet moves the last digits of a mean; rounding them off
     keeps distances, and so neighbour ties, the same in every run and partitioning.
     """
-
-    def steady(x: float) -> float:
-        return float(f"{x:.12g}")
-
-    return {
-        r["column"]: NumberStats(r["column"], steady(r["mean"]), steady(r["std"]), r["min"], r["max"], r["is_integer"])
-        for r in stats.collect()
-    }
+    mean, std = (float(f"{row[x]:.12g}") for x in ("mean", "std"))
+    return NumberStats(row["column"], mean, std, row["min"], row["max"], row["is_integer"])
 
 
 def two_sample_moments(orig: DataFrame, synth: DataFrame, columns: list[str]) -> DataFrame:

@@ -149,23 +149,23 @@ def apply_types(df: DataFrame, profiles: list[ColumnProfile]) -> DataFrame:
     return df.select(*[typed(name) for name in df.columns])
 
 
-def numerical_columns(df: DataFrame) -> list[str]:
-    """Columns that are numeric by type and have more distinct values than the limit.
+def distinct_sketch(field: T.StructField) -> Column:
+    return F.approx_count_distinct(_value(field))
+
+
+def surely_many(df: DataFrame, sketched: dict[str, int]) -> set[str]:
+    """Columns with more distinct values than the limit, given their distinct sketches.
 
     The sketch settles almost every column without shuffling distinct values: at most 10
     distinct values touch at most 10 of its registers, so an estimate above 20 proves more
     than 10 values. Only columns at or below 20 are counted exactly.
     """
-    fields = [f for f in df.schema if is_numeric_type(f.dataType)]
-    if not fields:
-        return []
-    sketch = df.agg(*[F.approx_count_distinct(_value(f)).alias(f"c{at}") for at, f in enumerate(fields)]).first()
-    many = {f.name for at, f in enumerate(fields) if sketch[at] > 2 * CARDINALITY_LIMIT}
-    unsure = [f for f in fields if f.name not in many]
+    many = {name for name, estimate in sketched.items() if estimate > 2 * CARDINALITY_LIMIT}
+    unsure = [name for name in sketched if name not in many]
     if unsure:
-        exact = df.agg(*[F.count_distinct(_value(f)).alias(f"c{at}") for at, f in enumerate(unsure)]).first()
-        many |= {f.name for at, f in enumerate(unsure) if exact[at] > CARDINALITY_LIMIT}
-    return [f.name for f in fields if f.name in many]
+        exact = df.agg(*[F.count_distinct(_value(df.schema[n])).alias(f"c{at}") for at, n in enumerate(unsure)]).first()
+        many |= {n for at, n in enumerate(unsure) if exact[at] > CARDINALITY_LIMIT}
+    return many
 
 
 def badge(profiled: DataFrame) -> DataFrame:
