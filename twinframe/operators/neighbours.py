@@ -183,13 +183,15 @@ def nearest_neighbours(
 def _by_broadcast(seeds: DataFrame, seed_count: int, originals: DataFrame, categories: int, k: int) -> DataFrame:
     spark = seeds.sparkSession
     table = originals.select(ROW_INDEX, "z", "cats").toArrow()
-    shared = spark.sparkContext.broadcast(_Candidates.of(table, categories))
+    gathered = _Candidates.of(table, categories)
+    # plain arrays: what is broadcast must unpickle without this module
+    shared = spark.sparkContext.broadcast((gathered.rows, gathered.z, gathered.codes, gathered.words))
     schema = T.StructType(
         [*seeds.schema.fields, T.StructField("neighbours", T.ArrayType(T._parse_datatype_string(NEIGHBOUR_TYPE)))]
     )
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        candidates = shared.value
+        candidates = _Candidates(*shared.value)
         for batch in batches:
             codes = candidates.encode(batch["cats"])
             query, target, rank, place, near = _search(candidates, _matrix(batch["z"], len(batch)), codes, k)
@@ -347,7 +349,9 @@ def _by_blocks(
     )
     leaves, sizes = boxes["leaf"].to_numpy(), boxes["size"].to_numpy()
     tree.enclose(leaves, _matrix(boxes["low"], len(boxes)), _matrix(boxes["high"], len(boxes)), sizes)
-    shared = spark.sparkContext.broadcast(tree)
+    shared = spark.sparkContext.broadcast(
+        (tree.depth, tree.numeric, tree.dims, tree.cuts, tree.low, tree.high, tree.sizes)
+    )
     parts = spark.createDataFrame(
         pa.table({"leaf": leaves, "parts": np.maximum(1, -(-sizes // (8 * rows_per_block)))})
     )
@@ -370,7 +374,7 @@ def _by_blocks(
     )
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        boxes = shared.value
+        boxes = _BlockTree(*shared.value)
         for batch in batches:
             for low in range(0, len(batch), 1024):
                 piece = batch.slice(low, 1024)

@@ -27,14 +27,14 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", multi_line: bool =
     of one task per file.
     """
     schema = T.StructType([T.StructField(name, T.StringType()) for name in _header(spark, path, sep)])
-    rows = spark.read.csv(
+    # a pruned scan would not notice malformed rows
+    rows = spark.read.option("columnPruning", False).csv(
         path,
         schema=schema,
         header=True,
         sep=sep,
         mode="FAILFAST",
         multiLine=multi_line,
-        columnPruning=False,
         escape='"',
         enforceSchema=False,
         ignoreLeadingWhiteSpace=False,
@@ -47,14 +47,13 @@ def read_csv_errors(spark: SparkSession, path: str, sep: str = ",") -> DataFrame
     """The malformed rows of a CSV source, for reporting instead of failing."""
     fields = [T.StructField(name, T.StringType()) for name in _header(spark, path, sep)]
     fields.append(T.StructField(BROKEN_ROW, T.StringType()))
-    rows = spark.read.csv(
+    rows = spark.read.option("columnPruning", False).csv(
         path,
         schema=T.StructType(fields),
         header=True,
         sep=sep,
         mode="PERMISSIVE",
         columnNameOfCorruptRecord=BROKEN_ROW,
-        columnPruning=False,
         escape='"',
     )
     return rows.where(F.col(BROKEN_ROW).isNotNull()).select(BROKEN_ROW)
