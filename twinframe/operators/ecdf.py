@@ -43,8 +43,9 @@ def pooled_ecdf(
     running = (
         Window.partitionBy("column", "_range").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    # offsets hold at most one row per column and range
-    return placed.join(F.broadcast(offsets), ["column", "_range"]).select(
+    # Offsets hold at most one row per column and range. The join is a left one because an inner
+    # join would test the range of every raw row for NULL, and so no longer share the shuffle.
+    return placed.join(F.broadcast(offsets), ["column", "_range"], "left").select(
         "column",
         "value",
         "c1",

@@ -18,6 +18,7 @@ from twinframe.sources.csv import ROW_INDEX
 ROWS_PER_RANGE = 1_000_000
 MAX_RANGES = 1024
 _SAMPLE_PER_RANGE = 48
+_COPIES_PER_PIECE = 100_000
 
 
 def range_edges(keys: DataFrame, rows: int, rows_per_range: int = ROWS_PER_RANGE) -> list[tuple]:
@@ -48,23 +49,48 @@ def range_of(keys: T.StructType, edges: list[tuple]) -> Column:
     )
 
 
+def _offsets(sizes: DataFrame) -> DataFrame:
+    """Rows in earlier ranges, from (_range, _rows): a table of at most MAX_RANGES rows."""
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.select("_range", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"))
+
+
 def with_row_index(df: DataFrame, order_by: list[str], rows_per_range: int = 100_000) -> DataFrame:
-    """Append the dense 0-based position of each row in the order of a unique key."""
+    """Append the dense 0-based position of each row in the order of a unique key.
+
+    When the key names every column, rows with equal keys are copies of each other: they are
+    counted, numbered as one group, and multiplied out again, so any number of copies is fine.
+    """
     keys = df.select(*order_by)
     edges = range_edges(keys, df.count(), rows_per_range)
+    if set(df.columns) <= set(order_by):
+        return _index_copies(keys, edges)
     placed = df.withColumn("_range", range_of(keys.schema, edges))
     within = F.row_number().over(Window.partitionBy("_range").orderBy(*order_by)) - 1
     if not edges:
         return placed.withColumn(ROW_INDEX, within.cast("bigint")).drop("_range")
-    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        placed.groupBy("_range")
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .select("_range", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"))
-    )
+    offsets = _offsets(placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows")))
     return (
         placed.withColumn("_within", within)
-        .join(F.broadcast(offsets), "_range")
+        .join(F.broadcast(offsets), "_range", "left")
         .withColumn(ROW_INDEX, (F.col("_offset") + F.col("_within")).cast("bigint"))
         .drop("_range", "_offset", "_within")
     )
+
+
+def _index_copies(rows: DataFrame, edges: list[tuple]) -> DataFrame:
+    groups = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_copies"))
+    placed = groups.withColumn("_range", range_of(rows.schema, edges))
+    offsets = _offsets(placed.groupBy("_range").agg(F.sum("_copies").alias("_rows")))
+    before = (
+        Window.partitionBy("_range").orderBy(*rows.columns).rowsBetween(Window.unboundedPreceding, -1)
+    )
+    first = F.col("_offset") + F.coalesce(F.sum("_copies").over(before), F.lit(0))
+    numbered = placed.join(F.broadcast(offsets), "_range", "left").withColumn("_first", first)
+    # copies of a hot row are made by several tasks: cut into pieces, spread, then multiply
+    pieces = numbered.withColumn(
+        "_piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_copies") - 1) / _COPIES_PER_PIECE)))
+    ).withColumn("_from", F.col("_first") + F.col("_piece") * _COPIES_PER_PIECE)
+    last = F.least(F.col("_from") + _COPIES_PER_PIECE, F.col("_first") + F.col("_copies")) - 1
+    spread = pieces.withColumn("_to", last).repartition("_from")
+    return spread.withColumn(ROW_INDEX, F.explode(F.sequence("_from", "_to"))).select(*rows.columns, ROW_INDEX)

@@ -39,5 +39,10 @@ def tagged_categories(orig: DataFrame, synth: DataFrame, columns: list[str]) ->
 
 
 def long_form(tagged: DataFrame, columns: list[str], value: str) -> DataFrame:
-    """(is_orig, column, value) rows without missing values."""
-    return tagged.unpivot([IS_ORIG], columns, "column", value).where(F.col(value).isNotNull())
+    """(is_orig, column, value) rows without missing values.
+
+    Built with ``inline``, not ``unpivot``: plans that use the result twice then share its
+    shuffle (the expand node of ``unpivot`` hides that both uses are the same).
+    """
+    cells = [F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias(value)) for c in columns]
+    return tagged.select(IS_ORIG, F.inline(F.array(*cells))).where(F.col(value).isNotNull())

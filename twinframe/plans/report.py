@@ -289,16 +289,21 @@ class FidelityReport:
         return head.unionAll(start).unionAll(body).unionAll(end)
 
 
-def fidelity_report(orig: DataFrame, synth: DataFrame, columns: list[str] | None = None) -> FidelityReport:
-    """Compare two tables column by column; kinds and precision come from the original only."""
-    columns = columns or [c for c in orig.columns if c in synth.columns]
-    chosen = [f"`{c}`" for c in columns]
-    described = cut_lineage(profile(orig.select(*chosen)))
-    numeric, categorical = split_by_kind(collect_profile(described))
+def fidelity_report(
+    orig: DataFrame, synth: DataFrame, columns: list[str] | None = None, profiled: DataFrame | None = None
+) -> FidelityReport:
+    """Compare two tables column by column; kinds and precision come from the original only.
+
+    ``profiled`` is the profile of the original when there is one already, as after an import.
+    """
+    if profiled is None:
+        columns = columns or [c for c in orig.columns if c in synth.columns]
+        profiled = cut_lineage(profile(orig.select(*[f"`{c}`" for c in columns])))
+    numeric, categorical = split_by_kind(collect_profile(profiled))
     return FidelityReport(
         orig,
         synth,
-        described,
+        profiled,
         cut_lineage(number_tests(orig, synth, numeric)),
         cut_lineage(categorical_tests(orig, synth, categorical)),
     )

@@ -31,8 +31,11 @@ class Facts:
     rows: int
 
 
-def table_facts(df: DataFrame, columns: list[str]) -> Facts:
-    """Column kinds, statistics, decimal places and row count, from one scan as a rule."""
+def table_facts(df: DataFrame, columns: list[str], numeric: list[str] | None = None) -> Facts:
+    """Column kinds, statistics, decimal places and row count, from one scan as a rule.
+
+    ``numeric`` names the numerical columns when a profile has settled them already.
+    """
     fields = [df.schema[c] for c in columns if is_numeric_type(df.schema[c].dataType)]
     facts = [
         F.struct(
@@ -44,7 +47,9 @@ def table_facts(df: DataFrame, columns: list[str]) -> Facts:
     ]
     row = df.agg(F.count(F.lit(1)).alias("rows"), *facts).first()
     found = {f.name: row[f"c{at}"] for at, f in enumerate(fields)}
-    many = surely_many(df, {name: fact["distinct"] for name, fact in found.items()})
+    many = numeric
+    if many is None:
+        many = surely_many(df, {name: fact["distinct"] for name, fact in found.items()})
     numeric = [c for c in columns if c in many]
     return Facts(
         columns,
@@ -116,17 +121,19 @@ def synthesize(
     order_by: list[str],
     columns: list[str] | None = None,
     keep_row: bool = False,
+    numeric: list[str] | None = None,
     **search: object,
 ) -> DataFrame:
     """A synthetic table of exactly ``target_size`` rows with the source's columns and order.
 
     ``order_by`` is a unique key giving the original row order (ignored when the table already
-    carries ``row_idx``, as CSV imports do). The same seed gives the same rows under any
+    carries ``row_idx``, as CSV imports do). ``numeric`` fixes which columns are numerical; by
+    default that is settled by type and distinct count. The same seed gives the same rows under any
     partitioning. ``keep_row`` also returns the row number ``i``. Further arguments go to
     ``nearest_neighbours``.
     """
     columns = columns or [c for c in df.columns if c != ROW_INDEX]
-    facts = table_facts(df, columns)
+    facts = table_facts(df, columns, numeric)
     kinds = {f.name: f.dataType for f in df.schema}
     if facts.rows == 0:
         empty = df.select(F.lit(0).cast("bigint").alias("i"), *[F.col(f"`{c}`") for c in columns])
