@@ -44,7 +44,7 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", multi_line: bool =
 
 
 def read_csv_errors(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """The malformed rows of a CSV source, for reporting instead of failing."""
+    """The malformed rows of a CSV source, as parsed and as text in ``_broken_row``."""
     fields = [T.StructField(name, T.StringType()) for name in _header(spark, path, sep)]
     fields.append(T.StructField(BROKEN_ROW, T.StringType()))
     rows = spark.read.option("columnPruning", False).csv(
@@ -56,7 +56,7 @@ def read_csv_errors(spark: SparkSession, path: str, sep: str = ",") -> DataFrame
         columnNameOfCorruptRecord=BROKEN_ROW,
         escape='"',
     )
-    return rows.where(F.col(BROKEN_ROW).isNotNull()).select(BROKEN_ROW)
+    return rows.where(F.col(BROKEN_ROW).isNotNull())
 
 
 def number_file_rows(rows: DataFrame) -> DataFrame:
