@@ -12,18 +12,25 @@ NUMBER_PATTERN = r"^\s*-?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?\s*$"
 BOOLEAN_CELLS = ("true", "TRUE", "false", "FALSE")
 NUMBER_LIMIT = float(2**53)
 
-_OUTER_SPACE = r"^[\s ﻿]+|[\s ﻿]+$"
+# The white space that is ignored around a token.
+WHITE_SPACE = (
+    " \t\n\v\f\r\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
+_LONGEST_TOKEN = max(len(token) for token in MISSING_TOKENS)
 
 
 def clean_text(cell: Column) -> Column:
     """NULL for empty cells and missing-value tokens, else the text unchanged."""
-    token = F.lower(F.regexp_replace(cell, _OUTER_SPACE, ""))
-    return F.when((cell != "") & ~token.isin(*MISSING_TOKENS), cell)
+    token = F.btrim(cell, F.lit(WHITE_SPACE))
+    # the length test spares long texts the change of case
+    missing = (F.octet_length(token) <= _LONGEST_TOKEN) & F.lower(token).isin(*MISSING_TOKENS)
+    return F.when((cell != "") & ~missing, cell)
 
 
 def parse_number(cell: Column) -> Column:
     """The double a text cell spells, NULL when it is no plain finite number."""
-    number = F.when(cell.rlike(NUMBER_PATTERN), F.trim(F.regexp_replace(cell, r"\s+", "")).try_cast("double"))
+    number = F.when(cell.rlike(NUMBER_PATTERN), F.btrim(cell, F.lit(WHITE_SPACE)).try_cast("double"))
     return F.when(F.abs(number) < NUMBER_LIMIT, number)
 
 

@@ -9,11 +9,11 @@ Two physical forms give the same rows:
 
 * ``broadcast``: the original features fit a byte limit, checked by summing them up; synthetic
   rows stay where they are.
-* ``blocked``: beyond the limit. Equal feature rows collapse to their first k copies (no later
-  copy can be among k neighbours). Originals are cut into blocks of similar rows; every
-  synthetic row searches the block it falls in, and afterwards only blocks whose bounding box
-  is no further away than its k-th neighbour so far. Blocks and queries are split where they
-  are hot, so a task sees a bounded piece of each.
+* ``blocked``: beyond the limit. Originals are cut into blocks of similar rows; every synthetic
+  row searches the block it falls in, and afterwards only blocks whose bounding box is no
+  further away than its k-th neighbour so far. Where a block is hot, equal feature rows
+  collapse to their first k copies (no later copy can be among k neighbours), and what is
+  still large is split, like the queries, so that a task sees a bounded piece of each.
 """
 
 from __future__ import annotations
@@ -115,13 +115,15 @@ def _matrix(lists: pa.ChunkedArray | pa.Array, rows: int) -> np.ndarray:
 
 
 def _search(
-    candidates: _Candidates, z: np.ndarray, codes: np.ndarray, k: int
-) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(query, target, rank, candidate, distance) of the k nearest, ties by row order."""
+    candidates: _Candidates, z: np.ndarray, codes: np.ndarray, k: int, radius: np.ndarray | None = None
+) -> tuple[np.ndarray, ...]:
+    """(query, target, rank, candidate, distance) of the k nearest, ties by row order.
+
+    ``radius`` gives a distance per query and target beyond which no neighbour is wanted.
+    """
     found = []
     size, categories = len(candidates.rows), len(candidates.words)
     step = max(1, CELLS_PER_STEP // max(1, size))
-    stride = max(1, min(8, size // (16 * k)))
     for low in range(0, codes.shape[1] if size else 0, step):
         high = min(low + step, codes.shape[1])
         square = np.zeros((high - low, size))
@@ -129,30 +131,51 @@ def _search(
             gap = z[low:high, p, None] - candidates.z[None, :, p]
             gap *= gap
             square += gap
-        full = square.copy()
+        mismatches = np.zeros((high - low, size))
         for c in range(categories):
-            full += codes[c, low:high, None] != candidates.codes[c][None, :]
-        # A target's squared distance is the full one less its own mismatch, at most 1. So k
-        # nearest of every target have a full distance within 1 of the k-th; the k-th of some
-        # of the candidates is an upper bound for it.
-        some = full[:, ::stride]
-        limit = np.partition(some, k - 1, axis=1)[:, k - 1] if some.shape[1] > k else np.full(high - low, np.inf)
-        query, place = np.nonzero(full <= (limit + 1.0 + 1e-9 * (1.0 + limit))[:, None])
-        near = square[query, place]
-        differs = [codes[c, low:high][query] != candidates.codes[c][place] for c in range(categories)]
-        mismatches = np.sum(differs, axis=0, dtype=np.int64)
+            mismatches += codes[c, low:high, None] != candidates.codes[c][None, :]
+        # A target's squared distance is the full one less its own mismatch, at most 1: what is
+        # near for any target is within 1 of the k-th in full distance (and of the radius).
+        full = square + mismatches
+        limit = _upper_bound(full, k)
+        if radius is not None:
+            limit = np.minimum(limit, (radius[low:high] ** 2).max(axis=1))
+        near = full <= (limit + 1.0 + 1e-9 * (1.0 + limit))[:, None]
+        sparse = np.count_nonzero(near) * 16 < near.size
+        query, place = np.nonzero(near) if sparse else (None, None)
         for target in range(categories):
-            distance = np.sqrt(near + (mismatches - differs[target]))
-            order = np.lexsort((place, distance, query))
-            by_query = query[order]
+            own = codes[target, low:high, None] != candidates.codes[target][None, :]
+            if sparse:
+                at, to = query, place
+                distance = np.sqrt(square[at, to] + (mismatches[at, to] - own[at, to]))
+            else:
+                squared = square + (mismatches - own)
+                limit = _upper_bound(squared, k)
+                if radius is not None:
+                    limit = np.minimum(limit, radius[low:high, target] ** 2)
+                at, to = np.nonzero(squared <= (limit + 1e-9 * (1.0 + limit))[:, None])
+                distance = np.sqrt(squared[at, to])
+            if radius is not None:
+                wanted = distance <= radius[low:high, target][at]
+                at, to, distance = at[wanted], to[wanted], distance[wanted]
+            order = np.lexsort((to, distance, at))
+            by_query = at[order]
             rank = np.arange(len(order)) - np.searchsorted(by_query, by_query)
             best, rank = order[rank < k], rank[rank < k]
-            found.append((query[best] + low, np.full(len(best), target), rank + 1, place[best], distance[best]))
+            found.append((at[best] + low, np.full(len(best), target), rank + 1, to[best], distance[best]))
     if not found:
         return tuple(np.empty(0, dtype=t) for t in (int, int, int, int, float))
     return tuple(np.concatenate(part) for part in zip(*found))
 
 
+def _upper_bound(squared: np.ndarray, k: int) -> np.ndarray:
+    """A value per row that at least k entries do not exceed, from every eighth of many."""
+    some = squared[:, :: max(1, min(8, squared.shape[1] // (16 * k)))]
+    if some.shape[1] <= k:
+        return np.full(len(squared), np.inf)
+    return np.partition(some, k - 1, axis=1)[:, k - 1]
+
+
 def nearest_neighbours(
     seeds: DataFrame,
     seed_count: int,
@@ -336,22 +359,14 @@ def _by_blocks(
     def leaf_of(key: pa.Array) -> pa.Array:
         return pa.array(_BlockTree(*cuts.value).leaf(_matrix(key, len(key))), pa.int64())
 
-    placed = cut_lineage(first_copies(keyed.withColumn("leaf", leaf_of("key")), k))
-    dims = range(numeric + categories)
-    boxes = (
-        placed.groupBy("leaf")
-        .agg(
-            F.count(F.lit(1)).alias("size"),
-            F.array(*[F.min(F.col("key")[d]) for d in dims]).alias("low"),
-            F.array(*[F.max(F.col("key")[d]) for d in dims]).alias("high"),
-        )
-        .toArrow()  # one row per block, MAX_BLOCKS at most
-    )
-    leaves, sizes = boxes["leaf"].to_numpy(), boxes["size"].to_numpy()
+    placed = cut_lineage(keyed.withColumn("leaf", leaf_of("key")))
+    boxes = _boxes(placed, numeric + categories)
+    leaves, sizes = boxes["leaf"].to_numpy(), boxes["size"].to_numpy().copy()
     tree.enclose(leaves, _matrix(boxes["low"], len(boxes)), _matrix(boxes["high"], len(boxes)), sizes)
     shared = spark.sparkContext.broadcast(
         (tree.depth, tree.numeric, tree.dims, tree.cuts, tree.low, tree.high, tree.sizes)
     )
+    placed, sizes = _thin_out(placed, leaves, sizes, 4 * rows_per_block, k)
     parts = spark.createDataFrame(
         pa.table({"leaf": leaves, "parts": np.maximum(1, -(-sizes // (8 * rows_per_block)))})
     )
@@ -359,7 +374,8 @@ def _by_blocks(
     def search(visits: DataFrame) -> DataFrame:
         return _search_blocks(visits, placed, parts, categories, k, queries_per_block)
 
-    homes = seeds.withColumn("leaf", leaf_of("key"))
+    unbounded = F.array(*[F.lit(float("inf"))] * categories)
+    homes = seeds.withColumn("leaf", leaf_of("key")).withColumn("radius", unbounded)
     # an empty home block has no partial result; the wide radius below then visits all blocks
     at_home = cut_lineage(_top_k(search(homes), k))
 
@@ -368,23 +384,25 @@ def _by_blocks(
         for t in range(categories)
     ]
     radius = at_home.groupBy("i").agg(F.array(*[F.coalesce(r, F.lit(float("inf"))) for r in reach]).alias("radius"))
-    unbounded = F.array(*[F.lit(float("inf"))] * categories)
-    queries = homes.join(radius, "i", "left").select(
+    queries = homes.drop("radius").join(radius, "i", "left").select(
         "i", "z", "cats", "key", "leaf", F.coalesce("radius", unbounded).alias("radius")
     )
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         boxes = _BlockTree(*shared.value)
+        step = max(1, min(1024, CELLS_PER_STEP >> boxes.depth))  # even if every block is in reach
         for batch in batches:
-            for low in range(0, len(batch), 1024):
-                piece = batch.slice(low, 1024)
+            for low in range(0, len(batch), step):
+                piece = batch.slice(low, step)
                 query, leaf = boxes.within(_matrix(piece["key"], len(piece)), _matrix(piece["radius"], len(piece)))
                 other = leaf != piece["leaf"].to_numpy()[query]
                 query, leaf = query[other], leaf[other]
-                kept = piece.select(["i", "z", "cats"]).take(pa.array(query))
+                kept = piece.select(["i", "z", "cats", "radius"]).take(pa.array(query))
                 yield kept.append_column("leaf", pa.array(leaf, pa.int64()))
 
-    further = queries.mapInArrow(route, "i bigint, z array<double>, cats array<string>, leaf bigint")
+    further = queries.mapInArrow(
+        route, "i bigint, z array<double>, cats array<string>, radius array<double>, leaf bigint"
+    )
     further = cut_lineage(further)
     nearest = _top_k(at_home.drop("rank").unionByName(search(further)), k)
     entry = F.struct("target", "rank", ROW_INDEX, "distance", "class").cast(NEIGHBOUR_TYPE)
@@ -392,6 +410,39 @@ def _by_blocks(
     return seeds.drop("key").join(lists, "i", "left")
 
 
+def _boxes(placed: DataFrame, dims: int) -> pa.Table:
+    """Size and bounding box per block: one row each, MAX_BLOCKS at most."""
+    return (
+        placed.groupBy("leaf")
+        .agg(
+            F.count(F.lit(1)).alias("size"),
+            F.array(*[F.min(F.col("key")[d]) for d in range(dims)]).alias("low"),
+            F.array(*[F.max(F.col("key")[d]) for d in range(dims)]).alias("high"),
+        )
+        .orderBy("leaf")
+        .toArrow()
+    )
+
+
+def _thin_out(
+    placed: DataFrame, leaves: np.ndarray, sizes: np.ndarray, limit: int, k: int
+) -> tuple[DataFrame, np.ndarray]:
+    """Keep the first k copies of equal rows, in the blocks that are far too large.
+
+    Cuts even out different rows, so only copies make a block so large. The other blocks, as a
+    rule all of them, are left alone: no shuffle of the whole table.
+    """
+    rows = placed.drop("key")
+    large = sizes > limit
+    if not large.any():
+        return rows, sizes
+    hot = F.broadcast(placed.sparkSession.createDataFrame(pa.table({"leaf": leaves[large]})))
+    thinned = cut_lineage(first_copies(rows.join(hot, "leaf", "left_semi"), k))
+    left = thinned.groupBy("leaf").agg(F.count(F.lit(1)).alias("size")).toArrow()
+    sizes[np.searchsorted(leaves, left["leaf"].to_numpy())] = left["size"].to_numpy()
+    return rows.join(hot, "leaf", "left_anti").unionByName(thinned), sizes
+
+
 def _search_blocks(
     visits: DataFrame, placed: DataFrame, parts: DataFrame, categories: int, k: int, queries_per_block: int
 ) -> DataFrame:
@@ -409,7 +460,7 @@ def _search_blocks(
         visits.join(plan, "leaf")
         .withColumn("chunk", F.pmod(F.xxhash64("i"), "chunks"))
         .withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
-        .select("i", "z", "cats", *_BLOCK_KEYS)
+        .select("i", "z", "cats", "radius", *_BLOCK_KEYS)
         .repartition(tasks, *_BLOCK_KEYS)
     )
     rows = (
@@ -425,7 +476,7 @@ def _search_blocks(
         columns = right.select([f"o_{ROW_INDEX}", "o_z", "o_cats"]).rename_columns([ROW_INDEX, "z", "cats"])
         candidates = _Candidates.of(columns, categories)
         z, codes = _matrix(left["z"], len(left)), candidates.encode(left["cats"])
-        query, target, _, place, near = _search(candidates, z, codes, k)
+        query, target, _, place, near = _search(candidates, z, codes, k, _matrix(left["radius"], len(left)))
         return pa.table(
             {
                 "i": left["i"].combine_chunks().take(pa.array(query)),

@@ -63,27 +63,60 @@ def _classified(facts: DataFrame) -> DataFrame:
     )
 
 
+def distinct_counts(df: DataFrame, fields: list[T.StructField]) -> DataFrame:
+    """(ordinal, unique_count) of the given columns of ``df``, exact, missing values left out.
+
+    Cells go to narrow (ordinal, value) rows, one table per data type, and equal values collapse
+    before the shuffle. Several ``count(DISTINCT ...)`` in one aggregation would instead copy
+    each row once per column at full width.
+    """
+    by_type: dict[str, list[tuple[int, T.StructField]]] = {}
+    for at, field in enumerate(fields):
+        by_type.setdefault(field.dataType.simpleString(), []).append((at, field))
+    counts = None
+    for group in by_type.values():
+        cells = [F.struct(F.lit(at).alias("ordinal"), _distinct_key(f).alias("value")) for at, f in group]
+        values = df.select(F.inline(F.array(*cells))).where(F.col("value").isNotNull())
+        counted = values.groupBy("ordinal", "value").agg(F.lit(1)).groupBy("ordinal")
+        part = counted.agg(F.count(F.lit(1)).alias("unique_count"))
+        counts = part if counts is None else counts.unionAll(part)
+    return counts
+
+
+def _distinct_key(field: T.StructField) -> Column:
+    """What tells values apart: long texts are compared by digest, which is 64 bytes of text."""
+    value = _value(field)
+    if isinstance(field.dataType, T.StringType):
+        return F.when(F.octet_length(value) < 64, value).otherwise(F.sha2(value, 256))
+    return value
+
+
+def _with_distinct(facts: DataFrame, counts: DataFrame) -> DataFrame:
+    # one row per column on both sides
+    joined = facts.join(F.broadcast(counts), "ordinal", "left")
+    return joined.withColumn("unique_count", F.coalesce("unique_count", F.lit(0).cast("bigint")))
+
+
 def profile(df: DataFrame, exact: bool = True) -> DataFrame:
-    """One row per column of a typed table, from one aggregation over one scan.
+    """One row per column of a typed table.
 
-    A column is numeric by its type when it holds any value. ``exact=False`` counts distinct
-    values approximately, for tables where shuffling every distinct value costs too much.
+    A column is numeric by its type when it holds any value. ``exact=False`` estimates distinct
+    values in the same pass, for tables where shuffling every distinct value costs too much.
     """
     fields = list(df.schema)
-    distinct = F.count_distinct if exact else F.approx_count_distinct
     aggregates = []
     for at, field in enumerate(fields):
         value = _value(field)
         numeric = is_numeric_type(field.dataType)
-        places = decimal_places(value) if numeric else F.lit(0)
-        aggregates.append(
-            F.struct(
-                (F.lit(numeric) & (F.count(value) > 0)).alias("is_numeric"),
-                distinct(value).cast("bigint").alias("unique_count"),
-                F.coalesce(F.max(places), F.lit(0)).alias("precision"),
-            ).alias(f"c{at}")
-        )
-    return _classified(_as_rows(df.agg(*aggregates), fields))
+        measures = [
+            (F.lit(numeric) & (F.count(value) > 0)).alias("is_numeric"),
+            F.coalesce(F.max(decimal_places(value)) if numeric else F.lit(0), F.lit(0)).alias("precision"),
+        ]
+        if not exact:
+            measures.append(F.approx_count_distinct(value).alias("unique_count"))
+        aggregates.append(F.struct(*measures).alias(f"c{at}"))
+    facts = _as_rows(df.agg(*aggregates), fields)
+    return _classified(_with_distinct(facts, distinct_counts(df, fields)) if exact else facts)
 
 
 def profile_text(df: DataFrame, order_by: str) -> DataFrame:
@@ -114,12 +147,13 @@ def profile_text(df: DataFrame, order_by: str) -> DataFrame:
     aggregates = [
         F.struct(
             ((F.count(F.col(f"`{n}`")) > 0) & F.lit(passed.get(n, True))).alias("is_numeric"),
-            F.count_distinct(canonical_text(F.col(f"`{n}`"))).alias("unique_count"),
             F.coalesce(F.max(decimal_places(numbers[n])), F.lit(0)).alias("precision"),
         ).alias(f"c{at}")
         for at, n in enumerate(names)
     ]
-    return _classified(_as_rows(cells.agg(*aggregates), fields))
+    facts = _as_rows(cells.agg(*aggregates), fields)
+    categories = cells.select(*[canonical_text(F.col(f"`{n}`")).alias(n) for n in names])
+    return _classified(_with_distinct(facts, distinct_counts(categories, fields)))
 
 
 def collect_profile(profiled: DataFrame) -> list[ColumnProfile]:
@@ -163,8 +197,8 @@ def surely_many(df: DataFrame, sketched: dict[str, int]) -> set[str]:
     many = {name for name, estimate in sketched.items() if estimate > 2 * CARDINALITY_LIMIT}
     unsure = [name for name in sketched if name not in many]
     if unsure:
-        exact = df.agg(*[F.count_distinct(_value(df.schema[n])).alias(f"c{at}") for at, n in enumerate(unsure)]).first()
-        many |= {n for at, n in enumerate(unsure) if exact[at] > CARDINALITY_LIMIT}
+        counts = distinct_counts(df, [df.schema[n] for n in unsure])
+        many |= {unsure[r["ordinal"]] for r in counts.collect() if r["unique_count"] > CARDINALITY_LIMIT}
     return many
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from twinframe.sources.csv import ROW_INDEX
+from twinframe.sources.scratch import cut_lineage
 
 ROWS_PER_RANGE = 1_000_000
 MAX_RANGES = 1024
@@ -60,17 +61,18 @@ def with_row_index(df: DataFrame, order_by: list[str], rows_per_range: int = 100
 
     When the key names every column, rows with equal keys are copies of each other: they are
     counted, numbered as one group, and multiplied out again, so any number of copies is fine.
+    Numbering sorts the table, so the result is written once and read from there.
     """
     keys = df.select(*order_by)
     edges = range_edges(keys, df.count(), rows_per_range)
     if set(df.columns) <= set(order_by):
-        return _index_copies(keys, edges)
+        return _index_copies(df, keys, edges)
     placed = df.withColumn("_range", range_of(keys.schema, edges))
     within = F.row_number().over(Window.partitionBy("_range").orderBy(*order_by)) - 1
     if not edges:
-        return placed.withColumn(ROW_INDEX, within.cast("bigint")).drop("_range")
+        return cut_lineage(placed.withColumn(ROW_INDEX, within.cast("bigint")).drop("_range"))
     offsets = _offsets(placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows")))
-    return (
+    return cut_lineage(
         placed.withColumn("_within", within)
         .join(F.broadcast(offsets), "_range", "left")
         .withColumn(ROW_INDEX, (F.col("_offset") + F.col("_within")).cast("bigint"))
@@ -78,19 +80,29 @@ def with_row_index(df: DataFrame, order_by: list[str], rows_per_range: int = 100
     )
 
 
-def _index_copies(rows: DataFrame, edges: list[tuple]) -> DataFrame:
-    groups = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_copies"))
-    placed = groups.withColumn("_range", range_of(rows.schema, edges))
+def _index_copies(rows: DataFrame, keys: DataFrame, edges: list[tuple]) -> DataFrame:
+    groups = rows.groupBy(*keys.columns).agg(F.count(F.lit(1)).alias("_copies"))
+    placed = groups.withColumn("_range", range_of(keys.schema, edges))
     offsets = _offsets(placed.groupBy("_range").agg(F.sum("_copies").alias("_rows")))
-    before = (
-        Window.partitionBy("_range").orderBy(*rows.columns).rowsBetween(Window.unboundedPreceding, -1)
-    )
+    before = Window.partitionBy("_range").orderBy(*keys.columns).rowsBetween(Window.unboundedPreceding, -1)
     first = F.col("_offset") + F.coalesce(F.sum("_copies").over(before), F.lit(0))
-    numbered = placed.join(F.broadcast(offsets), "_range", "left").withColumn("_first", first)
-    # copies of a hot row are made by several tasks: cut into pieces, spread, then multiply
-    pieces = numbered.withColumn(
-        "_piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_copies") - 1) / _COPIES_PER_PIECE)))
-    ).withColumn("_from", F.col("_first") + F.col("_piece") * _COPIES_PER_PIECE)
-    last = F.least(F.col("_from") + _COPIES_PER_PIECE, F.col("_first") + F.col("_copies")) - 1
-    spread = pieces.withColumn("_to", last).repartition("_from")
-    return spread.withColumn(ROW_INDEX, F.explode(F.sequence("_from", "_to"))).select(*rows.columns, ROW_INDEX)
+    numbered = cut_lineage(
+        placed.join(F.broadcast(offsets), "_range", "left").withColumn("_first", first).drop("_range", "_offset")
+    )
+
+    def multiplied(pieces: DataFrame) -> DataFrame:
+        steps = F.sequence(F.col("_first"), F.col("_first") + F.col("_copies") - 1)
+        return pieces.withColumn(ROW_INDEX, F.explode(steps)).select(*rows.columns, ROW_INDEX)
+
+    # copies of a hot row are made by several tasks: cut them into pieces and spread those
+    hot = F.col("_copies") > _COPIES_PER_PIECE
+    starts = F.sequence(F.col("_first"), F.col("_first") + F.col("_copies") - 1, F.lit(_COPIES_PER_PIECE).cast("bigint"))
+    pieces = (
+        numbered.where(hot)
+        .withColumn("_end", F.col("_first") + F.col("_copies"))
+        .withColumn("_first", F.explode(starts))
+        .withColumn("_copies", F.least(F.col("_end") - F.col("_first"), F.lit(_COPIES_PER_PIECE)))
+        .drop("_end")
+        .repartition("_first")
+    )
+    return multiplied(numbered.where(~hot)).unionAll(multiplied(pieces))

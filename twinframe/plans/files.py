@@ -23,11 +23,14 @@ class LooseTable:
 
 
 def import_csv(spark: SparkSession, path: str, sep: str = ",", multi_line: bool = False) -> LooseTable:
-    """Read, clean, profile and type a CSV; fails when any row is malformed."""
+    """Read, clean, profile and type a CSV; fails when any row is malformed.
+
+    The typed rows are written once, so that what follows reads columns instead of text.
+    """
     raw = read_csv(spark, path, sep, multi_line)
     profiled = cut_lineage(profile_text(raw, ROW_INDEX))
     columns = collect_profile(profiled)
-    return LooseTable(apply_types(raw, columns), profiled, columns)
+    return LooseTable(cut_lineage(apply_types(raw, columns)), profiled, columns)
 
 
 def synthesize_table(loose: LooseTable, target_size: int, seed: int, **search: object) -> DataFrame:

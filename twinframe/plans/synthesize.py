@@ -14,7 +14,6 @@ from twinframe.operators.neighbours import classes_of, feature_arrays, nearest_n
 from twinframe.operators.profile import distinct_sketch, surely_many
 from twinframe.operators.ranges import with_row_index
 from twinframe.sources.csv import ROW_INDEX
-from twinframe.sources.scratch import cut_lineage
 
 NOISE_FACTOR = 0.05
 
@@ -106,8 +105,7 @@ def synthetic_seeds(features: DataFrame, facts: Facts, target_size: int, seed: i
 def with_neighbours(
     df: DataFrame, facts: Facts, target_size: int, seed: int, order_by: list[str], **search: object
 ) -> DataFrame:
-    # numbering the rows sorts the table; both sides of the search start from the written result
-    features = cut_lineage(indexed_features(df, facts, order_by))
+    features = indexed_features(df, facts, order_by)
     seeds = synthetic_seeds(features, facts, target_size, seed)
     return nearest_neighbours(
         seeds, target_size, features.select(ROW_INDEX, "z", "cats"), len(facts.numeric), len(facts.categorical), **search
