@@ -138,3 +138,22 @@ def test_row_index_of_hot_copies(spark, monkeypatch):
     rows = with_row_index(df, ["w"], 100).orderBy("row_idx").collect()
     assert [r.row_idx for r in rows] == list(range(903))
     assert [r.w for r in rows] == ["a"] * 700 + ["b"] * 3 + ["c"] * 200
+
+
+@pytest.mark.parametrize(
+    "kind", ["timestamp", "timestamp_ntz", "date", "decimal(20,3)", "string", "double", "int", "boolean"]
+)
+def test_row_index_by_keys_of_any_type(spark, kind):
+    number = F.col("id") * 86400
+    made = {
+        "timestamp": F.timestamp_seconds(number),
+        "timestamp_ntz": F.timestamp_seconds(number).cast("timestamp_ntz"),
+        "date": F.date_add(F.lit("2020-01-01").cast("date"), F.col("id").cast("int")),
+        "string": F.concat(F.lit("k\"'\\é"), F.lpad(F.col("id").cast("string"), 4, "0")),
+        "boolean": F.col("id") >= 150,
+    }
+    key = made.get(kind, F.col("id").cast(kind) / 4 if kind == "double" else F.col("id").cast(kind))
+    df = spark.range(300).select(key.alias("k"), F.col("id")).repartition(4)
+    rows = with_row_index(df, ["k", "id"], 20).orderBy("row_idx").collect()
+    assert [r.row_idx for r in rows] == list(range(300))
+    assert [r.id for r in rows] == list(range(300))

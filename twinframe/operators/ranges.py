@@ -8,6 +8,10 @@ points come from a sample and only decide balance: every result is exact for any
 
 from __future__ import annotations
 
+import datetime
+import decimal
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,8 +20,8 @@ from pyspark.sql.window import Window
 from twinframe.sources.csv import ROW_INDEX
 from twinframe.sources.scratch import cut_lineage
 
-ROWS_PER_RANGE = 1_000_000
-MAX_RANGES = 1024
+ROWS_PER_RANGE = 250_000
+MAX_RANGES = 8192
 _SAMPLE_PER_RANGE = 48
 _COPIES_PER_PIECE = 100_000
 
@@ -41,7 +45,10 @@ def range_of(keys: T.StructType, edges: list[tuple]) -> Column:
     if not edges:
         return F.lit(0)
     key = F.struct(*[F.col(f"`{k.name}`") for k in keys])
-    table = F.array(*[F.struct(*[F.lit(v).cast(k.dataType).alias(k.name) for k, v in zip(keys, e)]) for e in edges])
+    # one literal, folded when the plan is optimised, however many edges there are
+    rows = json.dumps([{f"k{at}": _plain(v) for at, v in enumerate(edge)} for edge in edges])
+    fields = T.StructType([T.StructField(f"k{at}", k.dataType) for at, k in enumerate(keys)])
+    table = F.from_json(F.lit(rows), T.ArrayType(fields))
     strides = F.array(*[F.lit(1 << bit) for bit in reversed(range(len(edges).bit_length()))])
     return F.aggregate(
         strides,
@@ -50,6 +57,12 @@ def range_of(keys: T.StructType, edges: list[tuple]) -> Column:
     )
 
 
+def _plain(value: object) -> object:
+    if isinstance(value, (datetime.date, datetime.datetime)):
+        return value.isoformat()
+    return float(value) if isinstance(value, decimal.Decimal) else value
+
+
 def _offsets(sizes: DataFrame) -> DataFrame:
     """Rows in earlier ranges, from (_range, _rows): a table of at most MAX_RANGES rows."""
     earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

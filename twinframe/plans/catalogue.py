@@ -32,7 +32,7 @@ from twinframe.plans.synthesize import (
     with_neighbours,
 )
 from twinframe.sources.csv import ROW_INDEX, clean_cells, read_csv, write_csv
-from twinframe.sources.scratch import new_folder
+from twinframe.sources.scratch import cut_lineage, new_folder
 
 SEED = 7
 LINEITEM_NUMBERS = ["l_quantity", "l_extendedprice", "l_discount"]
@@ -353,7 +353,7 @@ def text_report(spark: SparkSession, folder: str) -> DataFrame:
 def synthesis_fidelity(spark: SparkSession, folder: str) -> DataFrame:
     """End to end: synthesize customers, then report how faithful the copy is."""
     customers = table(spark, folder, "customer")
-    made = synthesize(customers, customers.count(), SEED, ["c_custkey"], CUSTOMER_COLUMNS)
+    made = cut_lineage(synthesize(customers, customers.count(), SEED, ["c_custkey"], CUSTOMER_COLUMNS))
     return rounded(fidelity_report(customers, made, CUSTOMER_COLUMNS).stats_summary()).drop("ordinal")
 
 

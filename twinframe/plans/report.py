@@ -295,6 +295,7 @@ def fidelity_report(
     """Compare two tables column by column; kinds and precision come from the original only.
 
     ``profiled`` is the profile of the original when there is one already, as after an import.
+    Both tables are read several times: write a table that is costly to compute first.
     """
     if profiled is None:
         columns = columns or [c for c in orig.columns if c in synth.columns]
