@@ -61,7 +61,8 @@ FORMS = {
         (3, [["a", None]], 4, 0),  # fewer rows than neighbours
     ],
 )
-def test_same_neighbours_as_all_pairs(spark, form, numeric, vocabulary, rows, hot):
+def test_same_neighbours_as_all_pairs(spark, monkeypatch, form, numeric, vocabulary, rows, hot):
+    monkeypatch.setattr("twinframe.operators.neighbours._TIGHTEN_FROM", 20)
     rng = random.Random(rows + numeric)
     originals = random_points(spark, rng, rows, numeric, vocabulary, "row_idx", hot)
     seeds = random_points(spark, rng, 40, numeric, vocabulary, "i", hot // 4)
@@ -85,8 +86,8 @@ def test_large_text_leaves_the_broadcast_form(spark):
     small = nearest_neighbours(seeds, 50, originals, 1, 2)
     forced = nearest_neighbours(seeds, 50, originals, 1, 2, broadcast_bytes=5000, rows_per_block=8)
     assert neighbour_rows(small) == neighbour_rows(forced)
-    assert "CoGroups" in forced._jdf.queryExecution().toString()
-    assert "CoGroups" not in small._jdf.queryExecution().toString()
+    assert "MapInArrow" in small._jdf.queryExecution().toString()
+    assert "MapInArrow" not in forced._jdf.queryExecution().toString()
 
 
 def test_synthetic_rows_stay_in_the_source_domain(spark):

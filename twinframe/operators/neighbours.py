@@ -10,8 +10,8 @@ Two physical forms give the same rows:
 * ``broadcast``: the original features fit a byte limit, checked by summing them up; synthetic
   rows stay where they are.
 * ``blocked``: beyond the limit. Originals are cut into blocks of similar rows; every synthetic
-  row searches the block it falls in, and afterwards only blocks whose bounding box is no
-  further away than its k-th neighbour so far. Where a block is hot, equal feature rows
+  row searches the block it falls in, then (with many blocks) the nearest others, and at last
+  only those whose bounding box is no further away than its k-th neighbour so far. Where a block is hot, equal feature rows
   collapse to their first k copies (no later copy can be among k neighbours), and what is
   still large is split, like the queries, so that a task sees a bounded piece of each.
 """
@@ -44,9 +44,12 @@ QUERIES_PER_BLOCK = 8192
 MAX_BLOCKS = 1 << 18
 _SAMPLE_PER_BLOCK = 12
 _MAX_SAMPLE = 2_000_000
+_NEARBY_BLOCKS = 2
+_TIGHTEN_FROM = 512
 
 NEIGHBOUR_TYPE = "struct<target:int,rank:int,row_idx:bigint,distance:double,class:string>"
 _PARTIAL_SCHEMA = "i bigint, target int, distance double, row_idx bigint, class string"
+_VISIT_SCHEMA = "i bigint, z array<double>, cats array<string>, radius array<double>, leaf bigint"
 _BLOCK_KEYS = ["leaf", "part", "chunk"]
 
 
@@ -311,8 +314,8 @@ class _BlockTree:
             self.high[node] = np.maximum(self.high[2 * node], self.high[2 * node + 1])
             self.sizes[node] = self.sizes[2 * node] + self.sizes[2 * node + 1]
 
-    def within(self, keys: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(query, leaf) pairs where some target's lower bound is within its radius."""
+    def within(self, keys: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, leaf, lower bound per target), where some bound is within its target's radius."""
         limit = radius * radius * (1.0 + 1e-9) + 1e-12  # rounding must not lose a tie
         query, node = np.arange(len(keys)), np.ones(len(keys), dtype=np.int64)
         for level in range(self.depth + 1):
@@ -323,10 +326,26 @@ class _BlockTree:
             miss = outside[:, self.numeric :] > 0
             bound = (gap * gap).sum(axis=1)[:, None] + miss.sum(axis=1)[:, None] - miss
             kept = (bound <= limit[query]).any(axis=1)
-            query, node = query[kept], node[kept]
+            query, node, bound = query[kept], node[kept], bound[kept]
             if level < self.depth:
                 query, node = np.repeat(query, 2), (2 * node[:, None] + np.arange(2)).ravel()
-        return query, node - (1 << self.depth)
+        return query, node - (1 << self.depth), bound
+
+    def unvisited(self, batch: pa.RecordBatch, nearest: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """(query, leaf) pairs within reach and not visited yet: all, or the nearest per target."""
+        query, leaf, bound = self.within(_matrix(batch["key"], len(batch)), _matrix(batch["radius"], len(batch)))
+        visited = batch["visited"]
+        seen = pc.list_parent_indices(visited).to_numpy() << self.depth | pc.list_flatten(visited).to_numpy()
+        new = ~np.isin(query << self.depth | leaf, seen)
+        query, leaf, bound = query[new], leaf[new], bound[new]
+        if nearest is None:
+            return query, leaf
+        chosen = np.zeros(len(query), dtype=bool)
+        for target in range(bound.shape[1]):
+            order = np.lexsort((bound[:, target], query))
+            by_query = query[order]
+            chosen[order[np.arange(len(order)) - np.searchsorted(by_query, by_query) < nearest]] = True
+        return query[chosen], leaf[chosen]
 
 
 def _by_blocks(
@@ -374,39 +393,56 @@ def _by_blocks(
     def search(visits: DataFrame) -> DataFrame:
         return _search_blocks(visits, placed, parts, categories, k, queries_per_block)
 
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     unbounded = F.array(*[F.lit(float("inf"))] * categories)
-    homes = seeds.withColumn("leaf", leaf_of("key")).withColumn("radius", unbounded)
-    # an empty home block has no partial result; the wide radius below then visits all blocks
-    at_home = cut_lineage(_top_k(search(homes), k))
-
-    reach = [
-        F.when(F.count_if(F.col("target") == t) >= k, F.max(F.when(F.col("target") == t, F.col("distance"))))
-        for t in range(categories)
-    ]
-    radius = at_home.groupBy("i").agg(F.array(*[F.coalesce(r, F.lit(float("inf"))) for r in reach]).alias("radius"))
-    queries = homes.drop("radius").join(radius, "i", "left").select(
-        "i", "z", "cats", "key", "leaf", F.coalesce("radius", unbounded).alias("radius")
-    )
-
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        boxes = _BlockTree(*shared.value)
-        step = max(1, min(1024, CELLS_PER_STEP >> boxes.depth))  # even if every block is in reach
-        for batch in batches:
-            for low in range(0, len(batch), step):
-                piece = batch.slice(low, step)
-                query, leaf = boxes.within(_matrix(piece["key"], len(piece)), _matrix(piece["radius"], len(piece)))
-                other = leaf != piece["leaf"].to_numpy()[query]
-                query, leaf = query[other], leaf[other]
-                kept = piece.select(["i", "z", "cats", "radius"]).take(pa.array(query))
-                yield kept.append_column("leaf", pa.array(leaf, pa.int64()))
-
-    further = queries.mapInArrow(
-        route, "i bigint, z array<double>, cats array<string>, radius array<double>, leaf bigint"
-    )
-    further = cut_lineage(further)
-    nearest = _top_k(at_home.drop("rank").unionByName(search(further)), k)
+    homes = seeds.withColumn("leaf", leaf_of("key"))
+    best = cut_lineage(_top_k(search(homes.withColumn("radius", unbounded)), k))
+
+    def reach(best: DataFrame) -> DataFrame:
+        """The k-th distance per query and target so far, infinite while there are fewer."""
+        kth = [
+            F.when(F.count_if(F.col("target") == t) >= k, F.max(F.when(F.col("target") == t, F.col("distance"))))
+            for t in range(categories)
+        ]
+        return best.groupBy("i").agg(F.array(*[F.coalesce(r, F.lit(float("inf"))) for r in kth]).alias("radius"))
+
+    def route(nearest: int | None):
+        def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            boxes = _BlockTree(*shared.value)
+            step = max(1, min(1024, CELLS_PER_STEP >> boxes.depth))  # even if every block is in reach
+            for batch in batches:
+                for low in range(0, len(batch), step):
+                    piece = batch.slice(low, step)
+                    query, leaf = boxes.unvisited(piece, nearest)
+                    kept = piece.select(["i", "z", "cats", "radius"]).take(pa.array(query))
+                    yield kept.append_column("leaf", pa.array(leaf, pa.int64()))
+
+        return routed
+
+    def visits(best: DataFrame, visited: DataFrame, nearest: int | None) -> DataFrame:
+        # a fixed number of tasks: few bytes per query, but much work
+        queries = homes.repartition(tasks, "i").join(reach(best), "i", "left").join(visited, "i", "left")
+        asked = queries.select(
+            "i",
+            "z",
+            "cats",
+            "key",
+            F.coalesce("radius", unbounded).alias("radius"),
+            F.concat(F.array("leaf"), F.coalesce("visited", F.array().cast("array<bigint>"))).alias("visited"),
+        )
+        return cut_lineage(asked.mapInArrow(route(nearest), _VISIT_SCHEMA))
+
+    visited = homes.select("i", F.array().cast("array<bigint>").alias("visited"))
+    if blocks >= _TIGHTEN_FROM:
+        # a few nearby blocks first: they tighten the radius, and with it the number in reach
+        nearby = visits(best, visited, _NEARBY_BLOCKS)
+        best = cut_lineage(_top_k(best.drop("rank").unionByName(search(nearby)), k))
+        visited = nearby.groupBy("i").agg(F.collect_list("leaf").alias("visited"))
+    rest = visits(best, visited, None)
+    if not rest.isEmpty():
+        best = _top_k(best.drop("rank").unionByName(search(rest)), k)
     entry = F.struct("target", "rank", ROW_INDEX, "distance", "class").cast(NEIGHBOUR_TYPE)
-    lists = nearest.groupBy("i").agg(F.sort_array(F.collect_list(entry)).alias("neighbours"))
+    lists = best.groupBy("i").agg(F.sort_array(F.collect_list(entry)).alias("neighbours"))
     return seeds.drop("key").join(lists, "i", "left")
 
 
