@@ -1,6 +1,7 @@
 """Cells, profiles, draws and distribution functions."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -37,6 +38,15 @@ def test_decimal_places(spark):
     assert column(spark, values, "double", decimal_places) == [2, 1, 0, 0, 2, 8, 0]
 
 
+def test_decimal_places_agree_with_the_text(spark):
+    rng = random.Random(5)
+    values = [round(rng.uniform(-1e4, 1e4), rng.randint(0, 9)) for _ in range(3000)]
+    texts = [repr(v) for v in values]
+    assert not any("e" in t for t in texts)
+    expected = [0 if t.endswith(".0") else len(t.split(".")[1]) for t in texts]
+    assert column(spark, values, "double", decimal_places) == expected
+
+
 def test_rounding_goes_up_at_halves(spark):
     assert column(spark, [-2.5, 2.5, -0.5, 1e300], "double", round_half_up) == [-2.0, 3.0, 0.0, 1e300]
     assert column(spark, [1.25, -1.25], "double", lambda x: round_to_places(x, 1)) == [1.3, -1.2]

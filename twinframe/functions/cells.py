@@ -71,12 +71,15 @@ def category_text(name: str, data_type: T.DataType) -> Column:
 
 def decimal_places(number: Column) -> Column:
     """Digits after the point in the shortest decimal text of a number."""
+    places = F.when(number.isNull() | (number == F.floor(number)), 0)
+    # n / 10^p is the nearest double to a text with p digits: no text is needed to find few digits
+    small = F.abs(number) < 1e11
+    for p in range(1, 5):
+        places = places.when(small & (F.rint(number * 10.0**p) / 10.0**p == number), p)
     text = number.cast("string")
     plain = F.rtrim(number.try_cast(T.DecimalType(38, 18)).cast("string"), F.lit("0"))  # for 1.0E-7 and such
-    return (
-        F.when(number.isNull() | (number == F.floor(number)), 0)
-        .when(~text.contains("E"), F.length(text) - F.instr(text, "."))
-        .otherwise(F.coalesce(F.length(plain) - F.instr(plain, "."), F.lit(0)))
+    return places.when(~text.contains("E"), F.length(text) - F.instr(text, ".")).otherwise(
+        F.coalesce(F.length(plain) - F.instr(plain, "."), F.lit(0))
     )
 
 

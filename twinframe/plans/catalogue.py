@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from twinframe.functions.rng import uniform, vote_choice
-from twinframe.operators.ecdf import ks_test, mann_whitney, pooled_ecdf, rank_statistics
+from twinframe.functions.rng import uniform, vote_choice, weighted_choice
+from twinframe.operators.ecdf import average_rank, ks_test, mann_whitney, pooled_ecdf, rank_statistics
 from twinframe.operators.frequency import (
     category_counts,
     category_shares,
@@ -176,6 +176,11 @@ def ecdf_lineitem(spark: SparkSession, folder: str) -> DataFrame:
     return pooled_ecdf(*lineitem_sides(spark, folder), LINEITEM_NUMBERS)
 
 
+def average_ranks_lineitem(spark: SparkSession, folder: str) -> DataFrame:
+    ranked = ecdf_lineitem(spark, folder).withColumn("rank", average_rank())
+    return ranked.select("column", "value", "rank", (F.col("c1") + F.col("c2")).alias("ties"))
+
+
 def mann_whitney_lineitem(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(mann_whitney(rank_statistics(ecdf_lineitem(spark, folder))))
 
@@ -257,6 +262,15 @@ def knn_vote_choice(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("i", *picks)
 
 
+def knn_weighted_choice(spark: SparkSession, folder: str) -> DataFrame:
+    """The choice from (class, votes) pairs, at most five per synthetic row and target."""
+    found, names = _part_neighbours(spark, folder)
+    ordered = F.sort_array(F.collect_list(F.struct("first_rank", F.col("class").alias("value"), F.col("votes").alias("weight"))))
+    options = neighbour_votes(found, names).groupBy("i", "target").agg(ordered.alias("options"))
+    draw = F.coalesce(*[F.when(F.col("target") == n, uniform(SEED, F.col("i"), f"{n}:pick")) for n in names])
+    return options.select("i", "target", weighted_choice(F.col("options"), draw).alias("class"))
+
+
 def lone_category_copy(spark: SparkSession, folder: str) -> DataFrame:
     """Nation names alone: nothing to measure distance by, so seed values are copied."""
     nations = table(spark, folder, "nation")
@@ -371,6 +385,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         describe_two_sample,
         t_test_lineitem,
         ecdf_lineitem,
+        average_ranks_lineitem,
         mann_whitney_lineitem,
         ks_test_lineitem,
         category_freq,
@@ -384,6 +399,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         knn_top5,
         knn_votes,
         knn_vote_choice,
+        knn_weighted_choice,
         lone_category_copy,
         synthesize_supplier,
         synthesize_customer,

@@ -422,6 +422,8 @@ FROM orders""",
     "describe_two_sample": f"WITH {side_ctes(R, A)}, {moment_ctes(NUMBERS)} {_moments_select()}",
     "t_test_lineitem": f"WITH {side_ctes(R, A)}, {moment_ctes(NUMBERS)} {TEST_SELECT} t_test",
     "ecdf_lineitem": f"WITH {side_ctes(R, A)}, {rank_ctes(NUMBERS)} SELECT * FROM ecdf",
+    "average_ranks_lineitem": f"""WITH {side_ctes(R, A)}, {rank_ctes(NUMBERS)}
+SELECT "column", v AS value, max(rnk)::DOUBLE AS rank, count(*) AS ties FROM ranked GROUP BY 1, 2""",
     "mann_whitney_lineitem": f"WITH {side_ctes(R, A)}, {rank_ctes(NUMBERS)} {TEST_SELECT} mann_whitney",
     "ks_test_lineitem": f"WITH {side_ctes(R, A)}, {rank_ctes(NUMBERS)} {TEST_SELECT} ks_test",
     "category_freq": f"""WITH {side_ctes(Y95, Y96)}, {category_ctes(['o_orderstatus', 'o_orderpriority'])}
@@ -442,6 +444,7 @@ SELECT i, row_idx, {r6('p_size_new', 'p_size')}, {r6('p_retailprice_new', 'p_ret
     "knn_votes": f"WITH {PART_SYNTH} SELECT i, target, class, votes, first_rank FROM votes",
     "knn_vote_choice": f"""WITH {PART_SYNTH}
 SELECT i, {', '.join(f'{c}_new AS {c}' for c in PART_WORDS)} FROM picked""",
+    "knn_weighted_choice": f"WITH {PART_SYNTH} SELECT i, target, class FROM chosen",
     "lone_category_copy": f"""WITH {synthesis_ctes('SELECT * FROM nation', 'n_nationkey', [], [])}
 SELECT i, n_name FROM base""",
     "synthesize_supplier": f"""WITH {synthesis_ctes('SELECT * FROM supplier', 's_suppkey', ['s_nationkey', 's_acctbal'], [])}
