@@ -7,6 +7,7 @@ import pytest
 
 from twinframe.plans.files import import_csv, reset, synthesize_csv
 from twinframe.sources.csv import output_paths, read_csv, read_csv_errors
+from twinframe.sources.scratch import shared_folder
 
 
 def write(folder, name, text):
@@ -76,3 +77,20 @@ def test_from_csv_to_all_three_results(spark, tmp_path):
     assert os.path.basename(paths["summary"]) == "stats_summary_patients.csv"
     assert report.summary().first().total_numerical == 2
     reset(made)
+
+
+class Session:
+    """As much of a session as the scratch folder asks for."""
+
+    def __init__(self, master, folder):
+        self.sparkContext = self
+        self.conf = {"spark.checkpoint.dir": folder}
+        self.master, self.applicationId = master, "app-1"
+
+
+def test_scratch_folder():
+    assert shared_folder(Session("yarn", "/shared")) == "/shared"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Session("yarn", None))
+    made = shared_folder(Session("local[2]", None))
+    assert os.path.isdir(made) and made == shared_folder(Session("local[2]", None))

@@ -9,6 +9,7 @@ from twinframe.functions.distributions import chi_square_p
 from twinframe.operators.moments import ALPHA
 from twinframe.operators.sides import IS_ORIG, long_form, tagged_categories
 
+# Fixed value: a total variation distance below it counts as similar.
 TVD_LIMIT = 0.1
 
 

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from twinframe.operators.sides import IS_ORIG, long_form, tagged_numbers
 
+# Number of bins, what closes the last one, and the least height scaled to.
 BINS = 15
 _LAST_EDGE = 0.0001
 _LOWEST_PEAK = 0.001
@@ -26,17 +27,16 @@ def two_sample_histogram(orig: DataFrame, synth: DataFrame, columns: list[str])
         F.struct(F.lit(c).alias("column"), F.min(f"`{c}`").alias("low"), F.max(f"`{c}`").alias("high"))
         for c in columns
     ]
-    spans = (
-        tagged.agg(
-            F.array(*ranges).alias("ranges"),
-            F.count_if(F.col(IS_ORIG)).alias("n_orig"),
-            F.count_if(~F.col(IS_ORIG)).alias("n_aug"),
-        )
-        .select(F.inline("ranges"), "n_orig", "n_aug")
-        .where(F.col("low").isNotNull())
-        .withColumn("step", F.when(F.col("high") == F.col("low"), 1.0).otherwise((F.col("high") - F.col("low")) / BINS))
+    found = tagged.agg(
+        F.array(*ranges).alias("ranges"),
+        F.count_if(F.col(IS_ORIG)).alias("n_orig"),
+        F.count_if(~F.col(IS_ORIG)).alias("n_aug"),
+    ).select(F.inline("ranges"), "n_orig", "n_aug")
+    # Collected, one row per column: it is used twice below, and is one scan this way
+    spans = orig.sparkSession.createDataFrame(found.where(F.col("low").isNotNull()).collect(), found.schema).withColumn(
+        "step", F.when(F.col("high") == F.col("low"), 1.0).otherwise((F.col("high") - F.col("low")) / BINS)
     )
-    # one row per column: count the inner edges not above the value, the same comparisons as bin by bin
+    # the bin is the number of inner edges not above the value: the same comparisons as bin by bin
     inner = [(F.col("value") >= F.col("low") + i * F.col("step")).cast("int") for i in range(1, BINS)]
     binned = (
         long_form(tagged, columns, "value")

@@ -11,6 +11,7 @@ from twinframe.functions.cells import valid_number
 from twinframe.functions.distributions import student_t_critical, student_t_p
 from twinframe.operators.sides import IS_ORIG, tagged_numbers
 
+# Fixed value: results with a p above it count as similar.
 ALPHA = 0.05
 
 

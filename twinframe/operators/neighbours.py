@@ -34,6 +34,7 @@ from twinframe.operators.moments import NumberStats
 from twinframe.sources.csv import ROW_INDEX
 from twinframe.sources.scratch import cut_lineage
 
+# Fixed value: how many neighbours vote.
 K_NEIGHBOURS = 5
 BROADCAST_BYTES = 16 * 1024 * 1024
 PAIRS_PER_TASK = 50_000_000

@@ -17,6 +17,7 @@ from twinframe.functions.cells import (
     valid_number,
 )
 
+# Distinct values up to which a numeric column is categorical, and probed cells.
 CARDINALITY_LIMIT = 10
 PROBE_VALUES = 50
 

@@ -14,6 +14,11 @@ from twinframe.operators.moments import describe, t_test, two_sample_moments
 from twinframe.operators.profile import badge, collect_profile, profile, split_by_kind
 from twinframe.sources.scratch import cut_lineage
 
+# The unchanging lines of the text report.
+TEXT_TITLE = ["Statistical Comparison Report", "=============================", ""]
+TEXT_SECTION = ["1. Descriptive Statistics", "-------------------------"]
+TEXT_FOOTER = ["", "... (detailed p-values, TVD, and Cramers V available in CSV Summary)"]
+
 _NUMBER_SCHEMA = (
     "column string, mean_o double, std_o double, min_o double, max_o double, count_o bigint, "
     "mean_a double, std_a double, min_a double, max_a double, count_a bigint, "
@@ -54,8 +59,9 @@ def number_tests(orig: DataFrame, synth: DataFrame, columns: list[str]) -> DataF
     """One row per numerical column: both sides' statistics, interval and three tests."""
     if not columns:
         return orig.sparkSession.createDataFrame([], _NUMBER_SCHEMA)
-    moments = two_sample_moments(orig, synth, columns)
-    ranks = complete_ranks(moments, rank_statistics(pooled_ecdf(orig, synth, columns)))
+    # one row per column each; written, because several tests below start from them
+    moments = cut_lineage(two_sample_moments(orig, synth, columns))
+    ranks = cut_lineage(complete_ranks(moments, rank_statistics(pooled_ecdf(orig, synth, columns))))
 
     def named(test: DataFrame, prefix: str) -> DataFrame:
         return test.select(
@@ -260,9 +266,7 @@ class FidelityReport:
 
     def text(self) -> DataFrame:
         """The text report as (line_no, line); the section is left out when it would be empty."""
-        title = ["Statistical Comparison Report", "=============================", ""]
-        section = ["1. Descriptive Statistics", "-------------------------"]
-        footer = ["", "... (detailed p-values, TVD, and Cramers V available in CSV Summary)"]
+        title, section, footer = TEXT_TITLE, TEXT_SECTION, TEXT_FOOTER
         shown = self.descriptive_table()
 
         def lines(texts: list[Column]) -> Column:

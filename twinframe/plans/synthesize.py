@@ -15,6 +15,7 @@ from twinframe.operators.profile import distinct_sketch, surely_many
 from twinframe.operators.ranges import with_row_index
 from twinframe.sources.csv import ROW_INDEX
 
+# Fixed value: noise in units of a column's deviation.
 NOISE_FACTOR = 0.05
 
 

@@ -4,20 +4,24 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@cache
+def _temporary_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix=f"twinframe-{application}-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a temporary one in local mode only."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    master = spark.conf.get("spark.master", "")
-    if not master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="twinframe-"))
-    return spark.conf.get("spark.checkpoint.dir")
+    return _temporary_folder(spark.sparkContext.applicationId)
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
