@@ -33,7 +33,7 @@ def two_sample_histogram(orig: DataFrame, synth: DataFrame, columns: list[str])
         F.count_if(~F.col(IS_ORIG)).alias("n_aug"),
     ).select(F.inline("ranges"), "n_orig", "n_aug")
     # Collected, one row per column: it is used twice below, and is one scan this way
-    spans = orig.sparkSession.createDataFrame(found.where(F.col("low").isNotNull()).collect(), found.schema).withColumn(
+    spans = orig.sparkSession.createDataFrame(found.where(F.col("low").isNotNull()).toArrow()).withColumn(
         "step", F.when(F.col("high") == F.col("low"), 1.0).otherwise((F.col("high") - F.col("low")) / BINS)
     )
     # the bin is the number of inner edges not above the value: the same comparisons as bin by bin
