@@ -2,11 +2,13 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
 
-from twinframe.operators.neighbours import feature_arrays, nearest_neighbours
+from twinframe.operators.neighbours import _Candidates, _search, feature_arrays, nearest_neighbours
 from twinframe.plans.catalogue import CUSTOMER_COLUMNS, customers_with_gaps, table
 from twinframe.plans.synthesize import synthesize, table_facts
 
@@ -71,6 +73,32 @@ def test_same_neighbours_as_all_pairs(spark, monkeypatch, form, numeric, vocabul
     assert neighbour_rows(found) == expected
 
 
+@pytest.mark.parametrize("numeric, categories, window_from", [(1, 1, 50), (2, 2, 50), (3, 3, 50), (2, 1, 10**6)])
+def test_search_inside_a_task(numeric, categories, window_from):
+    rng = np.random.default_rng(numeric)
+    size, queries, k = 400, 150, 5
+    z = np.round(rng.normal(size=(size, numeric)), 1)
+    codes = rng.integers(-1, 3, size=(categories, size)).astype(np.int32)
+    z[:120], codes[:, :120] = z[0], codes[:, :1]  # copies
+    rows = rng.permutation(size)
+    words = [pa.array(["a", "b", "c"])] * categories
+    own_z, own_codes = np.round(rng.normal(size=(queries, numeric)), 1), rng.integers(-2, 3, size=(categories, queries))
+    radius = np.where(rng.random((queries, categories)) < 0.3, 0.5, np.inf)
+    found = _search(_Candidates(rows, z, codes, words), own_z, own_codes, k, radius, window_from)
+    got = sorted(zip(*(part.tolist() for part in found)))
+    expected = []
+    for q in range(queries):
+        square = np.zeros(size)
+        for p in range(numeric):
+            square += (own_z[q, p] - z[:, p]) * (own_z[q, p] - z[:, p])
+        for t in range(categories):
+            other = sum((own_codes[c, q] != codes[c]).astype(float) for c in range(categories)) - (own_codes[t, q] != codes[t])
+            distance = np.sqrt(square + other)
+            nearest = [n for n in np.lexsort((rows, distance))[:k] if distance[n] <= radius[q, t]]
+            expected += [(q, t, rank + 1, int(n), float(distance[n])) for rank, n in enumerate(nearest)]
+    assert got == sorted(expected)
+
+
 def test_query_with_unseen_category(spark):
     originals = spark.createDataFrame([(n, [0.0], ["a", "x"]) for n in range(9)], "row_idx bigint, z array<double>, cats array<string>")
     seeds = spark.createDataFrame([(0, [0.0], ["new", "x"])], "i bigint, z array<double>, cats array<string>")

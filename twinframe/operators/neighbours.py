@@ -73,7 +73,7 @@ def feature_arrays(
 
 @dataclass
 class _Candidates:
-    """Original rows in row order, with categories as codes into per-column word lists."""
+    """Original rows, with categories as codes into per-column word lists."""
 
     rows: np.ndarray
     z: np.ndarray
@@ -82,7 +82,7 @@ class _Candidates:
 
     @staticmethod
     def of(table: pa.Table, categories: int) -> _Candidates:
-        table = table.sort_by(ROW_INDEX).combine_chunks()
+        table = table.combine_chunks()
         columns = [
             pc.dictionary_encode(pc.list_element(table["cats"], c)).combine_chunks() for c in range(categories)
         ]
@@ -119,57 +119,98 @@ def _matrix(lists: pa.ChunkedArray | pa.Array, rows: int) -> np.ndarray:
 
 
 def _search(
-    candidates: _Candidates, z: np.ndarray, codes: np.ndarray, k: int, radius: np.ndarray | None = None
+    candidates: _Candidates,
+    z: np.ndarray,
+    codes: np.ndarray,
+    k: int,
+    radius: np.ndarray | None = None,
+    window_from: int = 4096,
 ) -> tuple[np.ndarray, ...]:
     """(query, target, rank, candidate, distance) of the k nearest, ties by row order.
 
-    ``radius`` gives a distance per query and target beyond which no neighbour is wanted.
+    ``radius`` gives a distance per query and target beyond which no neighbour is wanted. Many
+    candidates are sorted by the numeric column that tells most of them apart, and queries close
+    to each other in it are compared with the stretch that can hold their neighbours only.
     """
+    size, queries = len(candidates.rows), codes.shape[1]
+    if radius is None:
+        radius = np.full((queries, len(candidates.words)), np.inf)
+    if size < window_from or not z.shape[1]:
+        return _search_all(candidates, np.arange(size), z, codes, k, radius, np.arange(queries))
+    column = max(range(z.shape[1]), key=lambda p: len(np.unique(candidates.z[:, p])))
+    order = np.argsort(candidates.z[:, column], kind="stable")
+    line = candidates.z[order, column]
+    by_line = np.argsort(z[:, column], kind="stable")
+    found = []
+    for low in range(0, queries, 64):
+        asked = by_line[low : low + 64]
+        at = z[asked, column]
+        # the k-th distance among some candidates close by bounds the k-th of all
+        start = np.clip(np.searchsorted(line, at) - 4 * k, 0, size - 8 * k)
+        near = order[start[:, None] + np.arange(8 * k)]
+        gaps = z[asked][:, None, :] - candidates.z[near]
+        differs = codes[:, asked][:, :, None] != candidates.codes[:, near]
+        full = (gaps * gaps).sum(axis=2) + differs.sum(axis=0)
+        reach = np.stack([np.partition(full - d, k - 1, axis=1)[:, k - 1] for d in differs], axis=1)
+        reach = np.minimum(np.sqrt(reach), radius[asked]).max(axis=1) * (1.0 + 1e-9) + 1e-12
+        stretch = order[np.searchsorted(line, (at - reach).min()) : np.searchsorted(line, (at + reach).max(), "right")]
+        found.append(_search_all(candidates, stretch, z, codes, k, radius, asked))
+    return tuple(np.concatenate(part) for part in zip(*found)) if found else _NOTHING
+
+
+_NOTHING = tuple(np.empty(0, dtype=t) for t in (int, int, int, int, float))
+
+
+def _search_all(
+    candidates: _Candidates,
+    among: np.ndarray,
+    z: np.ndarray,
+    codes: np.ndarray,
+    k: int,
+    radius: np.ndarray,
+    asked: np.ndarray,
+) -> tuple[np.ndarray, ...]:
+    """Compare the ``asked`` queries with every candidate in ``among``."""
     found = []
-    size, categories = len(candidates.rows), len(candidates.words)
+    size, categories = len(among), len(candidates.words)
+    their_z, their_codes, their_rows = candidates.z[among], candidates.codes[:, among], candidates.rows[among]
     step = max(1, CELLS_PER_STEP // max(1, size))
-    for low in range(0, codes.shape[1] if size else 0, step):
-        high = min(low + step, codes.shape[1])
-        square = np.zeros((high - low, size))
+    for low in range(0, len(asked) if size else 0, step):
+        own = asked[low : low + step]
+        own_z, own_codes, wanted = z[own], codes[:, own], radius[own]
+        square = np.zeros((len(own), size))
         for p in range(z.shape[1]):
-            gap = z[low:high, p, None] - candidates.z[None, :, p]
+            gap = own_z[:, p, None] - their_z[None, :, p]
             gap *= gap
             square += gap
-        mismatches = np.zeros((high - low, size))
+        mismatches = np.zeros((len(own), size))
         for c in range(categories):
-            mismatches += codes[c, low:high, None] != candidates.codes[c][None, :]
+            mismatches += own_codes[c, :, None] != their_codes[c][None, :]
         # A target's squared distance is the full one less its own mismatch, at most 1: what is
         # near for any target is within 1 of the k-th in full distance (and of the radius).
         full = square + mismatches
-        limit = _upper_bound(full, k)
-        if radius is not None:
-            limit = np.minimum(limit, (radius[low:high] ** 2).max(axis=1))
+        limit = np.minimum(_upper_bound(full, k), (wanted * wanted).max(axis=1))
         near = full <= (limit + 1.0 + 1e-9 * (1.0 + limit))[:, None]
         sparse = np.count_nonzero(near) * 16 < near.size
         query, place = np.nonzero(near) if sparse else (None, None)
         for target in range(categories):
-            own = codes[target, low:high, None] != candidates.codes[target][None, :]
+            differs = own_codes[target, :, None] != their_codes[target][None, :]
             if sparse:
                 at, to = query, place
-                distance = np.sqrt(square[at, to] + (mismatches[at, to] - own[at, to]))
+                distance = np.sqrt(square[at, to] + (mismatches[at, to] - differs[at, to]))
             else:
-                squared = square + (mismatches - own)
-                limit = _upper_bound(squared, k)
-                if radius is not None:
-                    limit = np.minimum(limit, radius[low:high, target] ** 2)
+                squared = square + (mismatches - differs)
+                limit = np.minimum(_upper_bound(squared, k), wanted[:, target] ** 2)
                 at, to = np.nonzero(squared <= (limit + 1e-9 * (1.0 + limit))[:, None])
                 distance = np.sqrt(squared[at, to])
-            if radius is not None:
-                wanted = distance <= radius[low:high, target][at]
-                at, to, distance = at[wanted], to[wanted], distance[wanted]
-            order = np.lexsort((to, distance, at))
+            kept = distance <= wanted[at, target]
+            at, to, distance = at[kept], to[kept], distance[kept]
+            order = np.lexsort((their_rows[to], distance, at))
             by_query = at[order]
             rank = np.arange(len(order)) - np.searchsorted(by_query, by_query)
             best, rank = order[rank < k], rank[rank < k]
-            found.append((at[best] + low, np.full(len(best), target), rank + 1, to[best], distance[best]))
-    if not found:
-        return tuple(np.empty(0, dtype=t) for t in (int, int, int, int, float))
-    return tuple(np.concatenate(part) for part in zip(*found))
+            found.append((own[at[best]], np.full(len(best), target), rank + 1, among[to[best]], distance[best]))
+    return tuple(np.concatenate(part) for part in zip(*found)) if found else _NOTHING
 
 
 def _upper_bound(squared: np.ndarray, k: int) -> np.ndarray:
