@@ -8,17 +8,31 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from twinframe.llm.common import table
+from twinframe.llm.main_text import main_text
 from twinframe.llm.piece_tokens import with_pieces
+from twinframe.llm.quality import score_quality
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The main text of every page; all pages with content markup teach the weights."""
+    return main_text(table(spark, folder, "pages"))
+
+
 def op2_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's ids and decoded text, as digests."""
     return with_pieces(table(spark, folder, "documents"), PIECE_MODEL, keep=["doc_id"])
 
 
+def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """A calibrated quality score of every document."""
+    return score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_main_text": op1_main_text,
     "op2_sentencepiece": op2_sentencepiece,
+    "op6_quality": op6_quality,
 }
 ORACLES: dict[str, str] = {}
