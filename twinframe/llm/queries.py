@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from twinframe.llm.common import table
 from twinframe.llm.main_text import main_text
+from twinframe.llm.minhash_links import near_duplicates
 from twinframe.llm.piece_tokens import with_pieces
 from twinframe.llm.quality import score_quality
 
@@ -30,9 +31,15 @@ def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
     return score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op10_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents that share four fifths of their four-word shingles."""
+    return near_duplicates(table(spark, folder, "documents"), shingle=4, percent=80)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_main_text": op1_main_text,
     "op2_sentencepiece": op2_sentencepiece,
     "op6_quality": op6_quality,
+    "op10_near_duplicates": op10_near_duplicates,
 }
 ORACLES: dict[str, str] = {}
