@@ -12,6 +12,7 @@ from twinframe.llm.main_text import main_text
 from twinframe.llm.minhash_links import near_duplicates
 from twinframe.llm.piece_tokens import with_pieces
 from twinframe.llm.quality import score_quality
+from twinframe.llm.suffix_dedup import removed_repeats
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -31,6 +32,11 @@ def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
     return score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the 400-byte strings that occur elsewhere."""
+    return removed_repeats(table(spark, folder, "documents"), length=400)
+
+
 def op10_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """Components of documents that share four fifths of their four-word shingles."""
     return near_duplicates(table(spark, folder, "documents"), shingle=4, percent=80)
@@ -40,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_main_text": op1_main_text,
     "op2_sentencepiece": op2_sentencepiece,
     "op6_quality": op6_quality,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op10_near_duplicates": op10_near_duplicates,
 }
 ORACLES: dict[str, str] = {}
