@@ -10,10 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from twinframe.llm.common import table
 from twinframe.llm.main_text import main_text
 from twinframe.llm.minhash_links import near_duplicates
+from twinframe.llm.mixing import mixed_sample, mixing_sql
 from twinframe.llm.piece_tokens import with_pieces
 from twinframe.llm.quality import score_quality
 from twinframe.llm.suffix_dedup import removed_repeats
 
+# the wanted mixture: sources flattened, languages by share, topics nearly as they are
+MIXTURE = {"source": 0.8, "lang": {"en": 0.52, "de": 0.18, "fr": 0.17, "es": 0.13}, "topic": 0.9}
+MIXTURE_BUDGET = 0.8  # of all tokens
+
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
@@ -27,6 +32,11 @@ def op2_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return with_pieces(table(spark, folder, "documents"), PIECE_MODEL, keep=["doc_id"])
 
 
+def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's probability in a mixture of source, language and topic, and whether it is sampled."""
+    return mixed_sample(table(spark, folder, "documents"), MIXTURE, MIXTURE_BUDGET)
+
+
 def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
     """A calibrated quality score of every document."""
     return score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
@@ -45,8 +55,9 @@ def op10_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_main_text": op1_main_text,
     "op2_sentencepiece": op2_sentencepiece,
+    "op4_mixing": op4_mixing,
     "op6_quality": op6_quality,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op10_near_duplicates": op10_near_duplicates,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_mixing": mixing_sql(MIXTURE, MIXTURE_BUDGET)}
