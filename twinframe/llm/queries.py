@@ -13,6 +13,7 @@ from twinframe.llm.minhash_links import near_duplicates
 from twinframe.llm.mixing import mixed_sample, mixing_sql
 from twinframe.llm.piece_tokens import with_pieces
 from twinframe.llm.quality import score_quality
+from twinframe.llm.spot_signatures import fingerprints
 from twinframe.llm.suffix_dedup import removed_repeats
 
 # the wanted mixture: sources flattened, languages by share, topics nearly as they are
@@ -32,6 +33,11 @@ def op2_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return with_pieces(table(spark, folder, "documents"), PIECE_MODEL, keep=["doc_id"])
 
 
+def op3_spot_signatures(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's fingerprint, that of its edited text, and their likeness."""
+    return fingerprints(table(spark, folder, "documents"))
+
+
 def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's probability in a mixture of source, language and topic, and whether it is sampled."""
     return mixed_sample(table(spark, folder, "documents"), MIXTURE, MIXTURE_BUDGET)
@@ -55,6 +61,7 @@ def op10_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_main_text": op1_main_text,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_spot_signatures": op3_spot_signatures,
     "op4_mixing": op4_mixing,
     "op6_quality": op6_quality,
     "op8_suffix_dedup": op8_suffix_dedup,
