@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from twinframe.llm.collision_search import nearest_neighbours
 from twinframe.llm.common import table
 from twinframe.llm.main_text import main_text
 from twinframe.llm.minhash_links import near_duplicates
@@ -53,6 +54,11 @@ def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return removed_repeats(table(spark, folder, "documents"), length=400)
 
 
+def op9_collision_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth one."""
+    return nearest_neighbours(table(spark, folder, "embeddings"), k=10, every=100)
+
+
 def op10_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """Components of documents that share four fifths of their four-word shingles."""
     return near_duplicates(table(spark, folder, "documents"), shingle=4, percent=80)
@@ -65,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
     "op6_quality": op6_quality,
     "op8_suffix_dedup": op8_suffix_dedup,
+    "op9_collision_search": op9_collision_search,
     "op10_near_duplicates": op10_near_duplicates,
 }
 ORACLES: dict[str, str] = {"op4_mixing": mixing_sql(MIXTURE, MIXTURE_BUDGET)}
