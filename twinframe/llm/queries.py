@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from twinframe.llm.collision_search import nearest_neighbours
 from twinframe.llm.common import table
+from twinframe.llm.language import identify
 from twinframe.llm.main_text import main_text
 from twinframe.llm.minhash_links import near_duplicates
 from twinframe.llm.mixing import mixed_sample, mixing_sql
@@ -49,6 +50,11 @@ def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
     return score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op7_language(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every page; all documents teach the texts, all pages the hosts."""
+    return identify(table(spark, folder, "pages"), table(spark, folder, "documents"))
+
+
 def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every document without the 400-byte strings that occur elsewhere."""
     return removed_repeats(table(spark, folder, "documents"), length=400)
@@ -70,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_spot_signatures": op3_spot_signatures,
     "op4_mixing": op4_mixing,
     "op6_quality": op6_quality,
+    "op7_language": op7_language,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_collision_search": op9_collision_search,
     "op10_near_duplicates": op10_near_duplicates,
