@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from twinframe.llm.bloom_lm import score_texts
 from twinframe.llm.collision_search import nearest_neighbours
 from twinframe.llm.common import table
 from twinframe.llm.language import identify
@@ -45,6 +46,11 @@ def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixed_sample(table(spark, folder, "documents"), MIXTURE, MIXTURE_BUDGET)
 
 
+def op5_bloom_lm(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's log probability under the filter's model and the base model."""
+    return score_texts(table(spark, folder, "documents"))
+
+
 def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
     """A calibrated quality score of every document."""
     return score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
@@ -75,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_spot_signatures": op3_spot_signatures,
     "op4_mixing": op4_mixing,
+    "op5_bloom_lm": op5_bloom_lm,
     "op6_quality": op6_quality,
     "op7_language": op7_language,
     "op8_suffix_dedup": op8_suffix_dedup,

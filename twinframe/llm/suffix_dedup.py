@@ -322,7 +322,7 @@ def without_repeats(df: DataFrame, length: int = 400, n_chars: str | None = "n_c
     A character that a cut goes through is dropped. Texts without repeats, NULL ones included, and
     all other columns stay as they are. A column may not be called ``_spans`` or ``_digest``.
     """
-    marked = _with_spans(df, length, "text")
+    marked, names = _with_spans(df, length, "text"), df.columns
 
     def run(batches):
         for batch in batches:
@@ -331,11 +331,11 @@ def without_repeats(df: DataFrame, length: int = 400, n_chars: str | None = "n_c
             spans = batch.column("_spans").to_pylist()
             texts = batch.column("text").to_pylist()
             made = [_without(t.encode(), _merged(s)).decode("utf-8", "ignore") if s else t for t, s in zip(texts, spans)]
-            columns = {n: batch.column(n) for n in df.columns}
+            columns = {n: batch.column(n) for n in names}
             columns["text"] = pa.array(made, pa.string())
             if n_chars in columns:
                 counts = [len(m) if s else n for m, s, n in zip(made, spans, columns[n_chars].to_pylist())]
                 columns[n_chars] = pa.array(counts, columns[n_chars].type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return marked.select(*df.columns, "_spans").mapInArrow(run, df.schema)
+    return marked.select(*names, "_spans").mapInArrow(run, df.schema)
