@@ -7,11 +7,12 @@ chance of about 1e-8 to fail at the limit itself), so with the pairs ordered fro
 they share one of the first ``coordinates - matches + 1``; values that only one class has take
 places in that prefix and need no posting. Lists with the same members are looked at once.
 
-Links are found in two steps. First every class is compared with the list leader it agrees with
-most. The components of these links are formed; then only lists that still hold several
-components are merged in blocks, counting agreeing coordinates and skipping pairs of one
-component or of too different size. Every candidate is confirmed on the full sets. No list is
-capped, and no list is gathered whole: blocks have a fixed size.
+Links are found in two steps. First every class is compared with the one list leader it agrees
+with most; leaders are the members that share most coordinates with others, such as the original
+of many edited copies. Then only lists that still hold several components are merged in blocks,
+counting agreeing coordinates and skipping pairs of one component, of too different size, or
+with too many shingles that no other candidate has. Every candidate is confirmed on the full
+sets. No list is capped, and no list is gathered whole: blocks have a fixed size.
 """
 
 from __future__ import annotations
@@ -72,7 +73,10 @@ def signatures(df: DataFrame, shingle: int = 4) -> DataFrame:
 
 
 def prefix_postings(classes: DataFrame, matches: int) -> DataFrame:
-    """(list, node): the prefix of every class in rare-first order, one list per set of members."""
+    """(list, node, shared, size): the prefix of every class in rare-first order, one list per set of members.
+
+    ``shared`` is the number of coordinates that the class has in common with any other, ``size`` that of members.
+    """
     posted = classes.select(
         F.col("rep").alias("node"),
         F.explode(F.transform("signature", lambda v, i: i.cast("long") * F.lit(2**32) + v.cast("long") + F.lit(2**31))).alias("key"),
@@ -81,8 +85,8 @@ def prefix_postings(classes: DataFrame, matches: int) -> DataFrame:
     held = posted.join(shared, "key").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("keys"))
     prefix = cut_lineage(
         held.where(F.size("keys") >= matches)
-        .select("node", F.explode(F.slice("keys", F.lit(1), F.size("keys") - matches + 1)).alias("k"))
-        .select(F.col("k.key").alias("list"), "node")
+        .select("node", F.size("keys").alias("shared"), F.explode(F.slice("keys", F.lit(1), F.size("keys") - matches + 1)).alias("k"))
+        .select(F.col("k.key").alias("list"), "node", "shared")
     )
     # equal member sets: the same size and the same two sums of hashes
     member = F.xxhash64("node").cast("decimal(38,0)")
@@ -92,14 +96,16 @@ def prefix_postings(classes: DataFrame, matches: int) -> DataFrame:
     return cut_lineage(prefix.join(lists, "list"))
 
 
-def confirmed(pairs: DataFrame, documents: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (u, v) of classes whose full sets have ``100 * common >= percent * union``.
+def _texts(documents: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text) of the classes in some list; the only time that texts are moved."""
+    return cut_lineage(documents.join(nodes.select(F.col("node").alias("doc_id")).distinct(), "doc_id").select(F.col("doc_id").alias("node"), "text"))
 
-    The texts of both sides are brought to the pair; only classes in some pair are read.
-    """
+
+def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The pairs (u, v) of classes whose full sets have ``100 * common >= percent * union``."""
     pairs = pairs.select("u", "v")
-    left = pairs.join(documents.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u")), "u")
-    both = left.join(documents.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v")), "v").select("u", "v", "text_u", "text_v")
+    left = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("text_u")), "u")
+    both = left.join(texts.select(F.col("node").alias("v"), F.col("text").alias("text_v")), "v").select("u", "v", "text_u", "text_v")
 
     def run(batches):
         words = Words()
@@ -118,8 +124,12 @@ def confirmed(pairs: DataFrame, documents: DataFrame, shingle: int, percent: int
 
 
 def _leader_pairs(postings: DataFrame, classes: DataFrame, matches: int) -> DataFrame:
-    """Every class with the list leader it agrees with in most coordinates, at least ``matches``."""
-    leaders = cut_lineage(postings.groupBy("list").agg(F.min("node").alias("leader")))
+    """Every class with the list leader it agrees with in most coordinates, at least ``matches``.
+
+    A list's leader shares most coordinates with others, the smallest of equals, so links to leaders form no circle.
+    """
+    rank = F.struct("shared", (-F.col("node")).alias("node"))
+    leaders = cut_lineage(postings.groupBy("list").agg(F.max(rank).alias("r")).select("list", (-F.col("r.node")).alias("leader")))
     pairs = cut_lineage(postings.join(leaders, "list").where("node <> leader").select("node", "leader").distinct())
     mine = classes.select(F.col("rep").alias("node"), F.col("signature").alias("s"))
     theirs = classes.select(F.col("rep").alias("leader"), F.col("signature").alias("t"))
@@ -129,7 +139,37 @@ def _leader_pairs(postings: DataFrame, classes: DataFrame, matches: int) -> Data
     return best.select(F.col("node").alias("u"), (-F.col("best.leader")).alias("v"))
 
 
-def _open_pairs(postings: DataFrame, classes: DataFrame, linked: DataFrame, matches: int, percent: int) -> DataFrame:
+def _tops(parents: DataFrame) -> DataFrame:
+    """(node, root) of a forest (u, v), by doubling the length of the known paths."""
+    now = parents.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    while True:
+        above = now.select(F.col("node").alias("root"), F.col("root").alias("above"))
+        now = cut_lineage(now.join(above, "root", "left").select("node", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")))
+        moved = now.where("moved").limit(1).count()
+        now = now.drop("moved")
+        if not moved:
+            return now
+
+
+def _alone(texts: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """(node, alone): how many shingles of a class no other class among ``nodes`` has; none are left out."""
+
+    def run(batches):
+        words = Words()
+        for batch in batches:
+            for start in range(0, batch.num_rows, 200):
+                part = batch.slice(start, 200)
+                sets = [shingle_set(word_numbers(t, words), shingle) for t in strings(part, "text")]
+                owner = np.repeat(part.column("node").to_numpy(), [len(x) for x in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(np.concatenate(sets).view(np.int64))], names=["node", "shingle"])
+
+    node = texts.schema["node"].dataType.simpleString()
+    held = texts.join(nodes.distinct(), "node").mapInArrow(run, f"node {node}, shingle long")
+    single = held.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
+    return cut_lineage(single.groupBy("node").agg(F.count("*").alias("alone")))
+
+
+def _open_pairs(postings: DataFrame, classes: DataFrame, linked: DataFrame, texts: DataFrame, shingle: int, matches: int, percent: int) -> DataFrame:
     """Pairs of different components within lists that agree in at least ``matches`` coordinates."""
     root = F.coalesce("root", "node").alias("root")
     held = cut_lineage(postings.join(linked, "node", "left").select("list", "size", "node", root))
@@ -137,16 +177,22 @@ def _open_pairs(postings: DataFrame, classes: DataFrame, linked: DataFrame, matc
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     at = F.pmod(F.xxhash64("node", F.lit(3)), blocks).cast("int")
     # a member goes to the pairs of blocks that hold its own
-    rows = held.join(still, "list").withColumn("blocks", blocks).withColumn("at", at)
+    rows = cut_lineage(held.join(still, "list"))
+    bounds = classes.select(F.col("rep").alias("node"), "n_shingles", "signature").join(_alone(texts, rows.select("node"), shingle), "node", "left")
+    # with so many shingles of its own a class can't reach the wanted share with any other
+    bounds = bounds.select("node", "n_shingles", "signature", (F.col("n_shingles") - F.coalesce("alone", F.lit(0))).alias("common"))
+    bounds = cut_lineage(bounds.where(F.col("common") * 100 >= F.col("n_shingles") * percent))
+    rows = rows.withColumn("blocks", blocks).withColumn("at", at)
     rows = rows.select("list", "node", "root", "at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     rows = rows.select("list", "node", "root", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "at")
-    rows = rows.join(classes.select(F.col("rep").alias("node"), "n_shingles", "signature"), "node")
+    rows = rows.join(bounds, "node")
     ordered = rows.repartition("list", "i", "j").sortWithinPartitions("list", "i", "j")
     node = classes.schema["rep"].dataType
 
     def pairs_of(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
         marks = np.array([r["signature"] for r in rows], dtype=np.int32)
         n = np.array([r["n_shingles"] for r in rows])
+        common = np.array([r["common"] for r in rows])
         root = np.array([r["root"] for r in rows])
         side = np.array([r["at"] for r in rows])
         same_block = rows[0]["i"] == rows[0]["j"]
@@ -156,7 +202,8 @@ def _open_pairs(postings: DataFrame, classes: DataFrame, linked: DataFrame, matc
             fits = root[others] != root[at]
             if not same_block:
                 fits &= side[others] != side[at]
-            fits &= 100 * np.minimum(n[others], n[at]) >= percent * np.maximum(n[others], n[at])
+            most = np.minimum(common[others], common[at])
+            fits &= 100 * most >= percent * (n[others] + n[at] - most)
             others = others[fits]
             if len(others):
                 others = others[(marks[others] == marks[at]).sum(axis=1) >= matches]
@@ -200,11 +247,22 @@ def near_duplicates(df: DataFrame, shingle: int = 4, percent: int = 80, matches:
     copies = cut_lineage(usable.groupBy("digest").agg(F.min("doc_id").alias("rep")))
     classes = cut_lineage(usable.join(copies.select(F.col("rep").alias("doc_id"), F.col("digest").alias("same")), "doc_id").where("digest = same").select(F.col("doc_id").alias("rep"), "n_shingles", "signature").dropDuplicates(["rep"]))
     postings = prefix_postings(classes, matches)
-    first = cut_lineage(confirmed(_leader_pairs(postings, classes, matches), documents, shingle, percent))
-    linked = cut_lineage(components(first))
-    more = cut_lineage(_open_pairs(postings, classes, linked, matches, percent))
-    second = cut_lineage(confirmed(more, documents, shingle, percent))
-    roots = cut_lineage(components(first.union(second)))
+    texts = _texts(documents, postings)
+    linked = _tops(cut_lineage(confirmed(_leader_pairs(postings, classes, matches), texts, shingle, percent)))
+    more = cut_lineage(_open_pairs(postings, classes, linked, texts, shingle, matches, percent))
+    # links between components are few; only their components are looked for
+    top = linked.select(F.col("node"), F.col("root"))
+    between = confirmed(more, texts, shingle, percent)
+    between = between.join(top.toDF("u", "ru"), "u", "left").join(top.toDF("v", "rv"), "v", "left").select(F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v"))
+    between = cut_lineage(between.where("u <> v").distinct())
+    wider = cut_lineage(components(between)) if between.limit(1).count() else None
+    if wider is not None:
+        known = linked.join(wider.toDF("root", "wider"), "root", "left").select("node", F.coalesce("wider", "root").alias("root"))
+        linked = known.union(wider.join(linked.select("node"), "node", "left_anti").select("node", "root"))
+    # a component is named by its smallest member; the root itself is one
+    member = linked.union(linked.select(F.col("root").alias("node"), "root")).distinct()
+    least = cut_lineage(member.groupBy("root").agg(F.min("node").alias("least")))
+    roots = cut_lineage(member.join(least, "root").select("node", F.col("least").alias("root")))
     classed = signed.join(copies, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("rep")).alias("node"))
     out = classed.join(roots, "node", "left").select("doc_id", "n_shingles", F.coalesce("root", "node", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
