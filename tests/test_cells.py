@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from twinframe.functions import distributions as D
 from twinframe.functions.cells import canonical_text, clean_text, decimal_places, parse_number, round_half_up, round_to_places
 from twinframe.functions.rng import standard_normal, uniform, vote_choice, weighted_choice
+from twinframe.operators.moments import NumberStats
 from twinframe.operators.profile import apply_types, collect_profile, profile, profile_text
 from twinframe.operators.ranges import with_row_index
+from twinframe.plans.synthesize import jittered
 
 
 def column(spark, values, kind, expression):
@@ -167,3 +169,43 @@ def test_row_index_by_keys_of_any_type(spark, kind):
     rows = with_row_index(df, ["k", "id"], 20).orderBy("row_idx").collect()
     assert [r.row_idx for r in rows] == list(range(300))
     assert [r.id for r in rows] == list(range(300))
+
+
+@pytest.mark.parametrize(
+    "kind, values",
+    [
+        ("double", [None, 1.5, float("nan"), -2.0, None, float("nan"), 7.0]),
+        ("binary", [b"b", None, b"", b"a\xff", b"a"]),
+        ("string", ["x" * 100_000, None, "", "y" * 50_000 + "a", "y" * 50_000 + "b"]),
+    ],
+)
+def test_row_index_takes_any_key(spark, kind, values):
+    rows = spark.createDataFrame([(v,) for v in values], f"k {kind}")
+    numbered = with_row_index(rows, ["k"], 2).orderBy("row_idx").collect()
+    assert [r.row_idx for r in numbered] == list(range(len(values)))
+    rank = lambda v: (v is not None, v != v, v if v is not None and v == v else 0)
+    assert [rank(r.k) for r in numbered] == sorted(rank(v) for v in values)
+
+
+def test_a_key_with_copies_is_rejected(spark):
+    rows = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "k int, v string")
+    with pytest.raises(ValueError, match="not unique"):
+        with_row_index(rows, ["k"])
+
+
+def test_numbers_may_stand_between_any_white_space(spark):
+    rows = spark.createDataFrame([("12\u00a0",), ("\u20031.5 ",), ("1 2",)], "v string")
+    assert [r[0] for r in rows.select(parse_number(F.col("v"))).collect()] == [12.0, 1.5, None]
+
+
+def test_jitter_without_spread_or_number(spark):
+    row = spark.range(1).select(F.col("id").alias("i"), F.lit(3.25).alias("x"), F.lit(float("nan")).alias("gap"))
+    flat = NumberStats("x", 3.25, 0.0, 3.25, 3.25, False)
+    wide = NumberStats("gap", 1.0, 2.0, 0.0, 5.0, False)
+    out = row.select(jittered(F.col("x"), "x", flat, 2, 1), jittered(F.col("gap"), "gap", wide, 2, 1)).first()
+    assert out[0] == 3.25 and out[1] != out[1]
+
+
+def test_fractions_that_do_not_converge_raise():
+    with pytest.raises(ArithmeticError):
+        D._beta_fraction(float("inf"), 0.5, 0.9)

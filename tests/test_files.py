@@ -7,7 +7,7 @@ import pytest
 
 from twinframe.plans.files import import_csv, reset, synthesize_csv
 from twinframe.sources.csv import output_paths, read_csv, read_csv_errors
-from twinframe.sources.scratch import shared_folder
+from twinframe.sources.scratch import run_folder, shared_folder
 
 
 def write(folder, name, text):
@@ -76,7 +76,29 @@ def test_from_csv_to_all_three_results(spark, tmp_path):
     assert text[0] == "Statistical Comparison Report" and "age:" in text and text.index("age:") < text.index("dose:")
     assert os.path.basename(paths["summary"]) == "stats_summary_patients.csv"
     assert report.summary().first().total_numerical == 2
-    reset(made)
+
+
+def test_reset_deletes_the_run_and_keeps_results(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("twinframe.sources.scratch._runs", {})
+    path = write(tmp_path, "r.csv", "a,b\n" + "".join(f"{n % 13},{'xy'[n % 2]}\n" for n in range(60)))
+    synthesize_csv(spark, path, 20, 5, str(tmp_path))
+    folder = run_folder(spark)
+    assert os.path.isdir(folder)
+    reset(spark)
+    assert not os.path.exists(folder)
+    assert spark.read.csv(output_paths(str(tmp_path), path)["synthetic"], header=True).count() == 20
+
+
+@pytest.mark.parametrize("bad", ['"x"y,2', '"x,2'])
+def test_quote_errors_reject_the_import(spark, tmp_path, bad):
+    path = write(tmp_path, "quotes.csv", f"a,b\n1,2\n{bad}\n")
+    with pytest.raises(Exception, match="(?i)malformed|not closed|unescaped quote"):
+        import_csv(spark, path)
+
+
+def test_line_breaks_inside_quotes_are_found(spark, tmp_path):
+    path = write(tmp_path, "one.csv", 'a\n"x\n\ny"\n\nz\n')
+    assert [r.a for r in read_csv(spark, path).orderBy("row_idx").collect()] == ["x\n\ny", "z"]
 
 
 class Session:

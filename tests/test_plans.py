@@ -10,7 +10,9 @@ from twinframe.operators.moments import two_sample_moments
 from twinframe.operators.neighbours import first_copies
 from twinframe.operators.profile import profile
 from twinframe.operators.ranges import with_row_index
+from twinframe.plans.files import import_csv
 from twinframe.plans.catalogue import LINEITEM_NUMBERS, lineitem_sides, order_sides, table
+from twinframe.sources.scratch import cut_lineage
 
 
 def executed(df):
@@ -29,11 +31,34 @@ def test_scans_read_only_needed_columns_and_push_filters(spark):
     assert "EqualTo(l_returnflag,R)" in plan
 
 
-def test_running_counts_share_one_shuffle_of_distinct_values(spark):
-    for rows_per_range in (10**6, 500):
-        plan = executed(ks_test(rank_statistics(pooled_ecdf(*lineitem_sides(spark, SMALL), LINEITEM_NUMBERS, rows_per_range))))
-        assert "ReusedExchange" in plan and no_pairs(plan)
-        assert "partial_count" in plan  # equal values collapse before the shuffle
+def test_running_counts_start_from_distinct_values_read_once(spark, monkeypatch):
+    monkeypatch.setattr("twinframe.operators.ecdf.cut_lineage", lambda df: df)
+    plan = executed(ks_test(rank_statistics(pooled_ecdf(*lineitem_sides(spark, SMALL), LINEITEM_NUMBERS))))
+    assert no_pairs(plan) and "partial_count" in plan  # equal values collapse before the shuffle
+
+
+def test_ranges_hold_even_shares_of_distinct_values(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr("twinframe.operators.ecdf.cut_lineage", lambda df: kept.append(cut_lineage(df)) or kept[-1])
+    skewed = spark.range(20000).selectExpr("if(id % 20 = 0, cast(id as double), 0.0) AS x")
+    pooled_ecdf(skewed, skewed, ["x"], rows_per_range=100).collect()
+    sizes = [r["count"] for r in kept[-1].groupBy("_range").count().collect()]
+    assert len(sizes) >= 8 and max(sizes) <= 200
+
+
+def test_an_import_scans_the_text_at_most_three_times(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_text("a,b\n" + "".join(f"{n},w{n}\n" for n in range(100)))
+    before = scans(spark, str(path))
+    import_csv(spark, str(path))
+    assert len(scans(spark, str(path))) - len(before) <= 3
+
+
+def scans(spark, path):
+    """The executed plans that read a text file whole."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    plans = [store.executionsList().apply(at).physicalPlanDescription() for at in range(store.executionsList().size())]
+    return [p for p in plans if f"{path}]" in p and "InMemoryFileIndex" in p and "Limit" not in p]
 
 
 def test_category_totals_share_the_shuffled_counts(spark):
@@ -51,7 +76,7 @@ def test_row_index_windows_are_partitioned(spark, monkeypatch):
     monkeypatch.setattr("twinframe.operators.ranges.cut_lineage", lambda df: df)
     orders = table(spark, SMALL, "orders").select("o_orderkey", "o_orderdate")
     plan = executed(with_row_index(orders, ["o_orderkey"], 300))
-    assert "_range" in plan and no_pairs(plan)
+    assert "rangepartitioning" in plan and "SinglePartition" not in plan.split("Window")[0] and no_pairs(plan)
 
 
 def test_profile_shuffles_narrow_cells(spark):

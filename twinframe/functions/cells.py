@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 # What counts as a missing cell, a number and a boolean in loose text.
 MISSING_TOKENS = ("null", "continuous", "nan", "n/a", "undefined")
-NUMBER_PATTERN = r"^\s*-?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?\s*$"
+NUMBER_PATTERN = r"^-?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?$"
 BOOLEAN_CELLS = ("true", "TRUE", "false", "FALSE")
 NUMBER_LIMIT = float(2**53)
 
@@ -30,7 +30,8 @@ def clean_text(cell: Column) -> Column:
 
 def parse_number(cell: Column) -> Column:
     """The double a text cell spells, NULL when it is no plain finite number."""
-    number = F.when(cell.rlike(NUMBER_PATTERN), F.btrim(cell, F.lit(WHITE_SPACE)).try_cast("double"))
+    token = F.btrim(cell, F.lit(WHITE_SPACE))
+    number = F.when(token.rlike(NUMBER_PATTERN), token.try_cast("double"))
     return F.when(F.abs(number) < NUMBER_LIMIT, number)
 
 

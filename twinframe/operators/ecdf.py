@@ -8,8 +8,9 @@ from pyspark.sql.window import Window
 
 from twinframe.functions.distributions import normal_two_sided_p
 from twinframe.operators.moments import ALPHA
-from twinframe.operators.ranges import ROWS_PER_RANGE, range_edges, range_of
+from twinframe.operators.ranges import ROWS_PER_RANGE
 from twinframe.operators.sides import IS_ORIG, long_form, tagged_numbers
+from twinframe.sources.scratch import cut_lineage
 
 
 def pooled_ecdf(
@@ -17,17 +18,23 @@ def pooled_ecdf(
 ) -> DataFrame:
     """Distinct values per column with counts (c1, c2), running counts (k1, k2) and sizes (n1, n2).
 
-    Equal values collapse before the shuffle, so a value holding a third of all rows is one
-    row. Running counts are taken inside key ranges and shifted by the totals of the ranges
-    before; the largest window group is one range, not one column.
+    Both tables are read once: equal values collapse before the shuffle, so a value holding a
+    third of all rows is one row, and the distinct values are written. Running counts are taken
+    inside ranges of distinct values, which the engine cuts, and shifted by the totals of the
+    ranges before; the largest window group is one range, not one column.
     """
     pooled = long_form(tagged_numbers(orig, synth, columns), columns, "value")
-    counts = pooled.groupBy("column", "value").agg(
-        F.count_if(F.col(IS_ORIG)).alias("c1"), F.count_if(~F.col(IS_ORIG)).alias("c2")
+    counts = cut_lineage(
+        pooled.groupBy("column", "value").agg(
+            F.count_if(F.col(IS_ORIG)).alias("c1"), F.count_if(~F.col(IS_ORIG)).alias("c2")
+        )
     )
-    rows = (orig.count() + synth.count()) * len(columns)
-    keys = pooled.select("column", "value")
-    placed = counts.withColumn("_range", range_of(keys.schema, range_edges(keys, rows, rows_per_range)))
+    ranges = -(-counts.count() // rows_per_range)
+    if ranges > 1:
+        dealt = counts.repartitionByRange(ranges, "column", "value").withColumn("_range", F.spark_partition_id())
+        placed = cut_lineage(dealt)
+    else:
+        placed = counts.withColumn("_range", F.lit(0))
 
     column = Window.partitionBy("column")
     earlier = column.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -43,9 +50,8 @@ def pooled_ecdf(
     running = (
         Window.partitionBy("column", "_range").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    # Offsets hold at most one row per column and range. The join is a left one because an inner
-    # join would test the range of every raw row for NULL, and so no longer share the shuffle.
-    return placed.join(F.broadcast(offsets), ["column", "_range"], "left").select(
+    # offsets hold at most one row per column and range
+    return placed.join(offsets, ["column", "_range"]).select(
         "column",
         "value",
         "c1",

@@ -1,70 +1,40 @@
-"""Ordering work without a single-task window: key ranges and offsets between them.
+"""Ordering work without a single-task window: sorted ranges and offsets between them.
 
 A running total or dense row number over a whole table is a window without partitions, i.e.
-one task. Here the key space is cut into ranges of roughly equal size, each range is one
-window group, and the totals of earlier ranges (a small table) are added as offsets. The cut
-points come from a sample and only decide balance: every result is exact for any cut.
+one task. Here the engine deals the rows out in key ranges and sorts each; numbers within a
+range come from the sorted order, and the totals of earlier ranges (a small table) are added.
+Where the cuts fall only decides balance: every result is exact for any cut.
 """
 
 from __future__ import annotations
 
-import datetime
-import decimal
-import json
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from twinframe.sources.csv import ROW_INDEX
 from twinframe.sources.scratch import cut_lineage
 
 ROWS_PER_RANGE = 250_000
-MAX_RANGES = 8192
-_SAMPLE_PER_RANGE = 48
 _COPIES_PER_PIECE = 100_000
-
-
-def range_edges(keys: DataFrame, rows: int, rows_per_range: int = ROWS_PER_RANGE) -> list[tuple]:
-    """Cut points for the (non-null) key columns; none when one range holds everything.
-
-    The driver sees at most about MAX_RANGES x _SAMPLE_PER_RANGE sampled keys.
-    """
-    ranges = min(MAX_RANGES, -(-rows // rows_per_range))
-    if ranges <= 1:
-        return []
-    fraction = min(1.0, ranges * _SAMPLE_PER_RANGE / rows)
-    drawn = sorted(tuple(row) for row in keys.sample(fraction, seed=17).collect())
-    step = max(1, len(drawn) // ranges)
-    return sorted({drawn[at] for at in range(step, len(drawn), step)})
-
-
-def range_of(keys: T.StructType, edges: list[tuple]) -> Column:
-    """The number of edges not above the key, found by binary search."""
-    if not edges:
-        return F.lit(0)
-    key = F.struct(*[F.col(f"`{k.name}`") for k in keys])
-    # one literal, folded when the plan is optimised, however many edges there are
-    rows = json.dumps([{f"k{at}": _plain(v) for at, v in enumerate(edge)} for edge in edges])
-    fields = T.StructType([T.StructField(f"k{at}", k.dataType) for at, k in enumerate(keys)])
-    table = F.from_json(F.lit(rows), T.ArrayType(fields))
-    strides = F.array(*[F.lit(1 << bit) for bit in reversed(range(len(edges).bit_length()))])
-    return F.aggregate(
-        strides,
-        F.lit(0),
-        lambda at, stride: F.when(F.get(table, at + stride - 1) <= key, at + stride).otherwise(at),
+_IN_RANGE = 33  # bits of a growing id that count rows of one task
+
+
+def _sorted_ranges(rows: DataFrame, order_by: list[str], rows_per_range: int) -> DataFrame:
+    """Rows with their range (``_range``) and place in it (``_within``); written, so neither changes later."""
+    ranges = max(1, -(-rows.count() // rows_per_range))
+    names = [f"`{c}`" for c in order_by]
+    ordered = rows.repartitionByRange(ranges, *names).sortWithinPartitions(*names)
+    placed = cut_lineage(ordered.withColumn("_place", F.monotonically_increasing_id()))
+    return placed.select(
+        *[f"`{c}`" for c in rows.columns],
+        F.shiftright("_place", _IN_RANGE).cast("int").alias("_range"),
+        F.col("_place").bitwiseAND(F.lit((1 << _IN_RANGE) - 1)).alias("_within"),
     )
 
 
-def _plain(value: object) -> object:
-    if isinstance(value, (datetime.date, datetime.datetime)):
-        return value.isoformat()
-    return float(value) if isinstance(value, decimal.Decimal) else value
-
-
 def _offsets(sizes: DataFrame) -> DataFrame:
-    """Rows in earlier ranges, from (_range, _rows): a table of at most MAX_RANGES rows."""
+    """Rows in earlier ranges, from (_range, _rows): one row per range."""
     earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     return sizes.select("_range", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"))
 
@@ -72,40 +42,35 @@ def _offsets(sizes: DataFrame) -> DataFrame:
 def with_row_index(df: DataFrame, order_by: list[str], rows_per_range: int = 100_000) -> DataFrame:
     """Append the dense 0-based position of each row in the order of a unique key.
 
-    When the key names every column, rows with equal keys are copies of each other: they are
-    counted, numbered as one group, and multiplied out again, so any number of copies is fine.
-    Numbering sorts the table, so the result is written once and read from there.
+    NULL comes before all values of a key column and NaN after them. When the key names every
+    column, rows with equal keys are copies of each other: they are counted, numbered as one
+    group, and multiplied out again, so any number of copies is fine. Any other key must be
+    unique: a key that occurs twice raises. Numbering sorts the table, so the result is written
+    once and read from there.
     """
-    keys = df.select(*order_by)
-    edges = range_edges(keys, df.count(), rows_per_range)
     if set(df.columns) <= set(order_by):
-        return _index_copies(df, keys, edges)
-    placed = df.withColumn("_range", range_of(keys.schema, edges))
-    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order_by)) - 1
-    if not edges:
-        return cut_lineage(placed.withColumn(ROW_INDEX, within.cast("bigint")).drop("_range"))
+        return _index_copies(df, order_by, rows_per_range)
+    placed = _sorted_ranges(df, order_by, rows_per_range)
+    twice = placed.groupBy(*[f"`{c}`" for c in order_by]).agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1").limit(1).count()
+    if twice:
+        raise ValueError(f"the key {order_by} is not unique: name a unique key, or all columns")
     offsets = _offsets(placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows")))
-    return cut_lineage(
-        placed.withColumn("_within", within)
-        .join(F.broadcast(offsets), "_range", "left")
-        .withColumn(ROW_INDEX, (F.col("_offset") + F.col("_within")).cast("bigint"))
-        .drop("_range", "_offset", "_within")
-    )
+    index = (F.col("_offset") + F.col("_within")).cast("bigint").alias(ROW_INDEX)
+    return cut_lineage(placed.join(offsets, "_range").select(*[f"`{c}`" for c in df.columns], index))
 
 
-def _index_copies(rows: DataFrame, keys: DataFrame, edges: list[tuple]) -> DataFrame:
-    groups = rows.groupBy(*keys.columns).agg(F.count(F.lit(1)).alias("_copies"))
-    placed = groups.withColumn("_range", range_of(keys.schema, edges))
+def _index_copies(rows: DataFrame, order_by: list[str], rows_per_range: int) -> DataFrame:
+    names = [f"`{c}`" for c in rows.columns]
+    groups = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("_copies"))
+    placed = _sorted_ranges(cut_lineage(groups), list(dict.fromkeys(order_by)), rows_per_range)
     offsets = _offsets(placed.groupBy("_range").agg(F.sum("_copies").alias("_rows")))
-    before = Window.partitionBy("_range").orderBy(*keys.columns).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("_range").orderBy("_within").rowsBetween(Window.unboundedPreceding, -1)
     first = F.col("_offset") + F.coalesce(F.sum("_copies").over(before), F.lit(0))
-    numbered = cut_lineage(
-        placed.join(F.broadcast(offsets), "_range", "left").withColumn("_first", first).drop("_range", "_offset")
-    )
+    numbered = cut_lineage(placed.join(offsets, "_range").withColumn("_first", first).drop("_range", "_offset", "_within"))
 
     def multiplied(pieces: DataFrame) -> DataFrame:
         steps = F.sequence(F.col("_first"), F.col("_first") + F.col("_copies") - 1)
-        return pieces.withColumn(ROW_INDEX, F.explode(steps)).select(*rows.columns, ROW_INDEX)
+        return pieces.withColumn(ROW_INDEX, F.explode(steps)).select(*names, ROW_INDEX)
 
     # copies of a hot row are made by several tasks: cut them into pieces and spread those
     hot = F.col("_copies") > _COPIES_PER_PIECE

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from twinframe.functions.cells import category_text, is_numeric_type, valid_number
 
-IS_ORIG = "is_orig"
+# no column of a table is called so: the tables' own names stand beside it
+IS_ORIG = "__original_side__"
 
 
 def _number(df: DataFrame, name: str) -> Column:

@@ -31,7 +31,7 @@ from twinframe.plans.synthesize import (
     table_facts,
     with_neighbours,
 )
-from twinframe.sources.csv import ROW_INDEX, clean_cells, read_csv, write_csv
+from twinframe.sources.csv import ROW_INDEX, clean_cells, read_csv, write_csv, write_text
 from twinframe.sources.scratch import cut_lineage, new_folder
 
 SEED = 7
@@ -157,6 +157,21 @@ def row_index_orders(spark: SparkSession, folder: str) -> DataFrame:
     return with_row_index(orders, ["o_orderdate", "o_orderkey"], rows_per_range=2000).select("o_orderkey", ROW_INDEX)
 
 
+def row_index_gaps(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers with missing cells, all columns as key over many ranges; NULL comes first."""
+    columns = ["c_mktsegment", "c_acctbal", "c_digit", "c_nationkey", "c_custkey"]
+    rows = customers_with_gaps(spark, folder).select(*columns)
+    return with_row_index(rows, columns, rows_per_range=100).select("c_custkey", ROW_INDEX)
+
+
+def csv_roundtrip_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Conversations with quotes, separators and line breaks in their cells, out and in again."""
+    path = new_folder(spark, "conversations.csv")
+    text = F.concat("text", F.lit(' "quoted", and\nbelow '), "role")
+    write_csv(table(spark, folder, "conversations").select("conv_id", "turn", "role", text.alias("text")), path)
+    return read_csv(spark, path).drop(ROW_INDEX)
+
+
 # two-sample comparisons
 
 
@@ -189,6 +204,13 @@ def ks_test_lineitem(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(ks_test(rank_statistics(ecdf_lineitem(spark, folder))))
 
 
+def ks_test_skewed(spark: SparkSession, folder: str) -> DataFrame:
+    """One value holds nearly all rows of a column; ranges are cut by distinct values."""
+    price = F.when(F.col("l_orderkey") % 200 == 0, F.col("l_extendedprice")).otherwise(0.0)
+    sides = [side.withColumn("l_extendedprice", price) for side in lineitem_sides(spark, folder)]
+    return rounded(ks_test(rank_statistics(pooled_ecdf(*sides, LINEITEM_NUMBERS, rows_per_range=50))))
+
+
 def category_freq(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(category_shares(category_counts(*order_sides(spark, folder), ORDER_CATEGORIES)))
 
@@ -320,6 +342,14 @@ def synthesize_lineitem(spark: SparkSession, folder: str) -> DataFrame:
     return synthesize(lines, TARGET_SIZE, SEED, LINEITEM_KEY, LINEITEM_SYNTH, keep_row=True, strategy="blocked")
 
 
+def synthesize_clashing_names(spark: SparkSession, folder: str) -> DataFrame:
+    """Parts whose columns bear the names that the library uses for its own."""
+    names = dict(zip(PART_COLUMNS, ["z", "cats", "key", "is_orig", "neighbours"])) | {"p_partkey": "_range"}
+    parts = table(spark, folder, "part").select(*[F.col(c).alias(n) for c, n in names.items()])
+    columns = [names[c] for c in PART_COLUMNS]
+    return synthesize(parts, parts.count(), SEED, ["_range"], columns, strategy="blocked", rows_per_block=256)
+
+
 # reports
 
 
@@ -340,6 +370,31 @@ def stats_summary_csv(spark: SparkSession, folder: str) -> DataFrame:
     return _lineitem_report(spark, folder).stats_summary_text().drop("ordinal")
 
 
+def stats_summary_missing_column(spark: SparkSession, folder: str) -> DataFrame:
+    """The synthetic side lacks two columns: they count as missing there."""
+    orig, synth = lineitem_sides(spark, folder)
+    report = fidelity_report(orig, synth.drop("l_returnflag", "l_linestatus"), LINEITEM_COLUMNS)
+    return rounded(report.stats_summary()).drop("ordinal")
+
+
+def histograms_report(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(_lineitem_report(spark, folder).histograms())
+
+
+def text_sink(spark: SparkSession, folder: str) -> DataFrame:
+    """The text report written and read back."""
+    path = new_folder(spark, "report.txt")
+    write_text(_lineitem_report(spark, folder).text(), path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+def summary_sink(spark: SparkSession, folder: str) -> DataFrame:
+    """The summary written as CSV and read back as text."""
+    path = new_folder(spark, "stats_summary.csv")
+    write_csv(_lineitem_report(spark, folder).stats_summary_text().orderBy("ordinal").coalesce(1).drop("ordinal"), path)
+    return read_csv(spark, path).drop(ROW_INDEX)
+
+
 def test_results(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(_lineitem_report(spark, folder).tests())
 
@@ -380,7 +435,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         numeric_probe_events,
         clean_missing_tokens,
         csv_roundtrip,
+        csv_roundtrip_text,
         row_index_orders,
+        row_index_gaps,
         synthesis_stats_lineitem,
         describe_two_sample,
         t_test_lineitem,
@@ -388,6 +445,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         average_ranks_lineitem,
         mann_whitney_lineitem,
         ks_test_lineitem,
+        ks_test_skewed,
         category_freq,
         chi_square_cramers_v,
         tvd_events,
@@ -407,15 +465,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         synthesize_part,
         synthesize_part_blocked,
         synthesize_lineitem,
+        synthesize_clashing_names,
         stats_summary_lineitem,
         stats_summary_orders,
         stats_summary_csv,
+        stats_summary_missing_column,
         test_results,
         test_tables,
         categorical_table,
         descriptive_table,
         report_summary,
         text_report,
+        text_sink,
+        summary_sink,
+        histograms_report,
         synthesis_fidelity,
     )
 }

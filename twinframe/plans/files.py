@@ -10,7 +10,7 @@ from twinframe.operators.profile import ColumnProfile, apply_types, collect_prof
 from twinframe.plans.report import FidelityReport, fidelity_report
 from twinframe.plans.synthesize import synthesize
 from twinframe.sources.csv import ROW_INDEX, output_paths, read_csv, write_csv, write_text
-from twinframe.sources.scratch import cut_lineage
+from twinframe.sources.scratch import cut_lineage, release
 
 
 @dataclass(frozen=True)
@@ -22,7 +22,7 @@ class LooseTable:
     columns: list[ColumnProfile]
 
 
-def import_csv(spark: SparkSession, path: str, sep: str = ",", multi_line: bool = False) -> LooseTable:
+def import_csv(spark: SparkSession, path: str, sep: str = ",", multi_line: bool | None = None) -> LooseTable:
     """Read, clean, profile and type a CSV; fails when any row is malformed.
 
     The typed rows are written once, so that what follows reads columns instead of text.
@@ -55,7 +55,11 @@ def synthesize_csv(
     return report
 
 
-def reset(*tables: DataFrame) -> None:
-    """Give back whatever executors still hold of the given tables."""
+def reset(spark: SparkSession, *tables: DataFrame) -> None:
+    """Drop what executors hold of the given tables, and delete all intermediate tables of the run.
+
+    Results written by the sinks stay; imported and synthesized tables can't be read any more.
+    """
     for table in tables:
         table.unpersist()
+    release(spark)

@@ -393,6 +393,16 @@ zs AS (SELECT row_idx, {z}, c_mktsegment FROM orig, facts)
 SELECT row_idx, {r6('z_c_nationkey')}, {r6('z_c_acctbal')}, c_mktsegment FROM zs"""
 
 
+SKEWED = "SELECT * REPLACE (CASE WHEN l_orderkey % 200 = 0 THEN l_extendedprice ELSE 0 END AS l_extendedprice) FROM"
+CLASH = {"z": "p_brand", "cats": "p_type", "key": "p_size", "is_orig": "p_retailprice", "neighbours": "p_name"}
+CLASH_SYNTH = synthesis_ctes(
+    f"SELECT p_partkey AS part, {', '.join(f'{c} AS {n}' for n, c in CLASH.items())} FROM part",
+    "part",
+    ["key", "is_orig"],
+    ["z", "cats", "neighbours"],
+)
+A_LACKING = "SELECT * REPLACE (NULL::VARCHAR AS l_returnflag, NULL::VARCHAR AS l_linestatus) FROM lineitem WHERE l_returnflag = 'A'"
+
 TEST_SELECT = f'SELECT "column", {r6("statistic")}, {r6("p_value")}, is_similar FROM '
 
 ORACLES: dict[str, str] = {
@@ -414,6 +424,10 @@ SELECT *, CASE WHEN is_heuristic_categorical THEN 'Discrete' WHEN type = 'numeri
   c_mktsegment, row_number() OVER (ORDER BY c_custkey) - 1 AS row_idx FROM customer""",
     "row_index_orders": """SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS row_idx
 FROM orders""",
+    "row_index_gaps": f"""SELECT c_custkey, row_number() OVER (ORDER BY c_mktsegment NULLS FIRST, c_acctbal NULLS FIRST,
+  c_digit NULLS FIRST, c_nationkey NULLS FIRST, c_custkey) - 1 AS row_idx FROM ({GAPS})""",
+    "csv_roundtrip_text": """SELECT conv_id::VARCHAR AS conv_id, turn::VARCHAR AS turn, role,
+  text || ' "quoted", and' || chr(10) || 'below ' || role AS text FROM conversations""",
     "synthesis_stats_lineitem": union(
         [f"SELECT '{c}' AS \"column\", {r6(f'avg({c})', 'mean')}, {r6(f'stddev_pop({c})', 'std')}, "
          f"{r6(f'min({c})', 'min')}, {r6(f'max({c})', 'max')}, bool_and({c} = floor({c})) AS is_integer FROM lineitem"
@@ -426,6 +440,8 @@ FROM orders""",
 SELECT "column", v AS value, max(rnk)::DOUBLE AS rank, count(*) AS ties FROM ranked GROUP BY 1, 2""",
     "mann_whitney_lineitem": f"WITH {side_ctes(R, A)}, {rank_ctes(NUMBERS)} {TEST_SELECT} mann_whitney",
     "ks_test_lineitem": f"WITH {side_ctes(R, A)}, {rank_ctes(NUMBERS)} {TEST_SELECT} ks_test",
+    "ks_test_skewed": f"""WITH {side_ctes(f"{SKEWED} ({R})", f"{SKEWED} ({A})")}, {rank_ctes(NUMBERS)}
+{TEST_SELECT} ks_test""",
     "category_freq": f"""WITH {side_ctes(Y95, Y96)}, {category_ctes(['o_orderstatus', 'o_orderpriority'])}
 SELECT "column", category, c_orig, c_aug, n_orig, n_aug, {r6('p_orig')}, {r6('p_aug')} FROM shares""",
     "chi_square_cramers_v": f"""WITH {side_ctes(Y95, Y96)}, {category_ctes(['o_orderstatus', 'o_orderpriority'])}
@@ -455,6 +471,12 @@ SELECT i, s_nationkey_new::INTEGER AS s_nationkey, s_acctbal_new AS s_acctbal FR
     "synthesize_part": PART_SELECT,
     "synthesize_part_blocked": PART_SELECT,
     "synthesize_lineitem": f"WITH {LINE_SYNTH} {synthesized(LINE, NUMBERS, LINE[4:], LINE_TYPES)}",
+    "synthesize_clashing_names": f"WITH {CLASH_SYNTH} "
+    + synthesized(list(CLASH), ["key", "is_orig"], ["z", "cats", "neighbours"], {"key": "INTEGER", "is_orig": "DOUBLE"}, False),
+    "stats_summary_missing_column": report_ctes(
+        R, A_LACKING, LINEITEM_COLUMNS, NUMBERS, LINEITEM_CATEGORIES, ["l_linenumber", *NUMBERS, "l_tax"]
+    )
+    + f" {STATS_SELECT}",
     "stats_summary_lineitem": f"{LINE_REPORT} {STATS_SELECT}",
     "stats_summary_orders": report_ctes(
         Y95,
@@ -509,3 +531,7 @@ FROM tvd JOIN badges USING ("column") LEFT JOIN chi USING ("column")""",
     )
     + f" {STATS_SELECT}",
 }
+ORACLES["histograms_report"] = ORACLES["histogram_two_sample"]
+ORACLES["text_sink"] = f"SELECT line FROM ({ORACLES['text_report']})"
+ORACLES["summary_sink"] = f"""SELECT * REPLACE ("UniqueValues"::VARCHAR AS "UniqueValues")
+FROM ({ORACLES['stats_summary_csv']})"""

@@ -12,6 +12,7 @@ from twinframe.operators.frequency import category_counts, category_shares, cate
 from twinframe.operators.histogram import two_sample_histogram
 from twinframe.operators.moments import describe, t_test, two_sample_moments
 from twinframe.operators.profile import badge, collect_profile, profile, split_by_kind
+from twinframe.sources.csv import ROW_INDEX
 from twinframe.sources.scratch import cut_lineage
 
 # The unchanging lines of the text report.
@@ -298,13 +299,17 @@ def fidelity_report(
 ) -> FidelityReport:
     """Compare two tables column by column; kinds and precision come from the original only.
 
-    ``profiled`` is the profile of the original when there is one already, as after an import.
+    Every column of the original is reported; one that the synthetic table lacks counts as missing
+    in all its rows. ``profiled`` is the profile of the original when there is one already, as after an import.
     Both tables are read several times: write a table that is costly to compute first.
     """
     if profiled is None:
-        columns = columns or [c for c in orig.columns if c in synth.columns]
+        columns = columns or [c for c in orig.columns if c != ROW_INDEX or c in synth.columns]
         profiled = cut_lineage(profile(orig.select(*[f"`{c}`" for c in columns])))
-    numeric, categorical = split_by_kind(collect_profile(profiled))
+    kinds = collect_profile(profiled)
+    lacking = {c.column: F.lit(None).cast(orig.schema[c.column].dataType) for c in kinds if c.column not in synth.columns}
+    synth = synth.withColumns(lacking) if lacking else synth
+    numeric, categorical = split_by_kind(kinds)
     return FidelityReport(
         orig,
         synth,

@@ -18,6 +18,9 @@ from twinframe.sources.csv import ROW_INDEX
 # Fixed value: noise in units of a column's deviation.
 NOISE_FACTOR = 0.05
 
+# The source's columns carry this prefix while other columns (index, features, neighbours) stand beside them.
+OWN = "of_"
+
 
 @dataclass(frozen=True)
 class Facts:
@@ -83,7 +86,9 @@ def jittered(base: Column, name: str, stats: NumberStats, places: int, seed: int
 def synthetic_numbers(bases: DataFrame, facts: Facts, seed: int) -> DataFrame:
     """Replace every numeric column of bootstrapped rows by its jittered value."""
     made = {
-        c: jittered(valid_number(c, bases.schema[c].dataType), c, facts.stats[c], facts.precision[c], seed)
+        c: jittered(
+            valid_number(c, bases.schema[c].dataType), c.removeprefix(OWN), facts.stats[c], facts.precision[c], seed
+        )
         for c in facts.numeric
     }
     return bases.select(*[made[c].alias(c) if c in made else F.col(f"`{c}`") for c in bases.columns])
@@ -126,30 +131,35 @@ def synthesize(
     """A synthetic table of exactly ``target_size`` rows with the source's columns and order.
 
     ``order_by`` is a unique key giving the original row order (ignored when the table already
-    carries ``row_idx``, as CSV imports do). ``numeric`` fixes which columns are numerical; by
+    carries ``row_idx``, as CSV imports do; a ``row_idx`` named in ``columns`` is data like any other). ``numeric`` fixes which columns are numerical; by
     default that is settled by type and distinct count. The same seed gives the same rows under any
     partitioning. ``keep_row`` also returns the row number ``i``. Further arguments go to
     ``nearest_neighbours``.
     """
+    indexed = ROW_INDEX in df.columns and ROW_INDEX not in (columns or [])
     columns = columns or [c for c in df.columns if c != ROW_INDEX]
-    facts = table_facts(df, columns, numeric)
     kinds = {f.name: f.dataType for f in df.schema}
+    kept = dict.fromkeys([*columns, *([] if indexed else order_by)])
+    # whatever the columns are called, they can't be taken for the library's own
+    own = df.select(*([ROW_INDEX] if indexed else []), *[F.col(f"`{c}`").alias(OWN + c) for c in kept])
+    names, order_by = [OWN + c for c in columns], [OWN + c for c in order_by]
+    facts = table_facts(own, names, None if numeric is None else [OWN + c for c in numeric])
     if facts.rows == 0:
         empty = df.select(F.lit(0).cast("bigint").alias("i"), *[F.col(f"`{c}`") for c in columns])
         return empty if keep_row else empty.drop("i")
     if not facts.categorical:
-        found = synthetic_seeds(indexed_features(df, facts, order_by), facts, target_size, seed)
+        found = synthetic_seeds(indexed_features(own, facts, order_by), facts, target_size, seed)
         made = {}
     elif not facts.numeric and len(facts.categorical) == 1:
         # a lone categorical column has nothing to measure distance by: copy the seed row
-        found = bootstrap_rows(indexed_features(df, facts, order_by), facts.rows, target_size, seed)
+        found = bootstrap_rows(indexed_features(own, facts, order_by), facts.rows, target_size, seed)
         made = {}
     else:
-        found = with_neighbours(df, facts, target_size, seed, order_by, **search)
+        found = with_neighbours(own, facts, target_size, seed, order_by, **search)
         made = {
-            c: vote_choice(classes_of(t), uniform(seed, F.col("i"), f"{c}:pick"))
+            c: vote_choice(classes_of(t), uniform(seed, F.col("i"), f"{c.removeprefix(OWN)}:pick"))
             for t, c in enumerate(facts.categorical)
         }
     # the original is numbered and noised as double; integer columns return to their own type
-    picked = [made.get(c, F.col(f"`{c}`")).cast(kinds[c]).alias(c) for c in columns]
+    picked = [made.get(OWN + c, F.col(f"`{OWN + c}`")).cast(kinds[c]).alias(c) for c in columns]
     return found.select(*(["i"] if keep_row else []), *picked)

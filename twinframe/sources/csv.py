@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from twinframe.functions.cells import clean_text
+from twinframe.sources.scratch import cut_lineage
 
 ROW_INDEX = "row_idx"
 BROKEN_ROW = "_broken_row"
@@ -19,13 +20,29 @@ def _header(spark: SparkSession, path: str, sep: str) -> list[str]:
     return spark.read.csv(path, header=True, sep=sep, inferSchema=False).columns
 
 
-def read_csv(spark: SparkSession, path: str, sep: str = ",", multi_line: bool = False) -> DataFrame:
-    """Every column as text plus the row's file position; a malformed row fails the import.
+def _spans_lines(spark: SparkSession, path: str) -> bool:
+    """Whether quotes go on over line breaks, from the numbers of quotes per line; an open one at a file's end raises."""
+    lines = spark.read.text(path).select(
+        (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))).alias("quotes"),
+        F.col("_metadata.file_path").alias("file"),
+    )
+    files = lines.groupBy("file").agg(F.sum("quotes").alias("quotes"), F.count_if(F.col("quotes") % 2 == 1).alias("odd"))
+    odd, still_open = files.agg(F.coalesce(F.sum("odd"), F.lit(0)), F.count_if(F.col("quotes") % 2 == 1)).first()
+    if still_open:
+        raise ValueError(f"{path}: a quote is not closed")
+    return odd > 0
+
+
+def read_csv(spark: SparkSession, path: str, sep: str = ",", multi_line: bool | None = None) -> DataFrame:
+    """Every column as text plus the row's file position; a malformed row or quote fails the import.
 
     Columns stay text because a single ``null`` or ``n/a`` token would make schema inference
-    call a numeric column text. ``multi_line`` allows line breaks inside quotes, at the price
-    of one task per file.
+    call a numeric column text. Line breaks inside quotes are read as part of the cell: a scan
+    of the lines tells whether there are any, and only then one task reads a whole file.
+    ``multi_line`` spares the scan when the answer is known.
     """
+    if multi_line is None:
+        multi_line = _spans_lines(spark, path)
     schema = T.StructType([T.StructField(name, T.StringType()) for name in _header(spark, path, sep)])
     # a pruned scan would not notice malformed rows
     rows = spark.read.option("columnPruning", False).csv(
@@ -36,6 +53,7 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", multi_line: bool =
         mode="FAILFAST",
         multiLine=multi_line,
         escape='"',
+        unescapedQuoteHandling="RAISE_ERROR",
         enforceSchema=False,
         ignoreLeadingWhiteSpace=False,
         ignoreTrailingWhiteSpace=False,
@@ -64,14 +82,16 @@ def number_file_rows(rows: DataFrame) -> DataFrame:
 
     One task reads a file split in file order, so ids that grow within a task give the place
     inside the split. What is left to add is the number of rows in earlier splits: a table of
-    one row per split.
+    one row per split. The rows are written with their places, so a text source is read once.
     """
+    columns = [f"`{c}`" for c in rows.columns]
     placed = rows.select(
         "*",
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_place"),
     )
+    placed = cut_lineage(placed)
     splits = placed.groupBy("_file", "_start").agg(
         F.count(F.lit(1)).alias("_rows"), F.min("_place").alias("_first")
     )
@@ -82,9 +102,8 @@ def number_file_rows(rows: DataFrame) -> DataFrame:
         (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"),
     )
     return (
-        placed.join(F.broadcast(offsets), ["_file", "_start"])
-        .withColumn(ROW_INDEX, F.col("_place") + F.col("_shift"))
-        .drop("_file", "_start", "_place", "_shift")
+        placed.join(offsets, ["_file", "_start"])
+        .select(*columns, (F.col("_place") + F.col("_shift")).alias(ROW_INDEX))
     )
 
 

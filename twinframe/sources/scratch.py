@@ -24,9 +24,25 @@ def shared_folder(spark: SparkSession) -> str:
     return _temporary_folder(spark.sparkContext.applicationId)
 
 
+_runs: dict[str, str] = {}
+
+
+def run_folder(spark: SparkSession) -> str:
+    """The folder in the shared one that holds everything written since the start or the last release."""
+    return _runs.setdefault(spark.sparkContext.applicationId, f"{shared_folder(spark)}/run-{uuid.uuid4().hex}")
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no earlier run has used."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path in the run's folder that nothing has used."""
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the run's folder; tables that are still read from it are lost, results written elsewhere are not."""
+    folder = _runs.pop(spark.sparkContext.applicationId, None)
+    if folder:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
