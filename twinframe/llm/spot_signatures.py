@@ -67,8 +67,9 @@ def spot_set(text: str, numbers: _Numbers) -> np.ndarray:
     return np.unique((made >> np.uint64(32)).astype(np.uint32))
 
 
-def fingerprint(signatures: np.ndarray) -> str:
-    return signatures.astype(">u4").tobytes().hex()
+def fingerprint(signatures: np.ndarray) -> bytes:
+    """The sorted signatures as big-endian bytes; in results they appear as hex."""
+    return signatures.astype(">u4").tobytes()
 
 
 def length_partition(size: int, likeness: float) -> int:
@@ -93,7 +94,7 @@ def jaccard(a: np.ndarray, b: np.ndarray, at_least: float = 0.0) -> float:
     return common / (total - common)
 
 
-_RESULT = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_RESULT = "n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
 class _Compared:
@@ -175,4 +176,5 @@ def fingerprints(df: DataFrame) -> DataFrame:
             made.rows = []
 
     edges = lasts.join(after, "part").join(firsts, "next").select("doc_id", "text", "following").mapInArrow(finish, T.StructType(schema.fields[: len(results)]))
-    return table.where("edge IS NULL").select(*results).unionByName(edges)
+    whole = table.where("edge IS NULL").select(*results).unionByName(edges)
+    return whole.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
