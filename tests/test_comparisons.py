@@ -146,3 +146,11 @@ def test_histogram_of_one_value_and_of_none(spark):
     one = two_sample_histogram(numbers(spark, [2.0]), numbers(spark, [2.0]), ["x"]).where("orig_share > 0").collect()
     assert [(r.bin, r.orig_share) for r in one] == [(0, 1.0)]
     assert two_sample_histogram(numbers(spark, [None]), numbers(spark, [None]), ["x"]).count() == 0
+
+
+def test_missing_columns_are_reported(spark):
+    orig = spark.createDataFrame([(n / 2, "ab"[n % 2], n) for n in range(40)], "x double, is_orig string, column int")
+    report = fidelity_report(orig, orig.select("column"), exact_counts=False)
+    rows = {r.variable: r for r in report.stats_summary().collect()}
+    assert set(rows) == {"x", "is_orig", "column"}
+    assert rows["is_orig"].tvd == 1.0 and rows["x"].ks_p == 1.0 and rows["column"].tvd is None

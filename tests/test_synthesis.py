@@ -157,3 +157,23 @@ def test_kinds_and_features(spark):
     z, cats = feature_arrays(source, facts.numeric, facts.categorical, facts.stats)
     row = source.where("c_acctbal is null").select(z.alias("z"), cats.alias("cats")).first()
     assert row.z[1] == 0.0 and len(row.cats) == 2
+
+
+def test_names_of_the_library_are_free_for_columns(spark):
+    rows = [(n, "ab"[n % 2], n % 17 / 2.0, "xyz"[n % 3], n % 13, f"v{n % 4}") for n in range(120)]
+    own = spark.createDataFrame(rows, "i int, z string, key double, cats string, row_idx int, neighbours string")
+    names = ["z", "key", "cats", "row_idx", "neighbours"]
+    broadcast = synthesize(own, 40, 3, ["i"], names).collect()
+    blocked = synthesize(own, 40, 3, ["i"], names, strategy="blocked", rows_per_block=16).collect()
+    assert sorted(map(repr, broadcast)) == sorted(map(repr, blocked)) and len(broadcast) == 40
+    assert {r.z for r in broadcast} <= {"a", "b"} and {r.cats for r in broadcast} <= {"x", "y", "z"}
+
+
+def test_wide_tables_stay_within_the_driver_budget(spark, monkeypatch):
+    monkeypatch.setattr("twinframe.operators.neighbours.DRIVER_BYTES", 60 * 8 * 8 * 4)
+    rng = random.Random(2)
+    points = [(n, [rng.random() for _ in range(59)], [rng.choice("ab")]) for n in range(300)]
+    originals = spark.createDataFrame(points, "row_idx bigint, z array<double>, cats array<string>")
+    seeds = originals.limit(20).withColumnRenamed("row_idx", "i")
+    forms = [neighbour_rows(nearest_neighbours(seeds, 20, originals, 59, 1, strategy=s, **o)) for s, o in (("broadcast", {}), ("blocked", {"rows_per_block": 10}))]
+    assert forms[0] == forms[1]

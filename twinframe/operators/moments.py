@@ -46,8 +46,9 @@ def synthesis_stats(df: DataFrame, columns: list[str]) -> DataFrame:
 def steady_stats(row: Row) -> NumberStats:
     """Statistics for use in later expressions, at 12 significant digits.
 
-    The order in which partial sums meet moves the last digits of a mean; rounding them off
-    keeps distances, and so neighbour ties, the same in every run and partitioning.
+    The order in which partial sums meet moves the last digits of a mean. Rounding them off makes it
+    rare that two runs differ in distances, and so in neighbour ties; two sums on both sides of a
+    rounding edge still can.
     """
     mean, std = (float(f"{row[x]:.12g}") for x in ("mean", "std"))
     return NumberStats(row["column"], mean, std, row["min"], row["max"], row["is_integer"])

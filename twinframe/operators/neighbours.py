@@ -44,7 +44,8 @@ ROWS_PER_BLOCK = 4096
 QUERIES_PER_BLOCK = 8192
 MAX_BLOCKS = 1 << 18
 _SAMPLE_PER_BLOCK = 12
-_MAX_SAMPLE = 2_000_000
+# what the driver may hold of the sample and of the tree's boxes, whatever the number of columns
+DRIVER_BYTES = 256 * 1024 * 1024
 _NEARBY_BLOCKS = 2
 _TIGHTEN_FROM = 512
 
@@ -407,9 +408,11 @@ def _by_blocks(
     size = keyed.agg(
         F.count(F.lit(1)).alias("rows"), F.approx_count_distinct(F.xxhash64("z", "cats")).alias("distinct")
     ).first()
-    blocks = min(MAX_BLOCKS, max(1, -(-min(size["rows"], k * size["distinct"]) // rows_per_block)))
+    row_bytes = 8 * (numeric + categories)
+    most = min(MAX_BLOCKS, DRIVER_BYTES // (8 * row_bytes))  # low and high of a block, in tree and table
+    blocks = max(1, min(most, -(-min(size["rows"], k * size["distinct"]) // rows_per_block)))
     depth = (blocks - 1).bit_length()
-    wanted = min(_MAX_SAMPLE, _SAMPLE_PER_BLOCK << depth)
+    wanted = min(DRIVER_BYTES // (2 * row_bytes), _SAMPLE_PER_BLOCK << depth)
     # the sample only places the cuts; its size is bounded by the number of blocks
     drawn = keyed.sample(min(1.0, wanted / max(1, size["rows"])), seed=29).select("key").toArrow()
     sample = np.unique(_matrix(drawn["key"], len(drawn)).reshape(len(drawn), numeric + categories), axis=0)
@@ -429,7 +432,7 @@ def _by_blocks(
     )
     placed, sizes = _thin_out(placed, leaves, sizes, 4 * rows_per_block, k)
     parts = spark.createDataFrame(
-        pa.table({"leaf": leaves, "parts": np.maximum(1, -(-sizes // (8 * rows_per_block)))})
+        pa.table({"leaf": leaves, "size": sizes, "parts": np.maximum(1, -(-sizes // (8 * rows_per_block)))})
     )
 
     def search(visits: DataFrame) -> DataFrame:
@@ -532,7 +535,8 @@ def _search_blocks(
     """
     load = visits.groupBy("leaf").agg(F.count(F.lit(1)).alias("queries")).join(F.broadcast(parts), "leaf")
     plan = F.broadcast(load.select("leaf", "parts", F.ceil(F.col("queries") / queries_per_block).alias("chunks")))
-    tasks = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = load.agg(F.coalesce(F.sum(F.col("queries") * F.col("size")), F.lit(0))).first()[0]
+    tasks = max(int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pairs // PAIRS_PER_TASK))
 
     queries = (
         visits.join(plan, "leaf")

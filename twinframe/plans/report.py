@@ -295,17 +295,22 @@ class FidelityReport:
 
 
 def fidelity_report(
-    orig: DataFrame, synth: DataFrame, columns: list[str] | None = None, profiled: DataFrame | None = None
+    orig: DataFrame,
+    synth: DataFrame,
+    columns: list[str] | None = None,
+    profiled: DataFrame | None = None,
+    exact_counts: bool = True,
 ) -> FidelityReport:
     """Compare two tables column by column; kinds and precision come from the original only.
 
     Every column of the original is reported; one that the synthetic table lacks counts as missing
     in all its rows. ``profiled`` is the profile of the original when there is one already, as after an import.
+    ``exact_counts=False`` estimates distinct counts, as ``profile`` does, for tables where an exact count costs too much.
     Both tables are read several times: write a table that is costly to compute first.
     """
     if profiled is None:
         columns = columns or [c for c in orig.columns if c != ROW_INDEX or c in synth.columns]
-        profiled = cut_lineage(profile(orig.select(*[f"`{c}`" for c in columns])))
+        profiled = cut_lineage(profile(orig.select(*[f"`{c}`" for c in columns]), exact=exact_counts))
     kinds = collect_profile(profiled)
     lacking = {c.column: F.lit(None).cast(orig.schema[c.column].dataType) for c in kinds if c.column not in synth.columns}
     synth = synth.withColumns(lacking) if lacking else synth
