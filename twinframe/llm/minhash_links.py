@@ -11,8 +11,9 @@ Links are found in two steps. First every class is compared with the one list le
 with most; leaders are the members that share most coordinates with others, such as the original
 of many edited copies. Then only lists that still hold several components are merged in blocks,
 counting agreeing coordinates and skipping pairs of one component, of too different size, or
-with too many shingles that no other candidate has. Every candidate is confirmed on the full
-sets. No list is capped, and no list is gathered whole: blocks have a fixed size.
+with too many shingles that no other candidate has; what is left must also agree in a longer
+signature, and is put out by the first list that both members share. Every candidate is
+confirmed on the full sets. No list is capped, and no list is gathered whole: blocks have a fixed size.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from twinframe.llm.shingles import Words, intersection, set_digest, shingle_set,
 
 COORDINATES = 64
 MATCHES = 30  # a binomial(64, 0.8) count falls below it with a chance under 1e-8
+WIDE = 512  # coordinates of the longer signature that members of open lists get, a byte each
+WIDE_SLACK = 6.0  # standard deviations that its count may fall short of the wanted similarity
 BLOCK = 1024  # members of a list compared in one task
 
 
@@ -98,7 +101,9 @@ def prefix_postings(classes: DataFrame, matches: int) -> DataFrame:
 
 def _texts(documents: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, text) of the classes in some list; the only time that texts are moved."""
-    return cut_lineage(documents.join(nodes.select(F.col("node").alias("doc_id")).distinct(), "doc_id").select(F.col("doc_id").alias("node"), "text"))
+    wanted = nodes.select(F.col("node").alias("doc_id")).distinct()
+    # the same join at every size: few classes now don't mean few later
+    return cut_lineage(documents.join(wanted.hint("merge"), "doc_id").select(F.col("doc_id").alias("node"), "text"))
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -169,6 +174,22 @@ def _alone(texts: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
     return cut_lineage(single.groupBy("node").agg(F.count("*").alias("alone")))
 
 
+def _wide_signatures(texts: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """(node, wide): the longer signature as bytes."""
+
+    def make():
+        words, (odd, shift) = Words(), _coefficients(WIDE)
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            sets = (shingle_set(word_numbers(t, words), shingle) for t in strings(batch, "text"))
+            made = [signature(x, odd, shift).astype(np.uint8).tobytes() for x in sets]
+            return pa.RecordBatch.from_arrays([batch.column("node"), pa.array(made, pa.binary())], names=["node", "wide"])
+
+        return step
+
+    return per_batch(texts.join(nodes.distinct(), "node"), f"node {texts.schema['node'].dataType.simpleString()}, wide binary", make)
+
+
 def _open_pairs(postings: DataFrame, classes: DataFrame, linked: DataFrame, texts: DataFrame, shingle: int, matches: int, percent: int) -> DataFrame:
     """Pairs of different components within lists that agree in at least ``matches`` coordinates."""
     root = F.coalesce("root", "node").alias("root")
@@ -182,6 +203,10 @@ def _open_pairs(postings: DataFrame, classes: DataFrame, linked: DataFrame, text
     # with so many shingles of its own a class can't reach the wanted share with any other
     bounds = bounds.select("node", "n_shingles", "signature", (F.col("n_shingles") - F.coalesce("alone", F.lit(0))).alias("common"))
     bounds = cut_lineage(bounds.where(F.col("common") * 100 >= F.col("n_shingles") * percent))
+    lists = postings.groupBy("node").agg(F.bit_or(F.expr("shiftleft(1L, cast(shiftright(list, 32) as int))")).alias("lists"))
+    bounds = cut_lineage(bounds.join(_wide_signatures(texts, bounds.select("node"), shingle), "node").join(lists, "node"))
+    share = percent / 100
+    wide_matches = WIDE * share - WIDE_SLACK * (WIDE * share * (1 - share)) ** 0.5
     rows = rows.withColumn("blocks", blocks).withColumn("at", at)
     rows = rows.select("list", "node", "root", "at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     rows = rows.select("list", "node", "root", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "at")
@@ -195,6 +220,10 @@ def _open_pairs(postings: DataFrame, classes: DataFrame, linked: DataFrame, text
         common = np.array([r["common"] for r in rows])
         root = np.array([r["root"] for r in rows])
         side = np.array([r["at"] for r in rows])
+        wide = np.frombuffer(b"".join(r["wide"] for r in rows), dtype=np.uint8).reshape(len(rows), WIDE)
+        held = np.array([r["lists"] for r in rows], dtype=np.int64).view(np.uint64)
+        posted = (held[:, None] >> np.arange(COORDINATES, dtype=np.uint64)) & np.uint64(1) > 0
+        coordinate = rows[0]["list"] >> 32
         same_block = rows[0]["i"] == rows[0]["j"]
         u, v = [], []
         for at in range(len(rows) - 1):
@@ -206,7 +235,11 @@ def _open_pairs(postings: DataFrame, classes: DataFrame, linked: DataFrame, text
             fits &= 100 * most >= percent * (n[others] + n[at] - most)
             others = others[fits]
             if len(others):
-                others = others[(marks[others] == marks[at]).sum(axis=1) >= matches]
+                equal = marks[others] == marks[at]
+                # of all lists that both are in, the first one puts the pair out
+                first = (equal & posted[others] & posted[at]).argmax(axis=1) == coordinate
+                others = others[(equal.sum(axis=1) >= matches) & first]
+                others = others[(wide[others] == wide[at]).sum(axis=1) >= wide_matches]
                 u += [at] * len(others)
                 v += others.tolist()
         return u, v
