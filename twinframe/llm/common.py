@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from twinframe.sources.scratch import cut_lineage, new_folder  # noqa: F401  (for the operators)
+from twinframe.sources.scratch import cut_lineage  # noqa: F401  (the operators take it from here)
 
 Batches = Iterator[pa.RecordBatch]
 
@@ -39,8 +39,3 @@ def per_batch(df: DataFrame, schema: str | T.StructType, make: Callable[[], Call
                 yield step(batch)
 
     return df.mapInArrow(run, schema)
-
-
-def aggregate_schema(df: DataFrame, names: list[str]) -> T.StructType:
-    """The fields ``names`` of a table, all nullable."""
-    return T.StructType([T.StructField(n, df.schema[n].dataType, True) for n in names])
