@@ -14,7 +14,6 @@ from __future__ import annotations
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 import twinframe
 from twinframe.llm.common import cut_lineage, table

@@ -18,7 +18,8 @@ from twinframe.llm.main_text import best_region, extract, label_weights, main_te
 from twinframe.llm.mixing import mixed_documents, mixed_sample
 from twinframe.llm.piece_tokens import Pieces, with_pieces
 from twinframe.llm.quality import isotonic, keep_quality, score_quality, statistics
-from twinframe.llm.spot_signatures import fingerprints, jaccard, length_partition
+from twinframe.llm import spot_signatures
+from twinframe.llm.spot_signatures import fingerprints, jaccard, length_partition, similar_documents, spot_sets
 from twinframe.llm.suffix_sort import repeated
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -156,6 +157,34 @@ def test_fingerprints_of_edited_texts(documents, nothing):
     assert lone.near_next == 1.0
 
 
+def test_similar_documents(spark, documents, nothing, monkeypatch):
+    monkeypatch.setattr(spot_signatures, "BLOCK", 8)
+    draw = random.Random(12)
+    base = prose(60, 200).split()
+    rows = [(r[0], r[1]) for r in odd_documents()]
+    for n in range(40):
+        own = list(base)
+        for _ in range(draw.randint(0, 14)):
+            own[draw.randrange(len(own))] = f"w{draw.randint(0, 10**6)}"
+        rows.append((500 - n, " ".join(own)))
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, node int, spot int").repartition(4)
+    sets = [(r.doc_id, set(r.spots)) for r in spot_sets(df).collect()]
+    root = {d: d for d, _ in sets if d is not None}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, s in sets:
+        for b, t in sets:
+            if a is not None and b is not None and len(s & t) >= 0.8 * len(s | t):
+                x, y = top(a), top(b)
+                root[max(x, y)] = min(x, y)
+    assert Counter(map(tuple, similar_documents(df).collect())) == Counter((d, None if d is None else top(d)) for d, _ in sets)
+    assert similar_documents(nothing).count() == 0
+
+
 def test_pruned_jaccard():
     draw = random.Random(1)
     for _ in range(300):

@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from twinframe.llm.common import cut_lineage, strings
+from twinframe.llm.common import cut_lineage, per_batch, strings
+from twinframe.llm.components import components
 from twinframe.llm.shingles import _ODD, REMEMBERED, mixed
 
 # fixed values: common words of four languages
@@ -34,6 +35,7 @@ ANCHORS = (
     "el y los del las por con no su para al lo como más o pero sus este ya entre cuando muy sin sobre"
 ).split()
 CHAIN = 2
+BLOCK = 512  # members of a list that are compared in one task
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -178,3 +180,96 @@ def fingerprints(df: DataFrame) -> DataFrame:
     edges = lasts.join(after, "part").join(firsts, "next").select("doc_id", "text", "following").mapInArrow(finish, T.StructType(schema.fields[: len(results)]))
     whole = table.where("edge IS NULL").select(*results).unionByName(edges)
     return whole.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
+
+
+def spot_sets(df: DataFrame) -> DataFrame:
+    """doc_id and spots: the sorted distinct signatures of every text, never empty."""
+    schema = T.StructType([df.schema["doc_id"], T.StructField("spots", T.ArrayType(T.LongType()))])
+
+    def make():
+        numbers = _Numbers()
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            made = [spot_set(t, numbers).astype(np.int64) for t in strings(batch, "text")]
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made, pa.list_(pa.int64()))], names=["doc_id", "spots"])
+
+        return step
+
+    return per_batch(df.select("doc_id", "text"), schema, make)
+
+
+def _meetings(classes: DataFrame, likeness: float) -> DataFrame:
+    """(partition, spot, node, own): where classes meet. Each posts its rarest spots, as many as a similar
+    set must share one of, in its own length partition and, as a guest, in that of longer sets."""
+    single = classes.select("node", F.explode("spots").alias("spot"))
+    often = cut_lineage(single.groupBy("spot").agg(F.count("*").alias("n")).where("n > 1"))
+    shared = single.join(often, "spot").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "spot"))).alias("held"))
+    size, shares = F.size("spots"), F.size("held")
+    # spots that no other class has come first and meet nobody
+    take = shares - F.ceil(size * likeness - 1e-9).cast("int") + 1
+    posted = classes.join(shared, "node").where(take > 0)
+    partition = F.floor(F.log(size.cast("double")) / -math.log(likeness) + 1e-9).cast("int")
+    rows = posted.select("node", partition.alias("home"), F.explode(F.slice("held", F.lit(1), take)).alias("h"))
+    rows = rows.select("node", "home", F.col("h.spot").alias("spot"), F.explode(F.array("home", F.col("home") + 1)).alias("partition"))
+    return cut_lineage(rows.select("partition", "spot", "node", (F.col("home") == F.col("partition")).alias("own")))
+
+
+def similar_documents(df: DataFrame, likeness: float = 0.8) -> DataFrame:
+    """doc_id and class_id of every row: the smallest doc_id reachable over pairs of spot sets at least ``likeness`` alike.
+
+    Equal sets are one class from the start. Others meet in lists of a length partition and a spot;
+    lists are compared in blocks, with pruned Jaccard, and give only the links that join what wasn't
+    joined yet, so no group is expanded into its pairs. A NULL id has no class; a NULL text counts as
+    empty, and empty texts are alike. ``likeness`` lies between 0 and 1, both excluded.
+    """
+    signed = cut_lineage(spot_sets(df))
+    copies = cut_lineage(signed.where("doc_id IS NOT NULL").groupBy("spots").agg(F.min("doc_id").alias("node")))
+    meetings = _meetings(copies, likeness)
+    lists = meetings.groupBy("partition", "spot").agg(F.count("*").alias("size"), F.max("own").alias("some")).where("size > 1 AND some")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    rows = meetings.join(cut_lineage(lists), ["partition", "spot"]).withColumn("at", F.pmod(F.xxhash64("node", F.lit(3)), blocks).cast("int"))
+    rows = rows.select("partition", "spot", "node", "own", "at", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    keys = ["partition", "spot", "i", "j"]
+    rows = rows.select("partition", "spot", "node", "own", "at", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"))
+    # two classes share one list as a rule, and a copy of an id in two classes is one node
+    ordered = rows.join(copies, "node").repartition(*keys).sortWithinPartitions(*keys, "node")
+
+    def links(rows: list[dict]) -> list[tuple]:
+        root = list(range(len(rows)))
+
+        def top(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        sets, out = [np.array(r["spots"]) for r in rows], []
+        for b in range(1, len(rows)):
+            for a in range(b):
+                if rows[a]["own"] or rows[b]["own"]:
+                    x, y = top(a), top(b)
+                    if x != y and jaccard(sets[a], sets[b], likeness) >= likeness:
+                        root[y] = x
+                        out.append((rows[b]["node"], rows[a]["node"]))
+        return out
+
+    def run(batches):
+        kept: list[dict] = []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if kept and any(row[k] != kept[0][k] for k in keys):
+                    yield from flush(kept)
+                    kept = []
+                kept.append(row)
+        if kept:
+            yield from flush(kept)
+
+    def flush(kept: list[dict]):
+        found = links(kept)
+        if found:
+            yield pa.RecordBatch.from_pydict({"u": [u for u, _ in found], "v": [v for _, v in found]})
+
+    kind = df.schema["doc_id"].dataType
+    edges = cut_lineage(ordered.mapInArrow(run, T.StructType([T.StructField("u", kind), T.StructField("v", kind)])))
+    roots = cut_lineage(components(edges))
+    return signed.join(copies, "spots", "left").join(roots, "node", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "node")).alias("class_id"))
