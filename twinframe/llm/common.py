@@ -29,13 +29,22 @@ def strings(batch: pa.RecordBatch, name: str) -> list[str]:
     return [x or "" for x in batch.column(name).to_pylist()]
 
 
+ROWS_AT_ONCE = 1000  # rows of an Arrow batch that are turned into Python objects together
+
+
+def slices(batches: Batches, rows: int = ROWS_AT_ONCE) -> Batches:
+    """Arrow batches in pieces of bounded row count, so that a task holds few texts at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def per_batch(df: DataFrame, schema: str | T.StructType, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]) -> DataFrame:
-    """Map Arrow batches; ``make`` runs once per task and returns the function for one batch."""
+    """Map slices of Arrow batches; ``make`` runs once per task and returns the function for one slice."""
 
     def run(batches: Batches) -> Batches:
         step = make()
-        for batch in batches:
-            if batch.num_rows:
-                yield step(batch)
+        for batch in slices(batches):
+            yield step(batch)
 
     return df.mapInArrow(run, schema)

@@ -25,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from twinframe.llm.common import per_batch, strings
+from twinframe.llm.common import slices, strings
 
 MARK = "▁"
-REMEMBERED = 400_000  # chunks kept per Python worker; a fuller memory is emptied
+REMEMBERED = 300_000  # chunks kept in a task; a fuller memory is emptied
 LONG_CHUNK = 64  # longer chunks are not kept
 WIDTHS = (8, 16, 32)  # chunks up to these lengths share an agenda matrix
 NEVER = np.inf  # the cost of a pair that is no piece
@@ -219,23 +219,24 @@ def with_pieces(df: DataFrame, model_file: str, text: str = "text", keep_ids: bo
     schema = T.StructType([df.schema[n] for n in kept] + [T.StructField(n, t) for n, t in made])
     types_ = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())]
 
-    def make():
+    def run(batches):
         pieces = pieces_of_worker(model_file)
-        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+        for batch in slices(batches):
+            yield step(pieces, batch)
+        pieces.known.clear()  # the worker goes on to other tasks
 
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            n, ids_sha, decoded, all_ids = [], [], [], []
-            texts = strings(batch, text)
-            for start in range(0, len(texts), 256):
-                for ids in pieces.encode_batch(texts[start : start + 256]):
-                    n.append(len(ids))
-                    ids_sha.append(sha(",".join(map(pieces.decimal.__getitem__, ids))))
-                    decoded.append(sha(pieces.library.decode(ids) if ids else ""))
-                    if keep_ids:
-                        all_ids.append(ids)
-            columns = [pa.array(x, t) for x, t in zip([n, ids_sha, decoded, all_ids][: len(made)], types_)]
-            return pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + columns, names=[*kept, *dict(made)])
-
-        return step
-
-    return per_batch(df.select(*[f"`{c}`" for c in read]), schema, make)
+    def step(pieces: Pieces, batch: pa.RecordBatch) -> pa.RecordBatch:
+        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+        n, ids_sha, decoded, all_ids = [], [], [], []
+        texts = strings(batch, text)
+        for start in range(0, len(texts), 256):
+            for ids in pieces.encode_batch(texts[start : start + 256]):
+                n.append(len(ids))
+                ids_sha.append(sha(",".join(map(pieces.decimal.__getitem__, ids))))
+                decoded.append(sha(pieces.library.decode(ids) if ids else ""))
+                if keep_ids:
+                    all_ids.append(ids)
+        columns = [pa.array(x, t) for x, t in zip([n, ids_sha, decoded, all_ids][: len(made)], types_)]
+        return pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + columns, names=[*kept, *dict(made)])
+
+    return df.select(*[f"`{c}`" for c in read]).mapInArrow(run, schema)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from twinframe.llm.common import cut_lineage, id_fold, per_batch, strings
+from twinframe.llm.common import cut_lineage, id_fold, per_batch, slices, strings
 
 # fixed values: the byte classes whose shares are statistics
 CLASSES = [
@@ -239,9 +239,8 @@ def keep_quality(df: DataFrame, labels: DataFrame, folds: int = 5, threshold: fl
     model = fit_quality(rows, labels, folds, **options)
 
     def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                kept = model.score(_statistics_of(strings(batch, "text"))) >= threshold
-                yield batch.filter(pa.array(kept))
+        for batch in slices(batches):
+            kept = model.score(_statistics_of(strings(batch, "text"))) >= threshold
+            yield batch.filter(pa.array(kept))
 
     return df.mapInArrow(run, df.schema)

@@ -27,12 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from twinframe.llm.common import cut_lineage, per_batch, strings
+from twinframe.llm.common import cut_lineage, per_batch, slices, strings
 from twinframe.llm.shingles import mixed
 from twinframe.llm.suffix_sort import repeated
 
 GRAM = 128
-STRETCH = 1 << 22  # string starts hashed together; longer texts are walked in stretches
+STRETCH = 1 << 20  # string starts hashed together; longer texts are walked in stretches
 CUTS = (64, 8, 1)  # string starts per part, from coarse to single strings
 FEW = 256  # parts of one core that are suffix-sorted together
 BLOCK_BYTES = 1 << 18
@@ -325,9 +325,7 @@ def without_repeats(df: DataFrame, length: int = 400, n_chars: str | None = "n_c
     marked, names = _with_spans(df, length, "text"), df.columns
 
     def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in slices(batches):
             spans = batch.column("_spans").to_pylist()
             texts = batch.column("text").to_pylist()
             made = [_without(t.encode(), _merged(s)).decode("utf-8", "ignore") if s else t for t, s in zip(texts, spans)]
