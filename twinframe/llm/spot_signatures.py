@@ -19,11 +19,12 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from twinframe.llm.common import cut_lineage, per_batch, strings
+from twinframe.llm.common import cut_lineage, per_batch, slices, strings
 from twinframe.llm.components import components
 from twinframe.llm.shingles import _ODD, REMEMBERED, mixed
 
@@ -122,8 +123,9 @@ def fingerprints(df: DataFrame) -> DataFrame:
 
     The edited text has the last floor(n / 2) of the n characters replaced by the first as many (or
     all) of the next document in ascending doc_id; after the last comes the first. Rows of equal
-    id follow each other by text, a NULL id comes first, and a NULL text counts as empty; a lone
-    row is its own successor. Returns doc_id, n_chars, edited_sha256, fingerprint,
+    id follow each other, a NULL id comes first, and a NULL text counts as empty; a lone
+    row is its own successor. (Of rows with equal id and different texts, a fixed order of their
+    packed bytes decides.) Returns doc_id, n_chars, edited_sha256, fingerprint,
     edited_fingerprint, near_edited, near_next.
 
     Rows are dealt out in ranges of ids, so a successor is the next row of the same task; only the
@@ -144,10 +146,12 @@ def fingerprints(df: DataFrame) -> DataFrame:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
+        unpack = zstandard.ZstdDecompressor()
         made, last = _Compared(), None
-        for batch in batches:
+        for batch in slices(batches):
             edges = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), strings(batch, "text")):
+            for doc_id, packed in zip(batch.column("doc_id").to_pylist(), batch.column("packed").to_pylist()):
+                text = unpack.decompress(packed).decode()
                 own = made.spots(text)
                 if last is None:
                     edges.append((doc_id, *[None] * len(fields), part, "first", text))
@@ -161,7 +165,18 @@ def fingerprints(df: DataFrame) -> DataFrame:
         if last is not None:
             yield batch_of([(last[0], *[None] * len(fields), part, "last", last[1])])
 
-    ordered = df.select("doc_id", "text").repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    def packer():
+        pack = zstandard.ZstdCompressor(level=1)
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            made = pa.array([pack.compress(t.encode()) for t in strings(batch, "text")], pa.binary())
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), made], names=["doc_id", "packed"])
+
+        return step
+
+    # whole texts move once; packed they are a third smaller than the shuffle's own compression makes them
+    packed = per_batch(df.select("doc_id", "text"), T.StructType([T.StructField("doc_id", kind), T.StructField("packed", T.BinaryType())]), packer)
+    ordered = packed.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "packed")
     table = cut_lineage(ordered.mapInArrow(run, schema))
     parts = sorted(r["part"] for r in table.where("edge = 'first'").select("part").collect())  # one number per range
     after = table.sparkSession.createDataFrame([(a, b) for a, b in zip(parts, parts[1:] + parts[:1])], "part int, next int")
