@@ -1,6 +1,7 @@
 """Every operator on small tables with gaps, copies and odd texts, against plain counterparts."""
 
 import hashlib
+import inspect
 import math
 import random
 import zlib
@@ -264,6 +265,31 @@ def test_filter_levels():
     assert (middle / counts < bloom_lm.GROWTH).all() and (counts / middle < bloom_lm.GROWTH + 0.01).all()
 
 
+def test_filter_follows_the_number_of_ngrams(spark, monkeypatch):
+    monkeypatch.setattr(bloom_lm, "FLUSH", 500)  # several chunks a task
+    draw = random.Random(8)
+    rows = [(n, " ".join(f"w{draw.randint(0, 3000)}" for _ in range(60))) for n in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    held = lambda d: zlib.crc32(str(d).encode()) % 7 == 2
+    counts, split = Counter(), {d: [None, *t.encode().split(), None] for d, t in rows}
+    for d, own in split.items():
+        if not held(d):
+            counts.update(own[1:])
+            counts.update(zip(own, own[1:]))
+    v = sum(not isinstance(k, tuple) for k in counts)
+    n = sum(c for k, c in counts.items() if not isinstance(k, tuple))
+    held_level = lambda k: bloom_lm.count_of_level()[bloom_lm.levels_of(np.array([counts[k]]))[0]] if counts[k] else 0.0
+    expected = {}
+    for d, own in split.items():
+        each = [(min(map(held_level, [(a, b), a, b])) + bloom_lm.STRENGTH * (held_level(b) + 1) / (n + v + 1)) / (held_level(a) + bloom_lm.STRENGTH) for a, b in zip(own, own[1:])]
+        expected[d] = sum(map(math.log10, each))
+    # the smallest filter that a caller may ask for: none, however many n-grams there are
+    bound = {p: 256 for p in inspect.signature(bloom_lm.score_texts).parameters if "bytes" in p}
+    found = {r.doc_id: r.score for r in bloom_lm.score_texts(df, **bound).collect()}
+    assert found.keys() == expected.keys()
+    assert max(abs(found[d] - expected[d]) for d in expected) < 2.5 and abs(sum(found.values()) / sum(expected.values()) - 1) < 0.003
+
+
 # 6
 
 
