@@ -19,6 +19,7 @@ from twinframe.llm.main_text import best_region, extract, label_weights, main_te
 from twinframe.llm.mixing import mixed_documents, mixed_sample
 from twinframe.llm.piece_tokens import Pieces, with_pieces
 from twinframe.llm.quality import isotonic, keep_quality, score_quality, statistics
+from twinframe.llm.queries import MIXTURE
 from twinframe.llm import spot_signatures
 from twinframe.llm.spot_signatures import fingerprints, jaccard, length_partition, similar_documents, spot_sets
 from twinframe.llm.suffix_sort import repeated
@@ -222,6 +223,18 @@ def test_mixture_meets_its_marginals(spark, documents, nothing):
     assert mixed_sample(nothing, targets, 0.9).count() == 0 and mixed_documents(nothing, targets, 0.9).count() == 0
 
 
+def test_languages_without_a_target_stay(spark):
+    rows = [(n, "word " * 10, [None, "it", "en", "de", "de"][n % 5], "s") for n in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    weight = defaultdict(float)
+    for r in mixed_sample(df, {"source": 1.0, "lang": {"en": 0.5, "de": 0.4, "fr": 0.1}, "topic": 1.0}, 0.4).collect():
+        weight[r.lang] += r.probability * r.n_tokens / 2000
+    # NULL and Italian keep a fifth each; English and German share the rest as 5 to 4
+    assert all(abs(weight[k] - w) < 1e-6 for k, w in ((None, 0.2), ("it", 0.2), ("en", 1 / 3), ("de", 4 / 15)))
+    kept = Counter(r.lang for r in mixed_documents(df, MIXTURE, 0.95).collect())
+    assert kept[None] > 70 and kept["it"] > 70
+
+
 # 5
 
 

@@ -40,15 +40,21 @@ def _measured(df: DataFrame) -> DataFrame:
 
 def _targets(cells: DataFrame, column: str, wanted: dict[str, float] | float, total: float) -> DataFrame:
     """(column, target): shares that sum to 1. A number is the power of the present shares; a dict gives
-    shares by name, and names it lacks divide what it leaves in proportion to their tokens."""
+    shares by name, and names it lacks divide what it leaves in proportion to their tokens. If it leaves
+    nothing, they keep their present shares, and the dict divides the rest: no name is dropped."""
     now = cells.groupBy(column).agg((F.sum("tokens") / total).alias("now"))
     if isinstance(wanted, dict):
         given = F.lit(None).cast("double")
         for key, share in wanted.items():
             given = F.when(F.col(column) == key, share).otherwise(given)
         now = now.withColumn("given", given)
-        free = now.where("given IS NULL").agg(F.sum("now")).first()[0] or 1.0
-        raw = now.select(column, F.coalesce("given", F.col("now") / free * max(0.0, 1 - sum(wanted.values()))).alias("raw"))
+        unlisted = F.col("given").isNull()
+        free, listed, whole = now.agg(F.sum(F.when(unlisted, F.col("now"))), F.sum(F.when(~unlisted, F.col("now"))), F.sum("given")).first()
+        left = 1 - sum(wanted.values())
+        if left > 1e-9 or not free:
+            raw = now.select(column, F.coalesce("given", F.col("now") / (free or 1.0) * left).alias("raw"))
+        else:
+            raw = now.select(column, F.coalesce(F.col("given") / (whole or 1.0) * (listed or 0.0), "now").alias("raw"))
     else:
         raw = now.select(column, F.pow("now", wanted).alias("raw"))
     raw = cut_lineage(raw)
