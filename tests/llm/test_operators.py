@@ -14,7 +14,7 @@ import pytest
 from twinframe.llm import bloom_lm, minhash_links, suffix_dedup
 from twinframe.llm.collision_search import nearest_neighbours
 from twinframe.llm.components import components
-from twinframe.llm.language import identify
+from twinframe.llm.language import declared_language, identify, page_evidence
 from twinframe.llm.main_text import best_region, extract, label_weights, main_text
 from twinframe.llm.mixing import mixed_documents, mixed_sample
 from twinframe.llm.piece_tokens import Pieces, with_pieces
@@ -353,6 +353,21 @@ def test_language_of_pages(spark, nothing):
     assert len(identify(rows, nothing).collect()) == 45
 
 
+def test_language_is_declared_anywhere(spark):
+    far = "x" * 30_000
+    pages = [
+        (f"<!-- {far} <html lang=fr> --><HTML class=a lang='De'>", "de"),
+        (f"<html><style>{far}</style><script>'<html lang=fr>' {far}</script><meta http-equiv=content-language content='es'>", "es"),
+        (f"<html><meta http-equiv='Content-Language' content=en><p>{far}<html lang=fr>", "fr"),
+        (f"{far} a < b <!--> <html lang=es", "es"),
+        (f"<script>{far}<html lang=fr>", ""),
+    ]
+    df = spark.createDataFrame([(n, "u", p) for n, (p, _) in enumerate(pages)], "page_id long, url string, html string")
+    found = {r.page_id: r.declared for r in page_evidence(df, np.zeros((1 << 13, 4))).collect()}
+    assert found == {n: lang for n, (_, lang) in enumerate(pages)}
+    assert declared_language("<!--" * 50_000) == declared_language("<meta content-language " * 50_000 + "lang=de") == ""
+
+
 # 8
 
 

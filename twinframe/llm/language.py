@@ -27,8 +27,25 @@ MOST = 60.0  # the largest log-likelihood difference that text may bring
 SMOOTH_HOST, SMOOTH_DOMAIN, SMOOTH_TABLE = 5.0, 20.0, 10.0
 
 _HIDDEN = re.compile(r"(?is)<(script|style|template|noscript)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)|<[^>]*>")
-_DECLARED = re.compile(r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?\s*([a-z]{2,3})")
-_META = re.compile(r"(?is)<meta\b[^>]*?content-language[^>]*?content\s*=\s*[\"']?\s*([a-z]{2,3})")
+# every alternative runs to its end or that of the page, so a page is walked once
+_MARKUP = re.compile(r"(?is)<!--(?:-?>|.*?(?:--!?>|\Z))|<(script|style|template)\b.*?(?:</\1\s*>|\Z)|<(?=[a-z/!?])((?:html|meta)\b)?[^>]*")
+_LANG = re.compile(r"(?i)\blang\s*=\s*[\"']?\s*([a-z]{2,3})")
+_META_NAME = re.compile(r"(?i)content-language")
+_CONTENT = re.compile(r"(?i)content\s*=\s*[\"']?\s*([a-z]{2,3})")
+
+
+def declared_language(page: str) -> str:
+    """The language of the first html tag that names one, wherever it stands, else of the first such meta tag; "" if none."""
+    meta = ""
+    for tag in _MARKUP.finditer(page):
+        if not tag[2]:
+            continue
+        if tag[2].lower() == "html":
+            if found := _LANG.search(tag[0]):
+                return found[1].lower()
+        elif not meta and (name := _META_NAME.search(tag[0])) and (found := _CONTENT.search(tag[0], name.end())):
+            meta = found[1].lower()
+    return meta
 
 
 def trigram_buckets(text: str) -> np.ndarray:
@@ -68,8 +85,7 @@ def page_evidence(pages: DataFrame, weights: np.ndarray) -> DataFrame:
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             declared, likelihood = [], []
             for page in strings(batch, "html"):
-                m = _DECLARED.search(page, 0, 20_000) or _META.search(page, 0, 20_000)
-                declared.append(m[1].lower() if m else "")
+                declared.append(declared_language(page))
                 found = weights[trigram_buckets(html.unescape(_HIDDEN.sub(" ", page)))].sum(axis=0) * DAMPING
                 likelihood.append(np.maximum(found - found.max(), -MOST).tolist())
             columns = [batch.column("page_id"), batch.column("url"), pa.array(declared, pa.string()), pa.array(likelihood, pa.list_(pa.float64()))]
