@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import sys
+import types
+from collections.abc import Callable, Hashable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +20,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def id_fold(column: str | Column, folds: int) -> Column:
     """crc32 of the id's decimal text, modulo ``folds``; NULL for a NULL id."""
     at = F.col(column) if isinstance(column, str) else column
@@ -48,3 +54,11 @@ def per_batch(df: DataFrame, schema: str | T.StructType, make: Callable[[], Call
             yield step(batch)
 
     return df.mapInArrow(run, schema)
+
+
+def kept_in_worker(name: Hashable, make: Callable[[], object]) -> object:
+    """What ``make`` returns, made once per Python worker and name and kept between tasks."""
+    kept = sys.modules.setdefault("_twinframe_kept", types.ModuleType("_twinframe_kept")).__dict__
+    if name not in kept:
+        kept[name] = make()
+    return kept[name]
