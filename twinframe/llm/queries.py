@@ -10,14 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from twinframe.llm.bloom_lm import score_texts
 from twinframe.llm.collision_search import nearest_neighbours
 from twinframe.llm.common import table
+from twinframe.llm.divergence import divergence_sql, source_divergence
 from twinframe.llm.language import identify
 from twinframe.llm.main_text import main_text
 from twinframe.llm.minhash_links import near_duplicates
 from twinframe.llm.mixing import mixed_sample, mixing_sql
 from twinframe.llm.piece_tokens import with_pieces
+from twinframe.llm.prefix_trie import prefix_trie, prefix_trie_sql
 from twinframe.llm.quality import score_quality
 from twinframe.llm.spot_signatures import fingerprints
 from twinframe.llm.suffix_dedup import removed_repeats
+from twinframe.llm.token_transducer import count_tokens
 
 # the wanted mixture: sources flattened, languages by share, topics nearly as they are
 MIXTURE = {"source": 0.8, "lang": {"en": 0.52, "de": 0.18, "fr": 0.17, "es": 0.13}, "topic": 0.9}
@@ -76,6 +79,21 @@ def op10_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"), shingle=4, percent=80)
 
 
+def op11_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    """The distances of all sources of a language, and the terms that set each off."""
+    return source_divergence(table(spark, folder, "documents"))
+
+
+def op12_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """The token count of every document, and whether it is over 4096."""
+    return count_tokens(table(spark, folder, "documents"), PIECE_MODEL, limit=4096, keep=["doc_id"])
+
+
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Every different beginning of the rebuilt conversations."""
+    return prefix_trie(table(spark, folder, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_main_text": op1_main_text,
     "op2_sentencepiece": op2_sentencepiece,
@@ -87,5 +105,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_collision_search": op9_collision_search,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_divergence": op11_divergence,
+    "op12_token_counts": op12_token_counts,
+    "op13_prefix_trie": op13_prefix_trie,
 }
-ORACLES: dict[str, str] = {"op4_mixing": mixing_sql(MIXTURE, MIXTURE_BUDGET)}
+ORACLES: dict[str, str] = {"op4_mixing": mixing_sql(MIXTURE, MIXTURE_BUDGET), "op11_divergence": divergence_sql(), "op13_prefix_trie": prefix_trie_sql()}
