@@ -7,6 +7,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -16,7 +17,7 @@ from twinframe.llm.collision_search import nearest_neighbours
 from twinframe.llm.components import components
 from twinframe.llm.language import declared_language, identify, page_evidence
 from twinframe.llm.main_text import best_region, extract, label_weights, main_text
-from twinframe.llm.mixing import mixed_documents, mixed_sample
+from twinframe.llm.mixing import mixed_documents, mixed_sample, mixing_sql, reached_shares
 from twinframe.llm.piece_tokens import Pieces, with_pieces
 from twinframe.llm.quality import isotonic, keep_quality, score_quality, statistics
 from twinframe.llm.queries import MIXTURE
@@ -223,6 +224,27 @@ def test_mixture_meets_its_marginals(spark, documents, nothing):
     assert mixed_sample(nothing, targets, 0.9).count() == 0 and mixed_documents(nothing, targets, 0.9).count() == 0
 
 
+def test_mixture_equals_its_sql_with_other_languages(spark):
+    draw = random.Random(9)
+    rows = [(n, prose(n, draw.randint(0, 60)) + draw.choice(["", " license", " | "]), draw.choice([None, "it", "en", "de", "en"]), draw.choice(["a", "b", None, "c"])) for n in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    for targets, budget in ((MIXTURE, 0.8), ({"source": {"a": 0.9, "x": 0.1}, "lang": {"en": 0.1, "de": 0.2}, "topic": 0.5}, 0.95)):
+        ours = sorted((tuple(r) for r in mixed_sample(df, targets, budget).collect()), key=repr)
+        theirs = sorted(con.execute(mixing_sql(targets, budget)).fetchall(), key=repr)
+        assert len(ours) == 300 and all(a[:5] == b[:5] and abs(a[5] - b[5]) < 1e-7 for a, b in zip(ours, theirs))
+
+
+def test_targets_are_lowered_to_what_there_is(spark):
+    rows = [(n, "word " * 10, "es" if n < 100 else "en", "s") for n in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    found = {r.name: r for r in reached_shares(df, {"lang": {"en": 0.4, "es": 0.6}}, 0.5).collect()}
+    # a tenth of the tokens is Spanish: all of it is a fifth of what half of the tokens hold
+    assert abs(found["es"].target - 0.2) < 1e-9 and abs(found["en"].target - 0.8) < 1e-9
+    assert abs(found["es"].reached - 0.2) < 1e-6 and abs(found["es"].present - 0.1) < 1e-9
+
+
 def test_languages_without_a_target_stay(spark):
     rows = [(n, "word " * 10, [None, "it", "en", "de", "de"][n % 5], "s") for n in range(500)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")

@@ -58,22 +58,34 @@ def test_stages(spark):
 
 
 def test_stages_take_gaps_and_empty_tables(spark):
-    schema = "doc_id long, text string, lang string, source string, n_chars long, node string, digest int"
+    more = ["node", "digest", "probability", "_source", "tokens", "_spans", "_digest", "a.b", "n"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long" + "".join(f", `{c}` string" for c in more)
     words = " ".join(f"word{n} of the" for n in range(60))
-    rows = [(1, words, "en", "a", 5, "x", 1)] * 2 + [(2, words, None, None, None, None, None), (3, None, "en", "a", 0, "x", 1), (None, "some text here", "de", "b", 14, "x", 1)]
+    rows = [(1, words, "en", "a", 5)] * 2 + [(2, words, None, None, None), (3, None, "en", "a", 0), (None, "some text here", "de", "b", 14)]
+    rows = [(*r, *[f"{c} of {r[0]}" for c in more]) for r in rows]
     for docs in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
         empty = not docs.count()
         for _, stage in corpus_pipeline.STAGES[:2]:
             docs = cut_lineage(stage(spark, docs, SMALL))
-        assert docs.columns == schema.replace(" long", "").replace(" string", "").replace(" int", "").split(", ")
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", *more]
         ids = [r.doc_id for r in docs.collect()]
         assert ids == [] if empty else ids.count(1) <= 1 and 2 not in ids
         for _, stage in corpus_pipeline.STAGES[2:]:
             docs = cut_lineage(stage(spark, docs, SMALL))
+        assert docs.columns[: len(more) + 5] == ["doc_id", "text", "lang", "source", "n_chars", *more]
         assert docs.count() <= len(ids)
+        assert all(r[c] == f"{c} of {r.doc_id}" for r in docs.collect() for c in more)
 
 
-def test_all_eleven_are_registered():
+def test_a_repeated_id_keeps_its_other_text(spark):
+    texts = [" ".join(f"{w}{n} of the" for n in range(60)) for w in ("word", "other")]
+    rows = [(5, texts[0]), (5, texts[0]), (5, texts[1]), (7, texts[1]), (9, "a b c d e f")]
+    docs = spark.createDataFrame([(*r, "en", "a", 5) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_dedup(spark, docs, SMALL).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted([(5, texts[0]), (5, texts[1]), (9, "a b c d e f")])
+
+
+def test_all_are_registered():
     names = entry.queries()
     assert "pipeline" in names
-    assert all(any(n.startswith(f"op{at}_") for n in names) for at in range(1, 11))
+    assert all(any(n.startswith(f"op{at}_") for n in names) for at in range(1, 14))

@@ -215,8 +215,8 @@ def with_pieces(df: DataFrame, model_file: str, text: str = "text", keep_ids: bo
     made = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
     made += [("ids", T.ArrayType(T.IntegerType()))] if keep_ids else []
     kept = [n for n in (df.columns if keep is None else keep) if n not in dict(made)]
-    read = list(dict.fromkeys([*kept, text]))
-    schema = T.StructType([df.schema[n] for n in kept] + [T.StructField(n, t) for n, t in made])
+    at = len(kept)
+    schema = T.StructType([T.StructField(f"of_{i}", df.schema[n].dataType) for i, n in enumerate(kept)] + [T.StructField(n, t) for n, t in made])
     types_ = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())]
 
     def run(batches):
@@ -228,7 +228,7 @@ def with_pieces(df: DataFrame, model_file: str, text: str = "text", keep_ids: bo
     def step(pieces: Pieces, batch: pa.RecordBatch) -> pa.RecordBatch:
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         n, ids_sha, decoded, all_ids = [], [], [], []
-        texts = strings(batch, text)
+        texts = strings(batch, "text")
         for start in range(0, len(texts), 256):
             for ids in pieces.encode_batch(texts[start : start + 256]):
                 n.append(len(ids))
@@ -237,6 +237,8 @@ def with_pieces(df: DataFrame, model_file: str, text: str = "text", keep_ids: bo
                 if keep_ids:
                     all_ids.append(ids)
         columns = [pa.array(x, t) for x, t in zip([n, ids_sha, decoded, all_ids][: len(made)], types_)]
-        return pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + columns, names=[*kept, *dict(made)])
+        return pa.RecordBatch.from_arrays(batch.columns[:at] + columns, names=schema.names)
 
-    return df.select(*[f"`{c}`" for c in read]).mapInArrow(run, schema)
+    quoted = lambda n: df["`" + n.replace("`", "``") + "`"]
+    read = df.select(*[quoted(n).alias(f"of_{i}") for i, n in enumerate(kept)], quoted(text).alias("text"))
+    return read.mapInArrow(run, schema).toDF(*kept, *dict(made))

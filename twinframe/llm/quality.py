@@ -237,10 +237,12 @@ def keep_quality(df: DataFrame, labels: DataFrame, folds: int = 5, threshold: fl
     """The rows of ``df``, all columns, whose score reaches ``threshold``. Texts are read twice, never shuffled."""
     rows = cut_lineage(with_statistics(df.select("doc_id", "text"), ["doc_id"]))
     model = fit_quality(rows, labels, folds, **options)
+    held = df.toDF(*[f"of_{at}" for at in range(len(df.columns))])  # a column may have any name
+    text = held.columns[df.columns.index("text")]
 
     def run(batches):
         for batch in slices(batches):
-            kept = model.score(_statistics_of(strings(batch, "text"))) >= threshold
+            kept = model.score(_statistics_of(strings(batch, text))) >= threshold
             yield batch.filter(pa.array(kept))
 
-    return df.mapInArrow(run, df.schema)
+    return held.mapInArrow(run, held.schema).toDF(*df.columns)

@@ -274,7 +274,7 @@ def _merged(spans: list[dict] | None) -> list[tuple[int, int]]:
 
 
 def _with_spans(df: DataFrame, length: int, text: str) -> DataFrame:
-    """The table with the columns ``_digest`` and ``_spans`` added; other columns keep their names."""
+    """The table with the column ``_spans`` added; no other column may be called so, or ``_digest``."""
     spans = repeated_spans(df, length, text).groupBy("digest").agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
     spans = cut_lineage(spans.withColumnRenamed("digest", "_digest"))
     return df.withColumn("_digest", F.unhex(F.md5(F.col(text).cast("binary")))).join(spans, "_digest", "left").drop("_digest")
@@ -320,20 +320,24 @@ def without_repeats(df: DataFrame, length: int = 400, n_chars: str | None = "n_c
     """The table with its repeated strings cut out of ``text`` and ``n_chars`` counted anew.
 
     A character that a cut goes through is dropped. Texts without repeats, NULL ones included, and
-    all other columns stay as they are. A column may not be called ``_spans`` or ``_digest``.
+    all other columns stay as they are, whatever their names.
     """
-    marked, names = _with_spans(df, length, "text"), df.columns
+    held = df.toDF(*[f"of_{at}" for at in range(len(df.columns))])
+    names = held.columns
+    text = names[df.columns.index("text")]
+    n_chars = names[df.columns.index(n_chars)] if n_chars in df.columns else None
+    marked = _with_spans(held, length, text)
 
     def run(batches):
         for batch in slices(batches):
             spans = batch.column("_spans").to_pylist()
-            texts = batch.column("text").to_pylist()
+            texts = batch.column(text).to_pylist()
             made = [_without(t.encode(), _merged(s)).decode("utf-8", "ignore") if s else t for t, s in zip(texts, spans)]
             columns = {n: batch.column(n) for n in names}
-            columns["text"] = pa.array(made, pa.string())
+            columns[text] = pa.array(made, pa.string())
             if n_chars in columns:
                 counts = [len(m) if s else n for m, s, n in zip(made, spans, columns[n_chars].to_pylist())]
                 columns[n_chars] = pa.array(counts, columns[n_chars].type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return marked.select(*names, "_spans").mapInArrow(run, df.schema)
+    return marked.select(*names, "_spans").mapInArrow(run, held.schema).toDF(*df.columns)
