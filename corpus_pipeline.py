@@ -38,13 +38,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group; of rows that repeat a kept id, one."""
+    """The document with the smallest id of each group; of rows that repeat a kept id and its text, one."""
     found = cut_lineage(near_duplicates(docs, shingle=SHINGLE, percent=PERCENT).where("doc_id IS NOT NULL"))
     gone = cut_lineage(found.where("NOT kept").select("doc_id").distinct())
     left = docs.join(gone, "doc_id", "left_anti")
     repeated = cut_lineage(found.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     once = left.join(repeated, "doc_id", "left_anti")
-    return once.unionByName(left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
+    return once.unionByName(left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])).toDF(*left.columns).select(*[f"`{c}`" for c in docs.columns])
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
