@@ -4,11 +4,13 @@ import math
 
 import pytest
 from conftest import SMALL
+from pyspark.sql import functions as F
 
 from twinframe.operators.ecdf import complete_ranks, ks_test, mann_whitney, pooled_ecdf, rank_statistics
 from twinframe.operators.frequency import category_counts, category_shares, category_tests
 from twinframe.operators.histogram import two_sample_histogram
 from twinframe.operators.moments import describe, t_test, two_sample_moments
+from twinframe.operators.profile import profile
 from twinframe.plans.catalogue import LINEITEM_NUMBERS, lineitem_sides, table
 from twinframe.plans.report import fidelity_report
 
@@ -154,3 +156,28 @@ def test_missing_columns_are_reported(spark):
     rows = {r.variable: r for r in report.stats_summary().collect()}
     assert set(rows) == {"x", "is_orig", "column"}
     assert rows["is_orig"].tvd == 1.0 and rows["x"].ks_p == 1.0 and rows["column"].tvd is None
+
+
+def test_report_from_one_count_table(spark):
+    """Kinds, missing cells, the text 'null', long texts and large whole numbers, without a second scan."""
+    rows = [(float(n), n % 4, 2**60 + n, ["null", None, "x" * 900 + str(n % 3), "short"][n % 4]) for n in range(60)]
+    orig = spark.createDataFrame(rows, "x double, few int, large long, word string")
+    synth = spark.createDataFrame([(n + 1.0, None if n % 2 else 1, 2**60 + n, "short") for n in range(30)], orig.schema)
+    report = fidelity_report(orig, synth)
+    found = {r.column: (r.type, r.unique_count, r.precision) for r in report.profile.collect()}
+    assert found == {r.column: (r.type, r.unique_count, r.precision) for r in profile(orig).collect()}
+    assert found["large"][:2] == ("numerical", 60) and found["few"][0] == "categorical"
+    moments = {r.column: r for r in two_sample_moments(orig, synth, ["x", "large"]).collect()}
+    for r in report.numbers.collect():
+        for name in ("mean_o", "std_o", "min_o", "max_o", "count_o", "mean_a", "std_a", "min_a", "max_a", "count_a"):
+            # values near 2^60 are 128 apart as doubles, and so are the rounded means
+            assert r[name] == pytest.approx(moments[r.column][name], rel=1e-9, abs=1e-9 if r.column == "x" else 64)
+    expected = {r.column: r for r in category_tests(category_shares(category_counts(orig, synth, ["few", "word"]))).collect()}
+    for r in report.categories.collect():
+        assert r.tvd == pytest.approx(expected[r.column].tvd) and r.chi_square == pytest.approx(expected[r.column].chi_square)
+    # no text over the length of a digest is shuffled or kept
+    assert report.counts.agg(F.max(F.length("category"))).first()[0] == 64
+    bars = report.histograms().where("column = 'x'").collect()
+    assert {(b.bin, round(b.orig_share, 9), round(b.aug_share, 9)) for b in bars} == {
+        (b.bin, round(b.orig_share, 9), round(b.aug_share, 9)) for b in two_sample_histogram(orig, synth, ["x"]).collect()
+    }

@@ -32,18 +32,31 @@ def two_sample_histogram(orig: DataFrame, synth: DataFrame, columns: list[str])
         F.count_if(F.col(IS_ORIG)).alias("n_orig"),
         F.count_if(~F.col(IS_ORIG)).alias("n_aug"),
     ).select(F.inline("ranges"), "n_orig", "n_aug")
+    one = F.col(IS_ORIG).cast("int")
+    cells = long_form(tagged, columns, "value").select("column", "value", one.alias("c1"), (1 - one).alias("c2"))
+    return _bars(cells, found)
+
+
+def histogram_of_counts(counts: DataFrame, rows: tuple[int, int], columns: list[str]) -> DataFrame:
+    """The same from distinct values and their counts (column, value, c1, c2), and the number of rows of each side."""
+    cells = counts.where(F.col("column").isin(columns) & F.col("value").isNotNull())
+    found = cells.groupBy("column").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    return _bars(cells, found.select("*", F.lit(rows[0]).alias("n_orig"), F.lit(rows[1]).alias("n_aug")))
+
+
+def _bars(cells: DataFrame, found: DataFrame) -> DataFrame:
+    """Bars from (column, value, c1, c2) and (column, low, high, n_orig, n_aug)."""
     # Collected, one row per column: it is used twice below, and is one scan this way
-    spans = orig.sparkSession.createDataFrame(found.where(F.col("low").isNotNull()).toArrow()).withColumn(
+    spans = cells.sparkSession.createDataFrame(found.where(F.col("low").isNotNull()).toArrow()).withColumn(
         "step", F.when(F.col("high") == F.col("low"), 1.0).otherwise((F.col("high") - F.col("low")) / BINS)
     )
     # the bin is the number of inner edges not above the value: the same comparisons as bin by bin
     inner = [(F.col("value") >= F.col("low") + i * F.col("step")).cast("int") for i in range(1, BINS)]
     binned = (
-        long_form(tagged, columns, "value")
-        .join(F.broadcast(spans.select("column", "low", "step")), "column")
+        cells.join(F.broadcast(spans.select("column", "low", "step")), "column")
         .withColumn("bin", reduce(lambda a, b: a + b, inner))
         .groupBy("column", "bin")
-        .agg(F.count_if(F.col(IS_ORIG)).alias("c_orig"), F.count_if(~F.col(IS_ORIG)).alias("c_aug"))
+        .agg(F.sum("c1").alias("c_orig"), F.sum("c2").alias("c_aug"))
     )
     bins = spans.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(BINS - 1))))
     low_edge = F.col("low") + F.col("bin") * F.col("step")

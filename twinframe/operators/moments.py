@@ -73,42 +73,73 @@ def two_sample_moments(orig: DataFrame, synth: DataFrame, columns: list[str]) ->
     return both.agg(F.array(*facts).alias("facts")).select(F.inline("facts"))
 
 
-def describe(moments: DataFrame) -> DataFrame:
-    """Both sides' statistics with the Welch 95% interval of the mean difference.
+def moments_of_counts(counts: DataFrame) -> DataFrame:
+    """The same without deviations, from distinct values and their counts (column, value, c1, c2)."""
+    measures = []
+    for side, c in (("o", "c1"), ("a", "c2")):
+        held = F.when(F.col(c) > 0, F.col("value"))
+        measures += [
+            F.try_divide(F.sum(F.col("value") * F.col(c)), F.sum(c)).alias(f"mean_{side}"),
+            F.min(held).alias(f"min_{side}"),
+            F.max(held).alias(f"max_{side}"),
+            F.sum(c).alias(f"count_{side}"),
+        ]
+    return counts.groupBy("column").agg(*measures)
+
+
+def deviation(side: str, c: str) -> Column:
+    """Sample deviation around a side's known mean, as an aggregate over distinct values and their counts."""
+    gap = F.col("value") - F.col(f"mean_{side}")
+    spare = F.max(f"count_{side}") - 1
+    return F.when(spare > 0, F.sqrt(F.sum(gap * gap * F.col(c)) / F.when(spare > 0, spare))).alias(f"std_{side}")
+
 
-    Columns with fewer than two values on a side are left out.
+def named_result(tested: DataFrame, prefix: str) -> DataFrame:
+    """One test's result: column, statistic, p_value, is_similar."""
+    names = {"statistic": "statistic", "p": "p_value", "similar": "is_similar"}
+    return tested.select("column", *[F.col(f"{prefix}_{x}").alias(name) for x, name in names.items()])
+
+
+def with_interval(moments: DataFrame) -> DataFrame:
+    """Both sides' statistics with ``diff`` of the means and its Welch 95% interval.
+
+    These are NULL where a side has fewer than two values.
     """
-    share_o, share_a = (F.pow(F.col(f"std_{s}"), 2) / F.col(f"count_{s}") for s in ("o", "a"))
+    enough = (F.col("count_o") >= 2) & (F.col("count_a") >= 2)
+    share_o, share_a = (F.try_divide(F.pow(F.col(f"std_{s}"), 2), F.col(f"count_{s}")) for s in ("o", "a"))
     spread = share_o + share_a
-    weight = F.pow(share_o, 2) / (F.col("count_o") - 1) + F.pow(share_a, 2) / (F.col("count_a") - 1)
-    # the guard sits inside the divisor too: ANSI division by zero fails even in an untaken branch
-    df = F.when(weight > 0, F.pow(spread, 2) / F.when(weight > 0, weight))
+    weight = F.try_divide(F.pow(share_o, 2), F.col("count_o") - 1) + F.try_divide(F.pow(share_a, 2), F.col("count_a") - 1)
+    df = F.when(enough & (weight > 0), F.try_divide(F.pow(spread, 2), weight))
     critical = F.coalesce(student_t_critical(F.lit(1 - ALPHA / 2), df), F.lit(1.96))
-    return (
-        moments.where((F.col("count_o") >= 2) & (F.col("count_a") >= 2))
-        .withColumn("diff", F.col("mean_a") - F.col("mean_o"))
-        .withColumn("margin", F.when(weight > 0, F.nanvl(critical, F.lit(1.96))).otherwise(1.96) * F.sqrt(spread))
-        .withColumn("ci_lower", F.col("diff") - F.col("margin"))
-        .withColumn("ci_upper", F.col("diff") + F.col("margin"))
-        .drop("margin")
-    )
+    margin = F.when(weight > 0, F.nanvl(critical, F.lit(1.96))).otherwise(1.96) * F.sqrt(spread)
+    found = moments.withColumns({"diff": F.when(enough, F.col("mean_a") - F.col("mean_o")), "margin": margin})
+    return found.withColumns({"ci_lower": F.col("diff") - F.col("margin"), "ci_upper": F.col("diff") + F.col("margin")}).drop("margin")
 
 
-def t_test(moments: DataFrame, alpha: float = ALPHA) -> DataFrame:
-    """Is the synthetic mean plausible under the original sample? One-sample, two-sided.
+def describe(moments: DataFrame) -> DataFrame:
+    """Statistics and interval of the columns that have at least two values on both sides."""
+    return with_interval(moments).where((F.col("count_o") >= 2) & (F.col("count_a") >= 2))
+
+
+def with_t_test(moments: DataFrame, alpha: float = ALPHA) -> DataFrame:
+    """Moments with ``t_statistic``, ``t_p`` and ``t_similar``: is the synthetic mean plausible under the original sample?
 
-    Too little data gives statistic 0 and p 1; an undefined p counts as 1.
+    One-sample, two-sided. Too little data gives statistic 0 and p 1; an undefined p counts as 1.
     """
     enough = (F.col("count_o") >= 2) & (F.col("count_a") >= 1)
     gap = F.col("mean_a") - F.col("mean_o")
-    error = F.when(enough, F.col("std_o") / F.sqrt(F.col("count_o")))
-    t = F.when(error > 0, gap / F.when(error > 0, error)).when(gap == 0, F.lit(float("nan"))).when(
+    error = F.when(enough, F.try_divide(F.col("std_o"), F.sqrt(F.col("count_o"))))
+    t = F.when(error > 0, F.try_divide(gap, error)).when(gap == 0, F.lit(float("nan"))).when(
         error == 0, F.signum(gap) * float("inf")
     )
     defined = F.when(error > 0, t)
-    return (
-        moments.withColumn("statistic", F.when(enough, t).otherwise(0.0))
-        .withColumn("p_value", student_t_p(defined, (F.col("count_o") - 1).cast("double")))
-        .withColumn("p_value", F.coalesce(F.nanvl("p_value", F.lit(1.0)), F.lit(1.0)))
-        .select("column", "statistic", "p_value", (F.col("p_value") > alpha).alias("is_similar"))
+    tested = moments.withColumns(
+        {"t_statistic": F.when(enough, t).otherwise(0.0), "t_p": student_t_p(defined, (F.col("count_o") - 1).cast("double"))}
     )
+    p = F.coalesce(F.nanvl("t_p", F.lit(1.0)), F.lit(1.0))
+    return tested.withColumn("t_p", p).withColumn("t_similar", F.col("t_p") > alpha)
+
+
+def t_test(moments: DataFrame, alpha: float = ALPHA) -> DataFrame:
+    """The one-sample t test of the synthetic mean."""
+    return named_result(with_t_test(moments, alpha), "t")

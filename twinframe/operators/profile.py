@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from twinframe.functions.cells import (
+    NUMBER_LIMIT,
     canonical_text,
     clean_text,
     decimal_places,
@@ -16,6 +17,7 @@ from twinframe.functions.cells import (
     parse_number,
     valid_number,
 )
+from twinframe.operators.sides import kind_facts
 
 # Distinct values up to which a numeric column is categorical, and probed cells.
 CARDINALITY_LIMIT = 10
@@ -120,6 +122,23 @@ def profile(df: DataFrame, exact: bool = True) -> DataFrame:
     return _classified(_with_distinct(facts, distinct_counts(df, fields)) if exact else facts)
 
 
+def profile_of_counts(df: DataFrame, counts: DataFrame) -> DataFrame:
+    """The same from the counts of a comparison whose original is ``df``, without another scan.
+
+    Numbers are counted as doubles there; a column with whole numbers that a double can't tell apart is counted anew.
+    """
+    fields, spark = list(df.schema), df.sparkSession
+    found = {row["column"]: row for row in kind_facts(counts).collect()}
+    large = [f for f in fields if not isinstance(f.dataType, (T.DoubleType, T.FloatType)) and f.name in found and (found[f.name]["largest"] or 0) >= NUMBER_LIMIT]
+    exact = {large[row["ordinal"]].name: row["unique_count"] for row in distinct_counts(df, large).collect()} if large else {}
+    rows = []
+    for at, field in enumerate(fields):
+        row = found.get(field.name)
+        unique = exact.get(field.name, row["unique_count"] if row else 0)
+        rows.append((at, field.name, is_numeric_type(field.dataType) and unique > 0, (row["precision"] if row else 0) or 0, unique))
+    return _classified(spark.createDataFrame(rows, "ordinal int, column string, is_numeric boolean, precision int, unique_count bigint"))
+
+
 def profile_text(df: DataFrame, order_by: str) -> DataFrame:
     """Profile a table of text cells the way a loose CSV import types it.
 

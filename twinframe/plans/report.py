@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinframe.operators.ecdf import complete_ranks, ks_test, mann_whitney, pooled_ecdf, rank_statistics
-from twinframe.operators.frequency import category_counts, category_shares, category_tests
-from twinframe.operators.histogram import two_sample_histogram
-from twinframe.operators.moments import describe, t_test, two_sample_moments
-from twinframe.operators.profile import badge, collect_profile, profile, split_by_kind
+from twinframe.functions.cells import is_numeric_type
+from twinframe.operators.ecdf import rank_statistics, running_counts, with_ks_test, with_mann_whitney
+from twinframe.operators.frequency import category_shares, category_tests
+from twinframe.operators.histogram import histogram_of_counts
+from twinframe.operators.moments import deviation, moments_of_counts, with_interval, with_t_test
+from twinframe.operators.profile import badge, collect_profile, profile, profile_of_counts, split_by_kind
+from twinframe.operators.sides import compared_counts
 from twinframe.sources.csv import ROW_INDEX
 from twinframe.sources.scratch import cut_lineage
 
@@ -56,45 +59,46 @@ def fidelity_label(similar: Column) -> Column:
     return F.when(similar, "HIGH").otherwise("LOW")
 
 
-def number_tests(orig: DataFrame, synth: DataFrame, columns: list[str]) -> DataFrame:
-    """One row per numerical column: both sides' statistics, interval and three tests."""
-    if not columns:
-        return orig.sparkSession.createDataFrame([], _NUMBER_SCHEMA)
-    # one row per column each; written, because several tests below start from them
-    moments = cut_lineage(two_sample_moments(orig, synth, columns))
-    ranks = cut_lineage(complete_ranks(moments, rank_statistics(pooled_ecdf(orig, synth, columns))))
+def _held(rows: DataFrame) -> DataFrame:
+    """A table of one row per column, fetched: what starts from it costs no further job over the data."""
+    return rows.sparkSession.createDataFrame(rows.toArrow(), rows.schema)
 
-    def named(test: DataFrame, prefix: str) -> DataFrame:
-        return test.select(
-            "column",
-            F.col("statistic").alias(f"{prefix}_statistic"),
-            F.col("p_value").alias(f"{prefix}_p"),
-            F.col("is_similar").alias(f"{prefix}_similar"),
-        )
 
-    # every side of these joins has one row per column
-    intervals = describe(moments).select("column", "diff", "ci_lower", "ci_upper")
-    joined = moments.join(intervals, "column", "left").join(named(t_test(moments), "t"), "column")
-    return joined.join(named(mann_whitney(ranks), "mw"), "column").join(named(ks_test(ranks), "ks"), "column")
+def number_tests(counts: DataFrame, columns: list[str]) -> DataFrame:
+    """One row per numerical column: both sides' statistics, interval and three tests.
 
-
-def categorical_tests(orig: DataFrame, synth: DataFrame, columns: list[str]) -> DataFrame:
-    """One row per categorical column: TVD, chi-square and Cramer's V."""
+    ``counts`` are written counts of distinct values (column, value, c1, c2): means are weighted sums of
+    them, deviations are taken around the means in the pass that also makes the ranks.
+    """
+    spark = counts.sparkSession
     if not columns:
-        return orig.sparkSession.createDataFrame([], _CATEGORY_SCHEMA)
-    return category_tests(category_shares(category_counts(orig, synth, columns)))
+        return spark.createDataFrame([], _NUMBER_SCHEMA)
+    every = spark.createDataFrame([(c,) for c in columns], "column string")
+    centres = _held(every.join(moments_of_counts(counts), "column", "left").fillna(0, ["count_o", "count_a"]))
+    ranked = running_counts(counts).join(F.broadcast(centres), "column")
+    found = _held(rank_statistics(ranked, [deviation("o", "c1"), deviation("a", "c2")]))
+    # every column's figures in one row, so no test joins another
+    rows = centres.join(found, "column", "left").fillna(0, ["n1", "n2"])
+    tested = with_ks_test(with_mann_whitney(with_t_test(with_interval(rows))))
+    return tested.select(*[field.split()[0] for field in _NUMBER_SCHEMA.split(", ")])
+
+
+def categorical_tests(counts: DataFrame, columns: list[str]) -> DataFrame:
+    """One row per categorical column: TVD, chi-square and Cramer's V, from counts (column, category, c1, c2)."""
+    if not columns:
+        return counts.sparkSession.createDataFrame([], _CATEGORY_SCHEMA)
+    return category_tests(category_shares(counts.select("column", "category", F.col("c1").alias("c_orig"), F.col("c2").alias("c_aug"))))
 
 
 @dataclass
 class FidelityReport:
     """Test results, one row per column, with the report's views as methods.
 
-    ``numbers`` and ``categories`` are written once when the report is made, so that the views
-    do not compare the tables again.
+    ``numbers`` and ``categories`` are made once with the report, from ``counts``: the different cells of
+    all columns with how often each occurs on either side. The views don't read the tables again.
     """
 
-    orig: DataFrame
-    synth: DataFrame
+    counts: DataFrame
     profile: DataFrame
     numbers: DataFrame
     categories: DataFrame
@@ -263,7 +267,8 @@ class FidelityReport:
     def histograms(self) -> DataFrame:
         """Two-sample histograms of the columns in the descriptive list."""
         columns = [row["column"] for row in self.descriptive().select("column").collect()]
-        return two_sample_histogram(self.orig, self.synth, columns)
+        rows = self.counts.where(F.col("column").isNull()).agg(F.sum("c1"), F.sum("c2")).first()
+        return histogram_of_counts(self.counts, (rows[0] or 0, rows[1] or 0), columns)
 
     def text(self) -> DataFrame:
         """The text report as (line_no, line); the section is left out when it would be empty."""
@@ -306,19 +311,34 @@ def fidelity_report(
     Every column of the original is reported; one that the synthetic table lacks counts as missing
     in all its rows. ``profiled`` is the profile of the original when there is one already, as after an import.
     ``exact_counts=False`` estimates distinct counts, as ``profile`` does, for tables where an exact count costs too much.
-    Both tables are read several times: write a table that is costly to compute first.
+    Each table is read once, for the counts that everything else derives from (with estimates the original once more).
     """
+    counts = None
     if profiled is None:
         columns = columns or [c for c in orig.columns if c != ROW_INDEX or c in synth.columns]
-        profiled = cut_lineage(profile(orig.select(*[f"`{c}`" for c in columns]), exact=exact_counts))
+        chosen = orig.select(*[f"`{c}`" for c in columns])
+        if exact_counts:
+            numbers, texts = partition(columns, lambda c: is_numeric_type(orig.schema[c].dataType))
+            counts = cut_lineage(compared_counts(orig, _completed(synth, orig, columns), numbers, texts))
+            profiled = _held(profile_of_counts(chosen, counts))
+        else:
+            profiled = _held(profile(chosen, exact=False))
     kinds = collect_profile(profiled)
-    lacking = {c.column: F.lit(None).cast(orig.schema[c.column].dataType) for c in kinds if c.column not in synth.columns}
-    synth = synth.withColumns(lacking) if lacking else synth
     numeric, categorical = split_by_kind(kinds)
-    return FidelityReport(
-        orig,
-        synth,
-        profiled,
-        cut_lineage(number_tests(orig, synth, numeric)),
-        cut_lineage(categorical_tests(orig, synth, categorical)),
-    )
+    if counts is None:
+        counts = cut_lineage(compared_counts(orig, _completed(synth, orig, [c.column for c in kinds]), numeric, categorical))
+    numbers = counts.where(F.col("column").isin(numeric) & F.col("value").isNotNull()).select("column", "value", "c1", "c2")
+    # missing cells are a category of their own, together with the text that it is called by
+    category = F.coalesce("category", F.col("value").cast("string"), F.lit("null")).alias("category")
+    categories = counts.where(F.col("column").isin(categorical)).groupBy("column", category).agg(F.sum("c1").alias("c1"), F.sum("c2").alias("c2"))
+    return FidelityReport(counts, profiled, _held(number_tests(numbers, numeric)), _held(categorical_tests(categories, categorical)))
+
+
+def _completed(synth: DataFrame, orig: DataFrame, columns: list[str]) -> DataFrame:
+    """The synthetic table with the columns that it lacks, without values."""
+    lacking = {c: F.lit(None).cast(orig.schema[c].dataType) for c in columns if c not in synth.columns}
+    return synth.withColumns(lacking) if lacking else synth
+
+
+def partition(names: list[str], test: Callable[[str], bool]) -> tuple[list[str], list[str]]:
+    return [n for n in names if test(n)], [n for n in names if not test(n)]
