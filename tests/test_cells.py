@@ -209,3 +209,28 @@ def test_jitter_without_spread_or_number(spark):
 def test_fractions_that_do_not_converge_raise():
     with pytest.raises(ArithmeticError):
         D._beta_fraction(float("inf"), 0.5, 0.9)
+
+
+def test_one_text_per_instant(spark):
+    cells = {
+        "2024-03-10T12:00:00Z": "2024-03-10T12:00:00.000Z",
+        "2024-03-10T14:00:00+02:00": "2024-03-10T12:00:00.000Z",
+        "2024-03-10T12:00Z": "2024-03-10T12:00:00.000Z",
+        "2024-03-10T12:00:00.0009Z": "2024-03-10T12:00:00.000Z",
+        "2024-03-10T12:00:00.120-00:30": "2024-03-10T12:30:00.120Z",
+        "1969-12-31T23:59:59.999Z": "1969-12-31T23:59:59.999Z",
+        "0001-01-01T00:00:00Z": "0001-01-01T00:00:00.000Z",
+        "2024-03-10T12:00:00": "2024-03-10T12:00:00",
+        "2024-03-10": "2024-03-10",
+        "2024-02-31T12:00:00Z": "2024-02-31T12:00:00Z",
+        "2024-03-10T12:00:00+25:00": "2024-03-10T12:00:00+25:00",
+        " 2024-03-10T12:00:00Z": " 2024-03-10T12:00:00Z",
+    }
+    df = spark.createDataFrame([(c,) for c in cells], "cell string")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            assert {r.cell: r.text for r in df.select("cell", canonical_text(F.col("cell")).alias("text")).collect()} == cells
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)

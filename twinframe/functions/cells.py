@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 # What counts as a missing cell, a number and a boolean in loose text.
 MISSING_TOKENS = ("null", "continuous", "nan", "n/a", "undefined")
 NUMBER_PATTERN = r"^-?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?$"
+STAMP_PATTERN = r"^\d{4}-[01]\d-[0-3]\dT[0-2]\d:[0-5]\d(:[0-5]\d(\.\d+)?)?(Z|[+-][0-2]\d:[0-5]\d)$"
 BOOLEAN_CELLS = ("true", "TRUE", "false", "FALSE")
 NUMBER_LIMIT = float(2**53)
 
@@ -41,11 +42,30 @@ def number_text(number: Column) -> Column:
     return F.when(integral, number.cast("bigint").cast("string")).otherwise(number.cast("string"))
 
 
+def parse_stamp(cell: Column) -> Column:
+    """Milliseconds since 1970 of a full ISO time stamp with an offset; NULL for other texts and days that don't exist."""
+    # the pattern comes after the length: most cells are no stamps
+    full = F.octet_length(cell).between(17, 64) & cell.rlike(STAMP_PATTERN)
+    # seconds may be left out: the minutes end at the sixteenth character
+    seconds = F.when(F.substring(cell, 17, 1) == ":", cell).otherwise(F.concat(F.left(cell, F.lit(16)), F.lit(":00"), F.substr(cell, F.lit(17))))
+    return F.unix_millis(F.when(full, seconds).try_cast("timestamp"))
+
+
+def stamp_text(millis: Column) -> Column:
+    """One text per instant, in UTC whatever the session's time zone."""
+    day = 86_400_000
+    within = F.pmod(millis, F.lit(day))
+    date = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(millis / day).cast("int")).cast("string")
+    parts = [F.floor(within / 3_600_000), F.floor(within / 60_000) % 60, F.floor(within / 1000) % 60, within % 1000]
+    return F.concat(date, F.format_string("T%02d:%02d:%02d.%03dZ", *parts))
+
+
 def canonical_text(cell: Column) -> Column:
-    """The category a cleaned text cell stands for."""
+    """The category a cleaned text cell stands for: equal numbers, truth values and instants have one text."""
     return (
         F.when(parse_number(cell).isNotNull(), number_text(parse_number(cell)))
         .when(cell.isin(*BOOLEAN_CELLS), F.lower(cell))
+        .when(parse_stamp(cell).isNotNull(), stamp_text(parse_stamp(cell)))
         .otherwise(cell)
     )
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from twinframe.functions.cells import canonical_text, clean_text
 from twinframe.functions.rng import uniform, vote_choice, weighted_choice
 from twinframe.operators.ecdf import average_rank, ks_test, mann_whitney, pooled_ecdf, rank_statistics
 from twinframe.operators.frequency import (
@@ -143,6 +144,19 @@ def clean_missing_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return clean_cells(orders.select("o_orderkey", cell.alias("cell")))
 
 
+def clean_timestamps(spark: SparkSession, folder: str) -> DataFrame:
+    """Event times spelled in four ways, as the categories that they stand for; the fourth lacks its offset and stays text."""
+    at, seconds = F.col("ts").cast("timestamp_ntz"), "yyyy-MM-dd'T'HH:mm:ss"
+    # by the remainder of the id: whole seconds, another offset, more digits than milliseconds, no offset
+    spelled = (
+        F.when(F.col("event_id") % 4 == 0, F.concat(F.date_format(at, seconds), F.lit("Z")))
+        .when(F.col("event_id") % 4 == 1, F.concat(F.date_format(at + F.expr("INTERVAL '5:30' HOUR TO MINUTE"), seconds), F.lit("+05:30")))
+        .when(F.col("event_id") % 4 == 2, F.concat(F.date_format(at, seconds), F.lit(".0000Z")))
+        .otherwise(F.date_format(at, seconds))
+    )
+    return table(spark, folder, "events").select("event_id", canonical_text(clean_text(spelled)).alias("stamp"))
+
+
 def csv_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     """Customers through the CSV sink and the loose CSV source, typed by their profile."""
     path = new_folder(spark, "customer.csv")
@@ -434,6 +448,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         numeric_probe_documents,
         numeric_probe_events,
         clean_missing_tokens,
+        clean_timestamps,
         csv_roundtrip,
         csv_roundtrip_text,
         row_index_orders,

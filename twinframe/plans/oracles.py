@@ -420,6 +420,8 @@ SELECT *, CASE WHEN is_heuristic_categorical THEN 'Discrete' WHEN type = 'numeri
         ["user_id", "event_type", "value", "props", "mixed"],
     ),
     "clean_missing_tokens": _clean(),
+    "clean_timestamps": """SELECT event_id, CASE WHEN event_id % 4 = 3 THEN strftime(ts::TIMESTAMP, '%Y-%m-%dT%H:%M:%S')
+  ELSE strftime(ts::TIMESTAMP, '%Y-%m-%dT%H:%M:%S') || '.000Z' END AS stamp FROM events""",
     "csv_roundtrip": """SELECT c_custkey::DOUBLE AS c_custkey, c_name, c_nationkey::DOUBLE AS c_nationkey, c_acctbal,
   c_mktsegment, row_number() OVER (ORDER BY c_custkey) - 1 AS row_idx FROM customer""",
     "row_index_orders": """SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS row_idx
