@@ -101,6 +101,31 @@ def test_line_breaks_inside_quotes_are_found(spark, tmp_path):
     assert [r.a for r in read_csv(spark, path).orderBy("row_idx").collect()] == ["x\n\ny", "z"]
 
 
+@pytest.mark.parametrize(
+    ("text", "bad"),
+    [
+        ("1,2\n5,6", []),
+        ('"x\ny",1\nz,2', []),
+        ('"x ""y"", z",1\na"b"c,2\n,\n"",3', []),
+        ("1,2\n3", ["3"]),
+        ("1,2,3\n4,5", ["1,2,3"]),
+        ('1,2\n"x"y,2\n5,6', ['"x"y,2']),
+        ('"x"y\n"u","v"w,1\n5,6', ['"x"y', '"u","v"w,1']),
+        ('1,2\n"x,2', ['"x,2']),
+        ('"x\ny",1\nz\n"q\nr",5,6', ["z", '"q\nr",5,6']),
+        ("1," + "7" * 100_000 + '\n"' + 'k""' * 50_000 + '",1', []),
+    ],
+)
+def test_the_error_list_agrees_with_the_import(spark, tmp_path, text, bad):
+    path = write(tmp_path, "any.csv", f"a,b\n{text}\n")
+    assert sorted(r._broken_row.strip() for r in read_csv_errors(spark, path).collect()) == sorted(bad)
+    if bad:
+        with pytest.raises(Exception, match="(?i)malformed|not closed|unescaped quote"):
+            read_csv(spark, path).count()
+    else:
+        assert read_csv(spark, path).count() == 2 + text.startswith('"x ""y""') * 2
+
+
 class Session:
     """As much of a session as the scratch folder asks for."""
 

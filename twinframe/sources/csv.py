@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,15 @@ from twinframe.sources.scratch import cut_lineage
 
 ROW_INDEX = "row_idx"
 BROKEN_ROW = "_broken_row"
+# how a row is read, in the import and in the list of its errors
+_OPTIONS = {
+    "header": True,
+    "escape": '"',
+    "unescapedQuoteHandling": "RAISE_ERROR",
+    "enforceSchema": False,
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
 
 
 def _header(spark: SparkSession, path: str, sep: str) -> list[str]:
@@ -46,35 +56,42 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", multi_line: bool |
     schema = T.StructType([T.StructField(name, T.StringType()) for name in _header(spark, path, sep)])
     # a pruned scan would not notice malformed rows
     rows = spark.read.option("columnPruning", False).csv(
-        path,
-        schema=schema,
-        header=True,
-        sep=sep,
-        mode="FAILFAST",
-        multiLine=multi_line,
-        escape='"',
-        unescapedQuoteHandling="RAISE_ERROR",
-        enforceSchema=False,
-        ignoreLeadingWhiteSpace=False,
-        ignoreTrailingWhiteSpace=False,
+        path, schema=schema, mode="FAILFAST", **(_OPTIONS | {"multiLine": multi_line, "sep": sep})
     )
     return number_file_rows(rows)
 
 
-def read_csv_errors(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """The malformed rows of a CSV source, as parsed and as text in ``_broken_row``."""
+def read_csv_errors(spark: SparkSession, path: str, sep: str = ",", multi_line: bool | None = None) -> DataFrame:
+    """The malformed rows of a CSV source, as parsed and as text in ``_broken_row``; none if ``read_csv`` takes it.
+
+    The rows are read as in the import. A quote left open at a file's end makes its last row malformed. A row
+    with text behind a closing quote comes without parsed cells; if quotes also go on over line breaks, nothing
+    tells where such a row ends, and the list raises as the import does. A lone quote inside an unquoted cell fails
+    the import (its file has an odd number of quotes) but is a cell here.
+    """
+    if multi_line is None:
+        try:
+            multi_line = _spans_lines(spark, path)
+        except ValueError:
+            multi_line = True  # the open quote reaches to the end of its file
     fields = [T.StructField(name, T.StringType()) for name in _header(spark, path, sep)]
     fields.append(T.StructField(BROKEN_ROW, T.StringType()))
+    options = _OPTIONS | {"multiLine": multi_line, "sep": sep}
+    if not multi_line:
+        options["unescapedQuoteHandling"] = "STOP_AT_DELIMITER"
     rows = spark.read.option("columnPruning", False).csv(
-        path,
-        schema=T.StructType(fields),
-        header=True,
-        sep=sep,
-        mode="PERMISSIVE",
-        columnNameOfCorruptRecord=BROKEN_ROW,
-        escape='"',
+        path, schema=T.StructType(fields), mode="PERMISSIVE", columnNameOfCorruptRecord=BROKEN_ROW, **options
     )
-    return rows.where(F.col(BROKEN_ROW).isNotNull())
+    broken = rows.where(F.col(BROKEN_ROW).isNotNull())
+    if multi_line:
+        return broken
+    # possessive, so that a long cell costs no stack
+    mark = re.escape(sep)
+    cell = f'(?:"[^"]*+(?:""[^"]*+)*+"|[^"{mark}][^{mark}]*+|)'
+    stray = ~F.col(BROKEN_ROW).rlike(f"^{cell}(?:{mark}{cell})*+$")
+    lines = spark.read.text(path).select(F.col("value").alias(BROKEN_ROW)).where(F.contains(F.col(BROKEN_ROW), F.lit('"')) & stray)
+    none = [F.lit(None).cast("string").alias(f.name) for f in fields[:-1]]
+    return broken.where(~stray).unionAll(lines.select(*none, BROKEN_ROW))
 
 
 def number_file_rows(rows: DataFrame) -> DataFrame:
