@@ -10,8 +10,8 @@ from twinframe.functions import distributions as D
 from twinframe.functions.cells import canonical_text, clean_text, decimal_places, parse_number, round_half_up, round_to_places
 from twinframe.functions.rng import standard_normal, uniform, vote_choice, weighted_choice
 from twinframe.operators.moments import NumberStats
-from twinframe.operators.profile import apply_types, collect_profile, profile, profile_text
-from twinframe.operators.ranges import with_row_index
+from twinframe.operators.profile import apply_types, collect_profile, numeric_text, profile, profile_text
+from twinframe.operators.ranges import KEY_LENGTH, _cut_key, with_row_index
 from twinframe.plans.synthesize import jittered
 
 
@@ -77,6 +77,17 @@ def test_cardinality_limit(spark, distinct, kind):
     assert collect_profile(profile(typed, exact=False))[0].type == kind
 
 
+def test_probe_goes_on_until_a_column_has_its_values(spark, monkeypatch):
+    monkeypatch.setattr("twinframe.operators.profile.PROBE_ROWS", 64)
+    rows = [(1000 + 3 * n, str(n), str(n) if n % 40 == 0 else None, str(n) if n < 30 else "w", "w" if n == 2999 else "1") for n in range(3000)]
+    df = spark.createDataFrame(rows + [(None, "word", "word", "1", "word")], "at bigint, a string, rare string, early string, late string").repartition(3)
+    kinds = {p.column: (p.type, p.unique_count) for p in collect_profile(profile_text(df, "at"))}
+    assert kinds == {"a": ("numerical", 3001), "rare": ("numerical", 76), "early": ("categorical", 31), "late": ("categorical", 3)}
+    assert numeric_text(df.where("at IS NULL").withColumnRenamed("at", "_at"), ["a"]) == {"a": True}
+    words = df.where("at IS NOT NULL").select(F.format_string("k%06d", "at").alias("at"), "a", "early")
+    assert [p.type for p in collect_profile(profile_text(words, "at"))] == ["numerical", "categorical"]
+
+
 def test_all_missing_column_is_categorical(spark):
     _, profiles = text_profile(spark, ["null", "", "NaN"])
     assert (profiles[0].type, profiles[0].unique_count) == ("categorical", 0)
@@ -191,6 +202,21 @@ def test_a_key_with_copies_is_rejected(spark):
     rows = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "k int, v string")
     with pytest.raises(ValueError, match="not unique"):
         with_row_index(rows, ["k"])
+    long = spark.range(40).select(F.concat(F.repeat(F.lit("x"), 3000), (F.col("id") % 39).cast("string")).alias("k"), "id")
+    with pytest.raises(ValueError, match="not unique"):
+        with_row_index(long, ["k"], 5)
+
+
+def test_long_keys_are_cut_by_their_beginnings(spark):
+    million = F.repeat(F.lit("é"), 500_000)
+    key = F.concat(F.lpad((F.col("id") * 7 % 60).cast("string"), 2, "0"), F.when(F.col("id") % 3 > 0, million).otherwise(""))
+    df = spark.range(120).select(key.alias("k"), (F.col("id") % 2).alias("g"), F.col("id").alias("v")).repartition(6)
+    numbered = with_row_index(df, ["k", "g", "v"], 10).select("row_idx", "k", "g", "v").orderBy("row_idx").collect()
+    assert [r.row_idx for r in numbered] == list(range(120))
+    assert [(r.k, r.g, r.v) for r in numbered] == sorted((r.k, r.g, r.v) for r in numbered)
+    cut = df.select(*[c.alias(f"c{at}") for at, c in enumerate(_cut_key(df, ["k", "g", "v"]))])
+    widest = cut.select(F.max(F.octet_length(F.to_json(F.struct("*"))))).first()[0]
+    assert widest < 4 * KEY_LENGTH  # what the driver samples of a key of a megabyte
 
 
 def test_numbers_may_stand_between_any_white_space(spark):

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 MISSING_TOKENS = ("null", "continuous", "nan", "n/a", "undefined")
 NUMBER_PATTERN = r"^-?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?$"
 STAMP_PATTERN = r"^\d{4}-[01]\d-[0-3]\dT[0-2]\d:[0-5]\d(:[0-5]\d(\.\d+)?)?(Z|[+-][0-2]\d:[0-5]\d)$"
+NUMBER_STARTS = tuple("0123456789.-")
 BOOLEAN_CELLS = ("true", "TRUE", "false", "FALSE")
 NUMBER_LIMIT = float(2**53)
 
@@ -32,7 +33,9 @@ def clean_text(cell: Column) -> Column:
 def parse_number(cell: Column) -> Column:
     """The double a text cell spells, NULL when it is no plain finite number."""
     token = F.btrim(cell, F.lit(WHITE_SPACE))
-    number = F.when(token.rlike(NUMBER_PATTERN), token.try_cast("double"))
+    # the first character spares long texts the pattern
+    spelled = F.substring(token, 1, 1).isin(*NUMBER_STARTS) & token.rlike(NUMBER_PATTERN)
+    number = F.when(spelled, token.try_cast("double"))
     return F.when(F.abs(number) < NUMBER_LIMIT, number)
 
 
@@ -62,12 +65,8 @@ def stamp_text(millis: Column) -> Column:
 
 def canonical_text(cell: Column) -> Column:
     """The category a cleaned text cell stands for: equal numbers, truth values and instants have one text."""
-    return (
-        F.when(parse_number(cell).isNotNull(), number_text(parse_number(cell)))
-        .when(cell.isin(*BOOLEAN_CELLS), F.lower(cell))
-        .when(parse_stamp(cell).isNotNull(), stamp_text(parse_stamp(cell)))
-        .otherwise(cell)
-    )
+    truth = F.when(cell.isin(*BOOLEAN_CELLS), F.lower(cell))
+    return F.coalesce(number_text(parse_number(cell)), truth, stamp_text(parse_stamp(cell)), cell)
 
 
 def is_numeric_type(data_type: T.DataType) -> bool:

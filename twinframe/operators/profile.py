@@ -22,6 +22,7 @@ from twinframe.operators.sides import kind_facts
 # Distinct values up to which a numeric column is categorical, and probed cells.
 CARDINALITY_LIMIT = 10
 PROBE_VALUES = 50
+PROBE_ROWS = 1024  # how far along the key the probe reads at first
 
 NUMERICAL = "numerical"
 CATEGORICAL = "categorical"
@@ -139,35 +140,66 @@ def profile_of_counts(df: DataFrame, counts: DataFrame) -> DataFrame:
     return _classified(spark.createDataFrame(rows, "ordinal int, column string, is_numeric boolean, precision int, unique_count bigint"))
 
 
+def _probe(cells: DataFrame, names: list[str]) -> dict[str, bool]:
+    """Whether the first 50 values of each text column all spell numbers, in the order of ``_at``.
+
+    Stated without a sort: the first non-number has at least 50 values before it, or there is
+    no non-number at all.
+    """
+    cell = {n: F.col(f"`{n}`") for n in names}
+    found = cells.agg(
+        *[F.min(F.when(cell[n].isNotNull() & parse_number(cell[n]).isNull(), F.col("_at"))).alias(f"c{at}") for at, n in enumerate(names)]
+    ).first()
+    first = {n: found[f"c{at}"] for at, n in enumerate(names)}
+    mixed = [n for n in names if first[n] is not None]
+    passed = dict.fromkeys(names, True)
+    if mixed:
+        before = cells.where(F.col("_at") < max(first[n] for n in mixed)).agg(
+            *[F.count(F.when(F.col("_at") < first[n], cell[n])).alias(f"c{at}") for at, n in enumerate(mixed)]
+        ).first()
+        passed |= {n: before[f"c{at}"] >= PROBE_VALUES for at, n in enumerate(mixed)}
+    return passed
+
+
+def numeric_text(cells: DataFrame, names: list[str]) -> dict[str, bool]:
+    """Which text columns a loose CSV import takes for numbers: those whose first 50 values all spell one.
+
+    Along a whole-number key ``_at`` the table is read from its start, each time sixteen times as far,
+    and only for the columns that don't have their 50 values yet; the bound on the key reaches the scan.
+    Any other key takes whole-table passes.
+    """
+    if not isinstance(cells.schema["_at"].dataType, T.IntegralType):
+        return _probe(cells, names)
+    low, high = cells.agg(F.min("_at"), F.max("_at")).first()
+    if low is None:
+        return dict.fromkeys(names, True)
+    passed, open_, reach = {}, list(names), PROBE_ROWS
+    while open_:
+        last = low + reach > high
+        start = cells if last else cells.where(F.col("_at") < low + reach)
+        held = start.agg(*[F.count(F.col(f"`{n}`")).alias(f"c{at}") for at, n in enumerate(open_)]).first()
+        settled = [n for at, n in enumerate(open_) if last or held[f"c{at}"] >= PROBE_VALUES]
+        if settled:
+            passed |= _probe(start, settled)
+        open_ = [n for n in open_ if n not in passed]
+        reach *= 16
+    return passed
+
+
 def profile_text(df: DataFrame, order_by: str) -> DataFrame:
     """Profile a table of text cells the way a loose CSV import types it.
 
     A column is numeric when the first 50 non-missing values, in row order, all spell numbers.
-    Stated without a sort: the first non-number has at least 50 values before it, or there is
-    no non-number at all.
     """
     names = [name for name in df.columns if name != order_by]
     cells = df.select(F.col(f"`{order_by}`").alias("_at"), *[clean_text(F.col(f"`{n}`")).alias(n) for n in names])
     numbers = {n: parse_number(F.col(f"`{n}`")) for n in names}
-    firsts = cells.agg(
-        *[
-            F.min(F.when(F.col(f"`{n}`").isNotNull() & numbers[n].isNull(), F.col("_at"))).alias(f"c{at}")
-            for at, n in enumerate(names)
-        ]
-    ).first()
-    seen = {n: firsts[f"c{at}"] for at, n in enumerate(names)}
-    mixed = [n for n in names if seen[n] is not None]
-    passed: dict[str, bool] = {}
-    if mixed:
-        before = cells.where(F.col("_at") < max(seen[n] for n in mixed)).agg(
-            *[F.count(F.when(F.col("_at") < seen[n], F.col(f"`{n}`"))).alias(f"c{at}") for at, n in enumerate(mixed)]
-        ).first()
-        passed = {n: before[f"c{at}"] >= PROBE_VALUES for at, n in enumerate(mixed)}
+    passed = numeric_text(cells, names)
     fields = [T.StructField(n, T.StringType()) for n in names]
     aggregates = [
         F.struct(
-            ((F.count(F.col(f"`{n}`")) > 0) & F.lit(passed.get(n, True))).alias("is_numeric"),
-            F.coalesce(F.max(decimal_places(numbers[n])), F.lit(0)).alias("precision"),
+            (F.count(F.col(f"`{n}`")) > 0 if passed[n] else F.lit(False)).alias("is_numeric"),
+            (F.coalesce(F.max(decimal_places(numbers[n])), F.lit(0)) if passed[n] else F.lit(0)).alias("precision"),
         ).alias(f"c{at}")
         for at, n in enumerate(names)
     ]

@@ -3,13 +3,15 @@
 A running total or dense row number over a whole table is a window without partitions, i.e.
 one task. Here the engine deals the rows out in key ranges and sorts each; numbers within a
 range come from the sorted order, and the totals of earlier ranges (a small table) are added.
-Where the cuts fall only decides balance: every result is exact for any cut.
+Where the cuts fall only decides balance: every result is exact for any cut. So the engine samples
+and cuts by the beginnings of long texts, and whole keys are compared inside a range only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from twinframe.sources.csv import ROW_INDEX
@@ -17,17 +19,46 @@ from twinframe.sources.scratch import cut_lineage
 
 ROWS_PER_RANGE = 250_000
 _COPIES_PER_PIECE = 100_000
+# characters (or bytes) of a key column that the engine samples to place the cuts
+KEY_LENGTH = 256
 _IN_RANGE = 33  # bits of a growing id that count rows of one task
 
 
+def _cut_key(df: DataFrame, order_by: list[str]) -> list[Column]:
+    """Columns of bounded width that never contradict the order of the key.
+
+    A text or binary value counts with its beginning, then whether it goes on. Rows whose value goes
+    on aren't told apart further: they have NULL in the columns that follow, and so share a range.
+    """
+    cut, whole = [], F.lit(True)
+    for name in order_by:
+        kind, value = df.schema[name].dataType, F.col(f"`{name}`")
+        if kind == T.StringType() or isinstance(kind, T.BinaryType):
+            longer = F.coalesce(F.length(value) > KEY_LENGTH, F.lit(False))
+            cut += [F.when(whole, F.substring(value, 1, KEY_LENGTH)), F.when(whole, longer)]
+            whole = whole & ~longer
+        else:
+            cut.append(F.when(whole, value))
+    return cut
+
+
 def _sorted_ranges(rows: DataFrame, order_by: list[str], rows_per_range: int) -> DataFrame:
-    """Rows with their range (``_range``) and place in it (``_within``); written, so neither changes later."""
+    """Rows with their range (``_range``), place in it (``_within``) and whether they repeat the key before (``_again``).
+
+    Written, so that no place changes later. Equal keys lie in one range, next to each other.
+    """
     ranges = max(1, -(-rows.count() // rows_per_range))
     names = [f"`{c}`" for c in order_by]
-    ordered = rows.repartitionByRange(ranges, *names).sortWithinPartitions(*names)
-    placed = cut_lineage(ordered.withColumn("_place", F.monotonically_increasing_id()))
+    cut = [c.alias(f"_cut{at}") for at, c in enumerate(_cut_key(rows, order_by))]
+    cuts = [f"_cut{at}" for at in range(len(cut))]
+    key = F.struct(*[F.col(n).alias(f"k{at}") for at, n in enumerate(names)])
+    # partitioned as the ranges are, so the window sorts each range and moves no row
+    in_range = Window.partitionBy(*cuts).orderBy(*names)
+    ordered = rows.select("*", *cut).repartitionByRange(ranges, *cuts).withColumn("_again", F.lag(key).over(in_range).eqNullSafe(key))
+    placed = cut_lineage(ordered.drop(*cuts).withColumn("_place", F.monotonically_increasing_id()))
     return placed.select(
         *[f"`{c}`" for c in rows.columns],
+        "_again",
         F.shiftright("_place", _IN_RANGE).cast("int").alias("_range"),
         F.col("_place").bitwiseAND(F.lit((1 << _IN_RANGE) - 1)).alias("_within"),
     )
@@ -51,8 +82,7 @@ def with_row_index(df: DataFrame, order_by: list[str], rows_per_range: int = 100
     if set(df.columns) <= set(order_by):
         return _index_copies(df, order_by, rows_per_range)
     placed = _sorted_ranges(df, order_by, rows_per_range)
-    twice = placed.groupBy(*[f"`{c}`" for c in order_by]).agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1").limit(1).count()
-    if twice:
+    if not placed.where("_again").isEmpty():
         raise ValueError(f"the key {order_by} is not unique: name a unique key, or all columns")
     offsets = _offsets(placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows")))
     index = (F.col("_offset") + F.col("_within")).cast("bigint").alias(ROW_INDEX)
@@ -66,7 +96,7 @@ def _index_copies(rows: DataFrame, order_by: list[str], rows_per_range: int) ->
     offsets = _offsets(placed.groupBy("_range").agg(F.sum("_copies").alias("_rows")))
     before = Window.partitionBy("_range").orderBy("_within").rowsBetween(Window.unboundedPreceding, -1)
     first = F.col("_offset") + F.coalesce(F.sum("_copies").over(before), F.lit(0))
-    numbered = cut_lineage(placed.join(offsets, "_range").withColumn("_first", first).drop("_range", "_offset", "_within"))
+    numbered = cut_lineage(placed.join(offsets, "_range").withColumn("_first", first).drop("_range", "_offset", "_within", "_again"))
 
     def multiplied(pieces: DataFrame) -> DataFrame:
         steps = F.sequence(F.col("_first"), F.col("_first") + F.col("_copies") - 1)
