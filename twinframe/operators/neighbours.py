@@ -402,7 +402,6 @@ def _by_blocks(
 ) -> DataFrame:
     spark = seeds.sparkSession
     hashes = F.transform("cats", lambda c: F.xxhash64(c).cast("double"))
-    seeds = cut_lineage(seeds.withColumn("key", F.concat("z", hashes)))
     keyed = originals.select(ROW_INDEX, "z", "cats", F.concat("z", hashes).alias("key"))
 
     size = keyed.agg(
@@ -431,17 +430,19 @@ def _by_blocks(
         (tree.depth, tree.numeric, tree.dims, tree.cuts, tree.low, tree.high, tree.sizes)
     )
     placed, sizes = _thin_out(placed, leaves, sizes, 4 * rows_per_block, k)
-    parts = spark.createDataFrame(
-        pa.table({"leaf": leaves, "size": sizes, "parts": np.maximum(1, -(-sizes // (8 * rows_per_block)))})
-    )
+    parts = np.maximum(1, -(-sizes // (8 * rows_per_block)))
 
-    def search(visits: DataFrame) -> DataFrame:
-        return _search_blocks(visits, placed, parts, categories, k, queries_per_block)
+    def search(visits: DataFrame) -> DataFrame | None:
+        return _search_blocks(visits, placed, (leaves, sizes, parts), categories, k, queries_per_block)
 
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     unbounded = F.array(*[F.lit(float("inf"))] * categories)
-    homes = seeds.withColumn("leaf", leaf_of("key"))
-    best = cut_lineage(_top_k(search(homes.withColumn("radius", unbounded)), k))
+    homes = cut_lineage(seeds.withColumn("key", F.concat("z", hashes)).withColumn("leaf", leaf_of("key")))
+    best = search(homes.withColumn("radius", unbounded))
+    if best is None:  # every query falls where no original is
+        best = spark.createDataFrame([], _PARTIAL_SCHEMA)
+    # a block that is searched whole gives a query's k nearest at once
+    best = cut_lineage(_top_k(best, k).drop("rank") if (parts > 1).any() else best)
 
     def reach(best: DataFrame) -> DataFrame:
         """The k-th distance per query and target so far, infinite while there are fewer."""
@@ -464,31 +465,28 @@ def _by_blocks(
 
         return routed
 
-    def visits(best: DataFrame, visited: DataFrame, nearest: int | None) -> DataFrame:
+    def visits(best: DataFrame, nearby: DataFrame | None, nearest: int | None) -> DataFrame:
         # a fixed number of tasks: few bytes per query, but much work
-        queries = homes.repartition(tasks, "i").join(reach(best), "i", "left").join(visited, "i", "left")
-        asked = queries.select(
-            "i",
-            "z",
-            "cats",
-            "key",
-            F.coalesce("radius", unbounded).alias("radius"),
-            F.concat(F.array("leaf"), F.coalesce("visited", F.array().cast("array<bigint>"))).alias("visited"),
-        )
+        queries = homes.repartition(tasks, "i").join(reach(best), "i", "left")
+        visited = F.array("leaf")
+        if nearby is not None:
+            queries = queries.join(nearby.groupBy("i").agg(F.collect_list("leaf").alias("nearby")), "i", "left")
+            visited = F.concat(visited, F.coalesce("nearby", F.array().cast("array<bigint>")))
+        asked = queries.select("i", "z", "cats", "key", F.coalesce("radius", unbounded).alias("radius"), visited.alias("visited"))
         return cut_lineage(asked.mapInArrow(route(nearest), _VISIT_SCHEMA))
 
-    visited = homes.select("i", F.array().cast("array<bigint>").alias("visited"))
+    nearby = None
     if blocks >= _TIGHTEN_FROM:
         # a few nearby blocks first: they tighten the radius, and with it the number in reach
-        nearby = visits(best, visited, _NEARBY_BLOCKS)
-        best = cut_lineage(_top_k(best.drop("rank").unionByName(search(nearby)), k))
-        visited = nearby.groupBy("i").agg(F.collect_list("leaf").alias("visited"))
-    rest = visits(best, visited, None)
-    if not rest.isEmpty():
-        best = _top_k(best.drop("rank").unionByName(search(rest)), k)
+        nearby = visits(best, None, _NEARBY_BLOCKS)
+        found = search(nearby)
+        if found is not None:
+            best = cut_lineage(_top_k(best.unionByName(found), k).drop("rank"))
+    found = search(visits(best, nearby, None))
+    best = _top_k(best if found is None else best.unionByName(found), k)
     entry = F.struct("target", "rank", ROW_INDEX, "distance", "class").cast(NEIGHBOUR_TYPE)
     lists = best.groupBy("i").agg(F.sort_array(F.collect_list(entry)).alias("neighbours"))
-    return seeds.drop("key").join(lists, "i", "left")
+    return homes.drop("key", "leaf").join(lists, "i", "left")
 
 
 def _boxes(placed: DataFrame, dims: int) -> pa.Table:
@@ -525,17 +523,31 @@ def _thin_out(
 
 
 def _search_blocks(
-    visits: DataFrame, placed: DataFrame, parts: DataFrame, categories: int, k: int, queries_per_block: int
-) -> DataFrame:
-    """The k nearest per query inside each visited block.
+    visits: DataFrame,
+    placed: DataFrame,
+    blocks: tuple[np.ndarray, np.ndarray, np.ndarray],
+    categories: int,
+    k: int,
+    queries_per_block: int,
+) -> DataFrame | None:
+    """The k nearest per query inside each visited block; None when no block is visited.
 
-    A block with many rows is cut into parts, which all its queries visit; a block with many
-    queries gets several chunks of queries, each with its own copy of the (bounded) part.
-    Blocks nobody visits are dropped before the shuffle.
+    ``blocks`` gives leaf, size and number of parts of every block, in leaf order. A block with many
+    rows is cut into parts, which all its queries visit; a block with many queries gets several
+    chunks of queries, each with its own copy of the (bounded) part. Blocks nobody visits are
+    dropped before the shuffle. The driver counts the queries per block: one row a block.
     """
-    load = visits.groupBy("leaf").agg(F.count(F.lit(1)).alias("queries")).join(F.broadcast(parts), "leaf")
-    plan = F.broadcast(load.select("leaf", "parts", F.ceil(F.col("queries") / queries_per_block).alias("chunks")))
-    pairs = load.agg(F.coalesce(F.sum(F.col("queries") * F.col("size")), F.lit(0))).first()[0]
+    leaves, sizes, parts = blocks
+    load = visits.groupBy("leaf").agg(F.count(F.lit(1)).alias("queries")).toArrow()
+    asked, queries = load["leaf"].to_numpy(), load["queries"].to_numpy()
+    held = np.isin(asked, leaves)
+    asked, queries = asked[held], queries[held]
+    if not len(asked):
+        return None
+    at = np.searchsorted(leaves, asked)
+    chunks = -(-queries // queries_per_block)
+    plan = F.broadcast(placed.sparkSession.createDataFrame(pa.table({"leaf": asked, "parts": parts[at], "chunks": chunks})))
+    pairs = int((queries * sizes[at]).sum())
     tasks = max(int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pairs // PAIRS_PER_TASK))
 
     queries = (
