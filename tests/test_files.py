@@ -5,9 +5,9 @@ import os
 
 import pytest
 
-from twinframe.plans.files import import_csv, reset, synthesize_csv
+from twinframe.plans.files import import_csv, reset, synthesize_csv, synthesize_table
 from twinframe.sources.csv import output_paths, read_csv, read_csv_errors
-from twinframe.sources.scratch import run_folder, shared_folder
+from twinframe.sources.scratch import cut_lineage, run_folder, scratch_scope, shared_folder
 
 
 def write(folder, name, text):
@@ -89,6 +89,21 @@ def test_reset_deletes_the_run_and_keeps_results(spark, tmp_path, monkeypatch):
     assert spark.read.csv(output_paths(str(tmp_path), path)["synthetic"], header=True).count() == 20
 
 
+def test_a_blocked_synthesis_leaves_only_its_result(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("twinframe.sources.scratch._runs", {})
+    path = write(tmp_path, "s.csv", "a,b,c\n" + "".join(f"{n % 13},{'xy'[n % 2]},{'uvw'[n % 3]}\n" for n in range(60)))
+    loose = import_csv(spark, path)
+    folder = run_folder(spark)
+    held = set(os.listdir(folder))
+    assert len(held) == 2  # the profile and the typed rows
+    made = synthesize_table(loose, 30, 5, strategy="blocked", rows_per_block=8)
+    assert len(set(os.listdir(folder)) - held) == 1 and made.count() == 30 and loose.rows.count() == 60
+    with pytest.raises(ZeroDivisionError), scratch_scope(spark):
+        cut_lineage(spark.range(1))
+        1 / 0
+    assert len(os.listdir(folder)) == 3
+
+
 @pytest.mark.parametrize("bad", ['"x"y,2', '"x,2'])
 def test_quote_errors_reject_the_import(spark, tmp_path, bad):
     path = write(tmp_path, "quotes.csv", f"a,b\n1,2\n{bad}\n")

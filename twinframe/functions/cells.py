@@ -63,10 +63,14 @@ def stamp_text(millis: Column) -> Column:
     return F.concat(date, F.format_string("T%02d:%02d:%02d.%03dZ", *parts))
 
 
-def canonical_text(cell: Column) -> Column:
-    """The category a cleaned text cell stands for: equal numbers, truth values and instants have one text."""
+def canonical_text(cell: Column, number: Column | None = None) -> Column:
+    """The category a cleaned text cell stands for: equal numbers, truth values and instants have one text.
+
+    ``number`` is what the cell spells, if that is a column already.
+    """
     truth = F.when(cell.isin(*BOOLEAN_CELLS), F.lower(cell))
-    return F.coalesce(number_text(parse_number(cell)), truth, stamp_text(parse_stamp(cell)), cell)
+    number = parse_number(cell) if number is None else number
+    return F.coalesce(number_text(number), truth, stamp_text(parse_stamp(cell)), cell)
 
 
 def is_numeric_type(data_type: T.DataType) -> bool:

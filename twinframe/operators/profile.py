@@ -193,18 +193,19 @@ def profile_text(df: DataFrame, order_by: str) -> DataFrame:
     """
     names = [name for name in df.columns if name != order_by]
     cells = df.select(F.col(f"`{order_by}`").alias("_at"), *[clean_text(F.col(f"`{n}`")).alias(n) for n in names])
-    numbers = {n: parse_number(F.col(f"`{n}`")) for n in names}
     passed = numeric_text(cells, names)
+    # the number of a cell is a column, so that the expressions below don't repeat its making
+    parsed = cells.select(*[F.col(f"`{n}`").alias(f"t{at}") for at, n in enumerate(names)], *[parse_number(F.col(f"`{n}`")).alias(f"n{at}") for at, n in enumerate(names)])
     fields = [T.StructField(n, T.StringType()) for n in names]
     aggregates = [
         F.struct(
-            (F.count(F.col(f"`{n}`")) > 0 if passed[n] else F.lit(False)).alias("is_numeric"),
-            (F.coalesce(F.max(decimal_places(numbers[n])), F.lit(0)) if passed[n] else F.lit(0)).alias("precision"),
+            (F.count(f"t{at}") > 0 if passed[n] else F.lit(False)).alias("is_numeric"),
+            (F.coalesce(F.max(decimal_places(F.col(f"n{at}"))), F.lit(0)) if passed[n] else F.lit(0)).alias("precision"),
         ).alias(f"c{at}")
         for at, n in enumerate(names)
     ]
-    facts = _as_rows(cells.agg(*aggregates), fields)
-    categories = cells.select(*[canonical_text(F.col(f"`{n}`")).alias(n) for n in names])
+    facts = _as_rows(parsed.agg(*aggregates), fields)
+    categories = parsed.select(*[canonical_text(F.col(f"t{at}"), F.col(f"n{at}")).alias(n) for at, n in enumerate(names)])
     return _classified(_with_distinct(facts, distinct_counts(categories, fields)))
 
 

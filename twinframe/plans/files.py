@@ -10,7 +10,7 @@ from twinframe.operators.profile import ColumnProfile, apply_types, collect_prof
 from twinframe.plans.report import FidelityReport, fidelity_report
 from twinframe.plans.synthesize import synthesize
 from twinframe.sources.csv import ROW_INDEX, output_paths, read_csv, write_csv, write_text
-from twinframe.sources.scratch import cut_lineage, release
+from twinframe.sources.scratch import release, scratch_scope
 
 
 @dataclass(frozen=True)
@@ -25,19 +25,25 @@ class LooseTable:
 def import_csv(spark: SparkSession, path: str, sep: str = ",", multi_line: bool | None = None) -> LooseTable:
     """Read, clean, profile and type a CSV; fails when any row is malformed.
 
-    The typed rows are written once, so that what follows reads columns instead of text.
+    The typed rows are written once, so that what follows reads columns instead of text; the text
+    itself isn't kept.
     """
-    raw = read_csv(spark, path, sep, multi_line)
-    profiled = cut_lineage(profile_text(raw, ROW_INDEX))
-    columns = collect_profile(profiled)
-    return LooseTable(cut_lineage(apply_types(raw, columns)), profiled, columns)
+    with scratch_scope(spark) as keep:
+        raw = read_csv(spark, path, sep, multi_line)
+        profiled = keep(profile_text(raw, ROW_INDEX))
+        columns = collect_profile(profiled)
+        return LooseTable(keep(apply_types(raw, columns)), profiled, columns)
 
 
 def synthesize_table(loose: LooseTable, target_size: int, seed: int, **search: object) -> DataFrame:
-    """A synthetic copy of an imported table, written once: sinks and report read the same rows."""
+    """A synthetic copy of an imported table, written once: sinks and report read the same rows.
+
+    What the search writes on its way is deleted with it.
+    """
     names = [c.column for c in loose.columns]
     numeric, _ = split_by_kind(loose.columns)
-    return cut_lineage(synthesize(loose.rows, target_size, seed, [ROW_INDEX], names, numeric=numeric, **search))
+    with scratch_scope(loose.rows.sparkSession) as keep:
+        return keep(synthesize(loose.rows, target_size, seed, [ROW_INDEX], names, numeric=numeric, **search))
 
 
 def synthesize_csv(
