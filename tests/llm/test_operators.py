@@ -11,6 +11,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from twinframe.llm import bloom_lm, minhash_links, suffix_dedup
 from twinframe.llm.collision_search import nearest_neighbours
@@ -19,7 +20,7 @@ from twinframe.llm.language import declared_language, identify, page_evidence
 from twinframe.llm.main_text import best_region, extract, label_weights, main_text
 from twinframe.llm.mixing import mixed_documents, mixed_sample, mixing_sql, reached_shares
 from twinframe.llm.piece_tokens import Pieces, with_pieces
-from twinframe.llm.quality import isotonic, keep_quality, score_quality, statistics
+from twinframe.llm.quality import N_STATISTICS, fit_quality, isotonic, keep_quality, score_quality, smallest_hashes, statistics
 from twinframe.llm.queries import MIXTURE
 from twinframe.llm import spot_signatures
 from twinframe.llm.spot_signatures import fingerprints, jaccard, length_partition, similar_documents, spot_sets
@@ -350,6 +351,46 @@ def test_quality_scores(spark, documents, nothing):
     assert {r.doc_id for r in unlabelled.collect()} == {r[0] for r in odd_documents()}
 
 
+def test_training_rows_have_the_smallest_hashes(spark):
+    rows = spark.range(5000).select("id", F.xxhash64(F.when(F.col("id") % 3 > 0, F.col("id")).otherwise(0)).alias("h"))
+    hashes = sorted(r.h for r in rows.collect())
+    for most in (1, 40, 1000, 3000, 4999, 6000):
+        assert sorted(r.h for r in smallest_hashes(rows, most).collect()) == hashes[:most]
+    assert smallest_hashes(rows.limit(0), 5).count() == 0
+
+
+def test_quality_model_solves_the_normal_equations(spark):
+    """Ridge weights and the monotone curve, against whole-matrix least squares and averages over all blocks."""
+    rng = np.random.default_rng(3)
+    data = [(n, [float(x) for x in rng.normal(size=N_STATISTICS)]) for n in range(600)]
+    marks = [(n, int(x[0] + x[1] ** 2 + rng.normal() > 1)) for n, x in data if n % 7]
+    rows = spark.createDataFrame(data, "doc_id bigint, statistics array<double>")
+    model = fit_quality(rows, spark.createDataFrame(marks, "doc_id bigint, quality int"), n_features=40)
+    label = dict(marks)
+    seen = [(x, label[n], zlib.crc32(f"part-{n}".encode()) % 5 == 0) for n, x in data if n in label and zlib.crc32(str(n).encode()) % 5]
+    every = np.array([x for x, _, _ in seen])
+    assert np.allclose(model.centre, every.mean(axis=0)) and np.allclose(model.scale, every.std(axis=0))
+
+    def features(x):
+        waves = np.cos((np.array(x) - every.mean(axis=0)) / every.std(axis=0) @ model.directions + model.phases)
+        return np.hstack([math.sqrt(2 / 40) * waves, np.ones((len(x), 1))])
+
+    fitted, wanted = features([x for x, _, late in seen if not late]), np.array([y for _, y, late in seen if not late])
+    # ridge as least squares with added rows
+    strength = math.sqrt(1e-4 * len(wanted) / 41)
+    solved = np.linalg.lstsq(np.vstack([fitted, strength * np.eye(41)]), np.concatenate([wanted, np.zeros(41)]), rcond=None)[0]
+    late = [(x, y) for x, y, later in seen if later]
+    raw, truth = features([x for x, _ in late]) @ solved, np.array([y for _, y in late], dtype=float)
+    assert np.allclose(model.raw(np.array([x for x, _ in late])), raw, atol=1e-6)
+    order = np.argsort(raw)
+    raw, truth = raw[order], truth[order]
+    # the monotone fit at a place: the largest over starts of the smallest mean over ends
+    curve = np.array([max(min(truth[a : b + 1].mean() for b in range(at, len(truth))) for a in range(at + 1)) for at in range(len(truth))])
+    steps = [np.isclose(curve, level) for level in sorted({round(c, 9) for c in curve})]
+    assert np.allclose(model.knots, [raw[s].mean() for s in steps], atol=1e-6)
+    assert np.allclose(model.values, [(truth[s].sum() + truth.mean()) / (s.sum() + 1) for s in steps])
+
+
 def test_isotonic_and_statistics():
     x, y = np.array([1.0, 2, 3, 4, 5, 6]), np.array([0.0, 1, 0, 1, 1, 1])
     knots, values = isotonic(x, y)

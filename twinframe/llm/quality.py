@@ -137,6 +137,24 @@ def with_statistics(df: DataFrame, keep: list[str], text: str = "text") -> DataF
     return per_batch(df.select(*keep, *([] if text in keep else [text])), schema, make)
 
 
+def smallest_hashes(rows: DataFrame, max_rows: int) -> DataFrame:
+    """The ``max_rows`` rows with the smallest ``h`` (a hash of 64 bits), written; all, if there are no more.
+
+    The number of rows tells below which hash about as many lie, so that only those are sorted: a
+    plain top-k would send as many rows from every task to one. If too few lie there (rows of one
+    id share their hash), the bound is raised.
+    """
+    total = rows.count()
+    wanted = max_rows + 10 * math.ceil(math.sqrt(max_rows))
+    while wanted < total:
+        bound = int(wanted / total * 2.0**64) - 2**63
+        found = cut_lineage(rows.where(F.col("h") < F.lit(bound).cast("long")).orderBy("h").limit(max_rows))
+        if found.count() == max_rows:
+            return found
+        wanted *= 4
+    return cut_lineage(rows.orderBy("h").limit(max_rows) if total > max_rows else rows)
+
+
 def fit_quality(
     rows: DataFrame,
     labels: DataFrame,
@@ -159,11 +177,8 @@ def fit_quality(
         rows.where(id_fold("doc_id", folds) != 0)
         .join(label, "doc_id")
         .select("statistics", "y", (F.crc32(F.concat_ws("-", F.lit("part"), F.col("doc_id").cast("string")).cast("binary")) % 5 == 0).alias("calibrates"), F.xxhash64("doc_id").alias("h"))
-        .orderBy("h")
-        .limit(max_rows)
-        .drop("h")
     )
-    training = cut_lineage(chosen)
+    training = smallest_hashes(chosen, max_rows).drop("h")
     bounds = training.select(
         F.count("*"),
         *[f(F.col("statistics")[i]) for i in range(N_STATISTICS) for f in (F.avg, F.stddev_pop)],
