@@ -8,7 +8,7 @@ from twinframe.operators.ecdf import ks_test, pooled_ecdf, rank_statistics
 from twinframe.operators.frequency import category_counts, category_shares
 from twinframe.operators.moments import two_sample_moments
 from twinframe.operators.neighbours import first_copies
-from twinframe.operators.profile import profile
+from twinframe.operators.profile import numeric_text, profile
 from twinframe.operators.ranges import with_row_index
 from twinframe.plans.files import import_csv
 from twinframe.plans.catalogue import LINEITEM_NUMBERS, lineitem_sides, order_sides, table
@@ -54,6 +54,17 @@ def test_an_import_scans_the_text_at_most_three_times(spark, tmp_path):
     assert len(scans(spark, str(path))) - len(before) <= 3
 
 
+def test_the_probe_reads_the_start_of_the_table(spark, monkeypatch):
+    monkeypatch.setattr("twinframe.operators.profile.PROBE_ROWS", 64)
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsList().size()
+    cells = table(spark, SMALL, "documents").selectExpr("doc_id AS _at", "text", "CAST(n_chars AS string) AS n")
+    assert numeric_text(cells, ["text", "n"]) == {"text": False, "n": True}
+    plans = [store.executionsList().apply(at).physicalPlanDescription() for at in range(before, store.executionsList().size())]
+    probes = [p for p in plans if re.search(r"ReadSchema: struct<[^>]*(text|n_chars)", p)]
+    assert probes and all("LessThan(doc_id," in p for p in probes)
+
+
 def scans(spark, path):
     """The executed plans that read a text file whole."""
     store = spark._jsparkSession.sharedState().statusStore()
