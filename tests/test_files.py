@@ -1,12 +1,15 @@
 """CSV import, its error gate, and the three sinks."""
 
+import csv
 import glob
 import os
+import random
 
 import pytest
 
 from twinframe.plans.files import import_csv, reset, synthesize_csv, synthesize_table
 from twinframe.sources.csv import output_paths, read_csv, read_csv_errors
+from twinframe.sources.records import file_records
 from twinframe.sources.scratch import cut_lineage, run_folder, scratch_scope, shared_folder
 
 
@@ -156,3 +159,58 @@ def test_scratch_folder():
         shared_folder(Session("yarn", None))
     made = shared_folder(Session("local[2]", None))
     assert os.path.isdir(made) and made == shared_folder(Session("local[2]", None))
+
+
+def test_a_file_with_quoted_line_breaks_is_read_by_many_tasks(spark, tmp_path):
+    """Records that cross slices, one that fills several of them, blank lines, a header with a break, both line ends."""
+    draw = random.Random(5)
+    folder = tmp_path / "broken.csv"
+    os.mkdir(folder)
+    wanted = []
+    for part in range(2):
+        rows = [[f"{part}-{n}", draw.choice(["x", 'a "b" c', "p\nq", "p\r\n\n,q", '"', "\n" * 40, ""]), "z" * draw.randrange(60)] for n in range(300)]
+        rows[150][1] = "long\n" * 1500
+        wanted += rows
+        with open(folder / f"part-{part}.csv", "w", newline="") as file:
+            lines = csv.writer(file, lineterminator="\r\n" if part else "\n")
+            lines.writerow(["a", "b\nb", "c.d"])
+            for n, row in enumerate(rows):
+                lines.writerow(row)
+                if n % 50 == 7:
+                    file.write("\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        assert file_records(spark, str(folder)).where("NOT is_header").select("file").distinct().count() == 2
+        assert spark.read.text(str(folder), lineSep="\n").rdd.getNumPartitions() > 20
+        rows = read_csv(spark, str(folder)).orderBy("row_idx").collect()
+        assert read_csv_errors(spark, str(folder)).count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [r.row_idx for r in rows] == list(range(600))
+    assert [[x or "" for x in r[:3]] for r in rows] == wanted
+    assert rows[0].__fields__ == ["a", "b\nb", "c.d", "row_idx"]
+
+
+@pytest.mark.parametrize(
+    ("text", "bad"),
+    [
+        ('"x\ny",1\n"u"v,2\n3,4', ['"u"v,2']),
+        ('"x\ny",1\n5" disk,2\n3,4\n6" disk,7', ['5" disk,2\n3,4\n6" disk,7']),
+        ('5" disk,2\n3,4', ['5" disk,2\n3,4']),
+    ],
+)
+def test_stray_quotes_among_quoted_line_breaks_are_listed(spark, tmp_path, text, bad):
+    path = write(tmp_path, "stray.csv", f"a,b\n{text}\n")
+    assert [r._broken_row.strip() for r in read_csv_errors(spark, path).collect()] == bad
+    with pytest.raises(Exception, match="(?i)malformed|not closed|unescaped quote"):
+        read_csv(spark, path).count()
+
+
+def test_headers_that_differ_are_rejected(spark, tmp_path):
+    folder = tmp_path / "two.csv"
+    os.mkdir(folder)
+    write(folder, "1.csv", 'a,b\n"x\ny",1\n')
+    write(folder, "2.csv", "a,c\nz,1\n")
+    with pytest.raises(ValueError, match="headers differ"):
+        read_csv(spark, str(folder))

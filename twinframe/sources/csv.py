@@ -5,12 +5,13 @@ from __future__ import annotations
 import os
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from twinframe.functions.cells import clean_text
+from twinframe.sources.records import file_records
 from twinframe.sources.scratch import cut_lineage
 
 ROW_INDEX = "row_idx"
@@ -26,8 +27,10 @@ _OPTIONS = {
 }
 
 
-def _header(spark: SparkSession, path: str, sep: str) -> list[str]:
-    return spark.read.csv(path, header=True, sep=sep, inferSchema=False).columns
+def _header(spark: SparkSession, path: str, sep: str, multi_line: bool) -> list[str]:
+    names = spark.read.csv(path, header=True, sep=sep, inferSchema=False, escape='"', multiLine=multi_line).columns
+    # a line break inside a quoted name can hide that lines end in \r\n
+    return [*names[:-1], names[-1].removesuffix("\r") or f"_c{len(names) - 1}"]
 
 
 def _spans_lines(spark: SparkSession, path: str) -> bool:
@@ -43,55 +46,85 @@ def _spans_lines(spark: SparkSession, path: str) -> bool:
     return odd > 0
 
 
+def _stray(record: Column, sep: str) -> Column:
+    """Whether a record has text behind a closing quote, or a line break outside quotes."""
+    mark = re.escape(sep)
+    # possessive, so that a long cell costs no stack
+    cell = f'(?:"[^"]*+(?:""[^"]*+)*+"|[^"{mark}\n][^{mark}\n]*+|)'
+    return F.contains(record, F.lit('"')) & ~record.rlike(f"^{cell}(?:{mark}{cell})*+$")
+
+
+def _checked_records(spark: SparkSession, path: str, sep: str) -> DataFrame:
+    """The records of files with quoted line breaks; headers that differ between files raise."""
+    records = cut_lineage(file_records(spark, path))
+    headers = records.where("is_header").agg(F.min(F.lower("record")).alias("low"), F.max(F.lower("record")).alias("high")).first()
+    if headers.low != headers.high:
+        raise ValueError(f"{path}: headers differ between files: {headers.low!r}, {headers.high!r}")
+    return records.where("NOT is_header").select("number", "record")
+
+
+def _ddl(fields: list[T.StructField]) -> str:
+    return ", ".join("`" + f.name.replace("`", "``") + "` string" for f in fields)
+
+
+def _parsed(record: Column, fields: list[T.StructField], sep: str, mode: str) -> Column:
+    options = {k: str(v) for k, v in _OPTIONS.items() if k not in ("header", "enforceSchema")}
+    options |= {"sep": sep, "mode": mode, "multiLine": "true", "columnNameOfCorruptRecord": BROKEN_ROW}
+    return F.from_csv(record, _ddl(fields), options)
+
+
 def read_csv(spark: SparkSession, path: str, sep: str = ",", multi_line: bool | None = None) -> DataFrame:
     """Every column as text plus the row's file position; a malformed row or quote fails the import.
 
     Columns stay text because a single ``null`` or ``n/a`` token would make schema inference
     call a numeric column text. Line breaks inside quotes are read as part of the cell: a scan
-    of the lines tells whether there are any, and only then one task reads a whole file.
-    ``multi_line`` spares the scan when the answer is known.
+    of the lines tells whether there are any, and only then records are put together from lines
+    (``file_records``), also by many tasks a file. ``multi_line`` spares the scan when the answer
+    is known; if it is true, one task reads a whole file, whose lines may then end in ``\\r`` alone.
     """
-    if multi_line is None:
-        multi_line = _spans_lines(spark, path)
-    schema = T.StructType([T.StructField(name, T.StringType()) for name in _header(spark, path, sep)])
+    spans = _spans_lines(spark, path) if multi_line is None else multi_line
+    fields = [T.StructField(name, T.StringType()) for name in _header(spark, path, sep, spans)]
+    if spans and multi_line is None:
+        records = _checked_records(spark, path, sep)
+        broken = F.raise_error(F.concat(F.lit("malformed row, unescaped quote: "), F.left("record", F.lit(200))))
+        record = F.when(_stray(F.col("record"), sep), broken.cast("string")).otherwise(F.col("record"))
+        # written whole, so that no pruned column hides a malformed row
+        cells = cut_lineage(records.select(F.col("number").alias(ROW_INDEX), _parsed(record, fields, sep, "FAILFAST").alias("cells")))
+        return cells.select(*[F.col("cells")[f.name].alias(f.name) for f in fields], ROW_INDEX)
     # a pruned scan would not notice malformed rows
     rows = spark.read.option("columnPruning", False).csv(
-        path, schema=schema, mode="FAILFAST", **(_OPTIONS | {"multiLine": multi_line, "sep": sep})
+        path, schema=T.StructType(fields), mode="FAILFAST", **(_OPTIONS | {"multiLine": spans, "sep": sep})
     )
     return number_file_rows(rows)
 
 
-def read_csv_errors(spark: SparkSession, path: str, sep: str = ",", multi_line: bool | None = None) -> DataFrame:
+def read_csv_errors(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     """The malformed rows of a CSV source, as parsed and as text in ``_broken_row``; none if ``read_csv`` takes it.
 
     The rows are read as in the import. A quote left open at a file's end makes its last row malformed. A row
-    with text behind a closing quote comes without parsed cells; if quotes also go on over line breaks, nothing
-    tells where such a row ends, and the list raises as the import does. A lone quote inside an unquoted cell fails
-    the import (its file has an odd number of quotes) but is a cell here.
+    with text behind a closing quote comes without parsed cells. A lone quote inside an unquoted cell is taken
+    to open one: the row is listed together with the lines up to the next lone quote or the end of its file.
     """
-    if multi_line is None:
-        try:
-            multi_line = _spans_lines(spark, path)
-        except ValueError:
-            multi_line = True  # the open quote reaches to the end of its file
-    fields = [T.StructField(name, T.StringType()) for name in _header(spark, path, sep)]
-    fields.append(T.StructField(BROKEN_ROW, T.StringType()))
-    options = _OPTIONS | {"multiLine": multi_line, "sep": sep}
-    if not multi_line:
-        options["unescapedQuoteHandling"] = "STOP_AT_DELIMITER"
+    try:
+        spans = _spans_lines(spark, path)
+    except ValueError:
+        spans = True  # the open quote reaches to the end of its file
+    fields = [T.StructField(name, T.StringType()) for name in _header(spark, path, sep, spans)]
+    with_row = [*fields, T.StructField(BROKEN_ROW, T.StringType())]
+    none = [F.lit(None).cast("string").alias(f.name) for f in fields]
+    if spans:
+        records = _checked_records(spark, path, sep).withColumn("stray", _stray(F.col("record"), sep))
+        records = cut_lineage(records)
+        cells = cut_lineage(records.where("NOT stray").select(_parsed(F.col("record"), with_row, sep, "PERMISSIVE").alias("cells")))
+        broken = cells.select(*[F.col("cells")[f.name].alias(f.name) for f in with_row]).where(F.col(BROKEN_ROW).isNotNull())
+        return broken.unionAll(records.where("stray").select(*none, F.col("record").alias(BROKEN_ROW)))
+    options = _OPTIONS | {"unescapedQuoteHandling": "STOP_AT_DELIMITER", "sep": sep}
     rows = spark.read.option("columnPruning", False).csv(
-        path, schema=T.StructType(fields), mode="PERMISSIVE", columnNameOfCorruptRecord=BROKEN_ROW, **options
+        path, schema=T.StructType(with_row), mode="PERMISSIVE", columnNameOfCorruptRecord=BROKEN_ROW, **options
     )
-    broken = rows.where(F.col(BROKEN_ROW).isNotNull())
-    if multi_line:
-        return broken
-    # possessive, so that a long cell costs no stack
-    mark = re.escape(sep)
-    cell = f'(?:"[^"]*+(?:""[^"]*+)*+"|[^"{mark}][^{mark}]*+|)'
-    stray = ~F.col(BROKEN_ROW).rlike(f"^{cell}(?:{mark}{cell})*+$")
-    lines = spark.read.text(path).select(F.col("value").alias(BROKEN_ROW)).where(F.contains(F.col(BROKEN_ROW), F.lit('"')) & stray)
-    none = [F.lit(None).cast("string").alias(f.name) for f in fields[:-1]]
-    return broken.where(~stray).unionAll(lines.select(*none, BROKEN_ROW))
+    broken = rows.where(F.col(BROKEN_ROW).isNotNull() & ~_stray(F.col(BROKEN_ROW), sep))
+    lines = spark.read.text(path).select(F.col("value").alias(BROKEN_ROW)).where(_stray(F.col(BROKEN_ROW), sep))
+    return broken.unionAll(lines.select(*none, BROKEN_ROW))
 
 
 def number_file_rows(rows: DataFrame) -> DataFrame:
