@@ -4,6 +4,7 @@ import hashlib
 import inspect
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -551,3 +552,40 @@ def test_components(spark):
     edges = [(a, a + 1) for a in range(40, 60)] + [(1, 99), (99, 5), (5, 70), (3, 3), (8, 7), (7, 8)]
     found = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert found == {**{n: 40 for n in range(41, 61)}, 99: 1, 5: 1, 70: 1, 8: 7}
+
+
+def test_near_duplicates_of_ids_that_several_texts_share(spark):
+    """Brute force: every text has its own links, and the texts of one id are one document."""
+    base = {x: " ".join(f"{x}{n}" for n in range(60)) for x in "abcdef"}
+    near = {x: t + f" more{x}" for x, t in base.items()}
+    rows = [
+        (5, base["a"]), (5, base["b"]), (7, base["b"]), (9, near["b"]), (8, near["a"]),
+        (20, base["c"]), (20, base["d"]), (20, base["c"]), (30, near["d"]), (30, base["e"]), (40, near["e"]),
+        (50, base["f"]), (50, None), (50, ""), (51, near["f"]), (60, "one"), (60, "two"), (None, base["a"]), (70, base["c"]),
+    ]
+    sets = [shingle_words(t, 4) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for u in range(len(rows)):
+        for v in range(u):
+            if not sets[u] or not sets[v] or rows[u][0] is None or rows[v][0] is None:
+                continue
+            if rows[u][0] == rows[v][0] or 100 * len(sets[u] & sets[v]) >= 80 * len(sets[u] | sets[v]):
+                root[find(u)] = find(v)
+    expected = []
+    for u, (d, _) in enumerate(rows):
+        least = min((rows[v][0] for v in range(len(rows)) if find(v) == find(u) and rows[v][0] is not None), default=None)
+        expected.append((d, len(sets[u]), least if d is not None else None, d is not None and d == least))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(map(tuple, minhash_links.near_duplicates(df, 4, 80).collect())) == Counter(expected)
+    up = [(None if d is None else d + 2**62, t) for d, t in rows]
+    found = minhash_links.near_duplicates(spark.createDataFrame(up, "doc_id long, text string"), 4, 80).collect()
+    assert Counter(map(tuple, found)) == Counter((None if d is None else d + 2**62, n, None if c is None else c + 2**62, k) for d, n, c, k in expected)
+
+
+def shingle_words(text, size):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+    return {tuple(words[n : n + size]) for n in range(max(1, len(words) - size + 1))} if words else set()

@@ -266,16 +266,8 @@ def _open_pairs(postings: DataFrame, classes: DataFrame, linked: DataFrame, text
     return found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def near_duplicates(df: DataFrame, shingle: int = 4, percent: int = 80, matches: int = MATCHES) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable over links), kept.
-
-    Documents are linked when ``100 * intersection >= percent * union`` of their shingle sets.
-    A NULL or text without words has no shingles and no links; a NULL id has no links, no
-    component, and isn't kept. Rows that share an id are one document in the links; each of
-    them gets a row. Other columns are ignored; an empty table gives none.
-    """
-    documents = df.select("doc_id", "text")
-    signed = cut_lineage(signatures(documents, shingle))
+def _linked(documents: DataFrame, signed: DataFrame, shingle: int, percent: int, matches: int) -> DataFrame:
+    """The result for documents whose ids stand for one set each."""
     usable = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
     copies = cut_lineage(usable.groupBy("digest").agg(F.min("doc_id").alias("rep")))
     classes = cut_lineage(usable.join(copies.select(F.col("rep").alias("doc_id"), F.col("digest").alias("same")), "doc_id").where("digest = same").select(F.col("doc_id").alias("rep"), "n_shingles", "signature").dropDuplicates(["rep"]))
@@ -299,3 +291,61 @@ def near_duplicates(df: DataFrame, shingle: int = 4, percent: int = 80, matches:
     classed = signed.join(copies, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("rep")).alias("node"))
     out = classed.join(roots, "node", "left").select("doc_id", "n_shingles", F.coalesce("root", "node", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def _clashing_ids(signed: DataFrame) -> DataFrame:
+    """The ids (doc_id) that several sets share; an empty set doesn't count."""
+    marks = [F.xxhash64(F.lit(x), "digest") for x in (1, 2)]  # numbers, so that equal ids collapse before the shuffle
+    spread = [x(mark).alias(f"{x.__name__}{at}") for at, mark in enumerate(marks) for x in (F.min, F.max)]
+    sets = signed.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("doc_id").agg(*spread)
+    return sets.where("min0 <> max0 OR min1 <> max1").select("doc_id")
+
+
+def _named_anew(documents: DataFrame, clashing: DataFrame) -> DataFrame:
+    """(inner, doc_id, text): the rows whose id is ``clashing``, each with an id of its own that no document has."""
+    low, high = documents.agg(F.min("doc_id"), F.max("doc_id")).first()
+    if high < 2**62:
+        inner = F.lit(high + 1).cast("long") + F.monotonically_increasing_id()
+    elif low > -(2**62):
+        inner = F.lit(low - 1).cast("long") - F.monotonically_increasing_id()
+    else:
+        raise ValueError("ids that several texts share need 2^62 free numbers above or below all ids")
+    return cut_lineage(documents.join(clashing, "doc_id", "left_semi").select(inner.alias("inner"), "doc_id", "text"))
+
+
+def near_duplicates(df: DataFrame, shingle: int = 4, percent: int = 80, matches: int = MATCHES) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id reachable over links), kept.
+
+    Documents are linked when ``100 * intersection >= percent * union`` of their shingle sets.
+    A NULL or text without words has no shingles and no links, so its component is its id; a NULL
+    id has no links, no component, and isn't kept. Rows that share an id are one document: each
+    text has its own links, and the components of an id's texts are one. Each row gets a row.
+    Other columns are ignored; an empty table gives none.
+    """
+    documents = df.select("doc_id", "text")
+    signed = cut_lineage(signatures(documents, shingle))
+    clashing = cut_lineage(_clashing_ids(signed))
+    if not clashing.limit(1).count():
+        return _linked(documents, signed, shingle, percent, matches)
+    own = _named_anew(documents, clashing)
+    renamed = own.select(F.col("inner").alias("doc_id"), "text")
+    long_id = F.col("doc_id").cast("long").alias("doc_id")
+    documents = documents.join(clashing, "doc_id", "left_anti").select(long_id, "text").unionByName(renamed)
+    signed = signed.join(clashing, "doc_id", "left_anti").withColumn("doc_id", F.col("doc_id").cast("long"))
+    signed = cut_lineage(signed.unionByName(signatures(renamed, shingle)))
+    found = _linked(documents, signed, shingle, percent, matches).select(F.col("doc_id").alias("inner"), "n_shingles", F.col("component_id").alias("part"))
+    ids = own.select("inner", F.col("doc_id").cast("long").alias("shared"))
+    found = cut_lineage(found.join(ids, "inner", "left").withColumn("doc_id", F.coalesce("shared", "inner")))
+    # the parts that hold texts of one id are one component
+    texts = found.where("shared IS NOT NULL AND n_shingles > 0").select("shared", "part").distinct()
+    least = cut_lineage(texts.groupBy("shared").agg(F.min("part").alias("v")))
+    edges = cut_lineage(texts.join(least, "shared").select(F.col("part").alias("u"), "v").distinct())
+    whole = components(edges).select(F.col("node").alias("part"), F.col("root").alias("whole"))
+    parts = cut_lineage(edges.select(F.col("u").alias("part")).distinct().join(whole, "part", "left").withColumn("whole", F.coalesce("whole", "part")))
+    found = found.join(parts, "part", "left")
+    names = cut_lineage(found.where("whole IS NOT NULL").groupBy("whole").agg(F.min("doc_id").alias("name")))
+    found = found.join(names, "whole", "left")
+    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("name", "part"))
+    kind = df.schema["doc_id"].dataType
+    out = found.select(F.col("doc_id").cast(kind).alias("doc_id"), "n_shingles", component.cast(kind).alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
