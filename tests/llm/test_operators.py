@@ -554,6 +554,32 @@ def test_components(spark):
     assert found == {**{n: 40 for n in range(41, 61)}, 99: 1, 5: 1, 70: 1, 8: 7}
 
 
+def chains(text):
+    """Every common word with the next two words behind it that aren't common."""
+    words = re.findall(r"[^\W_]+", text.lower())
+    found = set()
+    for at, word in enumerate(words):
+        if word in set(spot_signatures.ANCHORS):
+            content = [w for w in words[at + 1 :] if w not in set(spot_signatures.ANCHORS)][:2]
+            found |= {(word, *content)} if len(content) == 2 else set()
+    return found or {" ".join(words) or text}
+
+
+def test_spot_signatures_are_chains_of_content_words(spark):
+    draw = random.Random(12)
+    vocabulary = ["the", "Der", "para", "of", "a", "Haus", "river", "x1", "sol", "Été", "und", "big_red", "don't", "42"]
+    texts = ["", " \n", "?!", "the", "the of a", "the river", "the river x1", "river the x1 sol"]
+    texts += [" ".join(draw.choice(vocabulary) for _ in range(draw.randint(1, 60))) for _ in range(60)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = {r.doc_id: set(r.spots) for r in spot_sets(rows).collect()}
+    assert sorted(sets) == list(range(len(texts)))
+    for u, v in [(u, v) for u in sets for v in sets]:
+        a, b = chains(texts[u]), chains(texts[v])
+        assert (len(sets[u]), len(sets[u] & sets[v])) == (len(a), len(a & b)), (texts[u], texts[v])
+        found = jaccard(*(np.array(sorted(sets[n]), dtype=np.uint32) for n in (u, v)))
+        assert math.isclose(found, len(a & b) / len(a | b))
+
+
 def test_near_duplicates_of_ids_that_several_texts_share(spark):
     """Brute force: every text has its own links, and the texts of one id are one document."""
     base = {x: " ".join(f"{x}{n}" for n in range(60)) for x in "abcdef"}
