@@ -190,7 +190,12 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 def extract(page: str, weights: dict[tuple[str, str], float]) -> str:
     """The main text; empty when no region scores above zero."""
     stream = tokens(page)
-    scores = [weights[kind, f"{key}{'!' if noise else ''}"] * (1 if kind == "t" else len(text.split())) for kind, key, noise, _, text in stream]
+    scores, before = [], False
+    for kind, key, noise, _, text in stream:
+        score = weights[kind, f"{key}{'!' if noise else ''}"] * (1 if kind == "t" or noise else len(text.split()))
+        # noise never gets out, so a stretch of it costs once, however long; else an advert within a text would cut it in two
+        scores.append(0.0 if noise and before else score)
+        before = noise
     start, end = best_region(scores)
     blocks: list[list[str]] = [[]]
     for kind, key, noise, _, text in stream[start:end]:
