@@ -7,19 +7,22 @@ come from one pass: a target's distance is the full mismatch count less its own
 
 Two physical forms give the same rows:
 
-* ``broadcast``: the original features fit a byte limit, checked by summing them up; synthetic
-  rows stay where they are.
-* ``blocked``: beyond the limit. Originals are cut into blocks of similar rows; every synthetic
-  row searches the block it falls in, then (with many blocks) the nearest others, and at last
-  only those whose bounding box is no further away than its k-th neighbour so far. Where a block is hot, equal feature rows
+* ``broadcast``: the original features fit a byte limit, checked by summing them up, and the pairs
+  of rows a limit too; synthetic rows stay where they are.
+* ``blocked``: beyond the limits. Originals are cut into blocks of similar rows; every synthetic
+  row searches the block it falls in, and then only those whose bounding box is no further away
+  than its k-th neighbour so far. With up to ``MAX_VIEWED`` categories and many queries that is done once for
+  every view (see ``views``) in reach, by blocks of equal categories; otherwise once over all categories,
+  (with many blocks) with the nearest others in between. Where a block is hot, equal feature rows
   collapse to their first k copies (no later copy can be among k neighbours), and what is
   still large is split, like the queries, so that a task sees a bounded piece of each.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +34,18 @@ from pyspark.sql.window import Window
 
 from twinframe.functions.cells import category_text, valid_number
 from twinframe.operators.moments import NumberStats
+from twinframe.operators.views import search_view
 from twinframe.sources.csv import ROW_INDEX
 from twinframe.sources.scratch import cut_lineage
 
 # Fixed value: how many neighbours vote.
 K_NEIGHBOURS = 5
 BROADCAST_BYTES = 16 * 1024 * 1024
+# beyond as many pairs of rows, comparing all would take longer than the passes of the blocked form
+BROADCAST_PAIRS = 500_000_000
+# up to as many categories have a view for each of their sets
+MAX_VIEWED = 6
+QUERIES_FOR_VIEWS = 8  # for one query in as many originals, at least
 PAIRS_PER_TASK = 50_000_000
 CELLS_PER_STEP = 2_000_000
 
@@ -52,6 +61,7 @@ _TIGHTEN_FROM = 512
 NEIGHBOUR_TYPE = "struct<target:int,rank:int,row_idx:bigint,distance:double,class:string>"
 _PARTIAL_SCHEMA = "i bigint, target int, distance double, row_idx bigint, class string"
 _VISIT_SCHEMA = "i bigint, z array<double>, cats array<string>, radius array<double>, leaf bigint"
+_VIEW_SCHEMA = "i bigint, z array<double>, cats array<string>, radius array<double>, view int, leaf bigint"
 _BLOCK_KEYS = ["leaf", "part", "chunk"]
 
 
@@ -242,10 +252,14 @@ def nearest_neighbours(
     if strategy == "auto":
         text = F.aggregate("cats", F.lit(0), lambda n, c: n + F.coalesce(F.octet_length(c), F.lit(0)))
         width = 8 * (numeric + 1) + 12 * categories
-        total = originals.agg(F.sum(text + width).alias("bytes")).first()["bytes"] or 0
-        strategy = "broadcast" if total <= broadcast_bytes else "blocked"
+        size = originals.agg(F.sum(text + width).alias("bytes"), F.count(F.lit(1)).alias("rows")).first()
+        small = (size["bytes"] or 0) <= broadcast_bytes and size["rows"] * seed_count <= BROADCAST_PAIRS
+        strategy = "broadcast" if small else "blocked"
     if strategy == "broadcast":
         return _by_broadcast(seeds, seed_count, originals, categories, k)
+    # views pay for many queries; they hold the originals once per category and more
+    if categories <= MAX_VIEWED and seed_count * QUERIES_FOR_VIEWS >= originals.count():
+        return _by_views(seeds, originals, numeric, categories, k, rows_per_block, queries_per_block)
     return _by_blocks(seeds, originals, numeric, categories, k, rows_per_block, queries_per_block)
 
 
@@ -285,9 +299,9 @@ def _by_broadcast(seeds: DataFrame, seed_count: int, originals: DataFrame, categ
     return seeds.repartition(tasks, "i").mapInArrow(search, schema)
 
 
-def first_copies(originals: DataFrame, k: int) -> DataFrame:
+def first_copies(originals: DataFrame, k: int, alike: list[str | Column] | None = None) -> DataFrame:
     """Only the first k of rows with equal features; the limit also applies before the shuffle."""
-    same = Window.partitionBy("z", "cats").orderBy(ROW_INDEX)
+    same = Window.partitionBy(*(alike or ["z", "cats"])).orderBy(ROW_INDEX)
     return originals.withColumn("_copy", F.row_number().over(same)).where(F.col("_copy") <= k).drop("_copy")
 
 
@@ -300,6 +314,9 @@ def _top_k(partials: DataFrame, k: int) -> DataFrame:
 class _BlockTree:
     """Median cuts over (z-scores, category hashes), and the bounding boxes below each node.
 
+    ``grouped``: the only hash is that of a view and of its categories; it is cut first, and another
+    hash means out of reach.
+
     A complete binary tree in heap order: node n has children 2n and 2n + 1, the leaves are the
     blocks. Hash ranges only serve as bounds: a hash outside a block's range means another
     category, a hash inside says nothing.
@@ -312,11 +329,12 @@ class _BlockTree:
     low: np.ndarray | None = None
     high: np.ndarray | None = None
     sizes: np.ndarray | None = None
+    grouped: bool = False
 
     @staticmethod
-    def of(sample: np.ndarray, depth: int, numeric: int) -> _BlockTree:
+    def of(sample: np.ndarray, depth: int, numeric: int, grouped: bool = False) -> _BlockTree:
         inner = 1 << depth
-        tree = _BlockTree(depth, numeric, np.zeros(inner, dtype=np.int32), np.full(inner, np.inf))
+        tree = _BlockTree(depth, numeric, np.zeros(inner, dtype=np.int32), np.full(inner, np.inf), grouped=grouped)
         categories = sample.shape[1] - numeric
         members = {1: np.arange(len(sample))}
         for node in range(1, inner):
@@ -327,7 +345,7 @@ class _BlockTree:
                 spread[:numeric] = points[:, :numeric].std(axis=0) * np.sqrt(12.0)
                 # a category tells blocks apart for all targets but itself
                 varied = points[:, numeric:].min(axis=0) < points[:, numeric:].max(axis=0)
-                spread[numeric:] = varied * (categories - 1) / max(1, categories)
+                spread[numeric:] = np.where(varied, np.inf, 0.0) if grouped else varied * (categories - 1) / max(1, categories)
             dim = int(spread.argmax())
             right = np.zeros(len(at), dtype=bool)
             if spread[dim] > 0:
@@ -369,6 +387,8 @@ class _BlockTree:
             miss = outside[:, self.numeric :] > 0
             bound = (gap * gap).sum(axis=1)[:, None] + miss.sum(axis=1)[:, None] - miss
             kept = (bound <= limit[query]).any(axis=1)
+            if self.grouped:
+                kept &= ~miss.any(axis=1)
             query, node, bound = query[kept], node[kept], bound[kept]
             if level < self.depth:
                 query, node = np.repeat(query, 2), (2 * node[:, None] + np.arange(2)).ravel()
@@ -391,6 +411,144 @@ class _BlockTree:
         return query[chosen], leaf[chosen]
 
 
+def _in_view(cats: str = "cats") -> Column:
+    """The categories of a row that its view (a bit for each) shares; NULL for the others."""
+    return F.expr(f"transform({cats}, (c, at) -> IF((view & shiftleft(1, at)) != 0, c, NULL))")
+
+
+def _in_views(df: DataFrame, views: list[int]) -> DataFrame:
+    """Each row once per view, with its block key: the z-scores and a hash of the view and its categories."""
+    seen = df.withColumn("view", F.explode(F.array(*[F.lit(v) for v in views])))
+    return seen.withColumn("key", F.concat("z", F.array(F.xxhash64("view", _in_view()).cast("double"))))
+
+
+def _by_views(
+    seeds: DataFrame,
+    originals: DataFrame,
+    numeric: int,
+    categories: int,
+    k: int,
+    rows_per_block: int,
+    queries_per_block: int,
+) -> DataFrame:
+    homes, rows = cut_lineage(seeds), cut_lineage(originals.select(ROW_INDEX, "z", "cats"))
+    asked = homes.select("i", "z", "cats")
+    best, unbounded = None, F.array(*[F.lit(float("inf"))] * categories)
+    for level in range(categories):
+        views = [sum(1 << c for c in shared) for shared in combinations(range(categories), categories - 1 - level)]
+        if best is None:
+            queries = asked.withColumn("radius", unbounded)
+        else:
+            queries = asked.join(_reach(best, categories, k), "i", "left").withColumn("radius", F.coalesce("radius", unbounded))
+            # whose k-th neighbours for all targets are nearer than the level is done
+            queries = cut_lineage(queries.where(F.exists("radius", lambda r: r * r * (1.0 + 1e-9) + 1e-9 >= level)))
+            if queries.isEmpty():
+                break
+        best = _search_level(queries, rows, views, level, numeric, categories, k, best, rows_per_block, queries_per_block)
+    entry = F.struct("target", "rank", ROW_INDEX, "distance", "class").cast(NEIGHBOUR_TYPE)
+    lists = _top_k(best, k).groupBy("i").agg(F.sort_array(F.collect_list(entry)).alias("neighbours"))
+    return homes.join(lists, "i", "left")
+
+
+def _reach(best: DataFrame, categories: int, k: int) -> DataFrame:
+    """The k-th distance per query and target so far, infinite while there are fewer."""
+    kth = [
+        F.when(F.count_if(F.col("target") == t) >= k, F.max(F.when(F.col("target") == t, F.col("distance"))))
+        for t in range(categories)
+    ]
+    return best.groupBy("i").agg(F.array(*[F.coalesce(r, F.lit(float("inf"))) for r in kth]).alias("radius"))
+
+
+def _search_level(
+    queries: DataFrame,
+    rows: DataFrame,
+    views: list[int],
+    level: int,
+    numeric: int,
+    categories: int,
+    k: int,
+    before: DataFrame | None,
+    rows_per_block: int,
+    queries_per_block: int,
+) -> DataFrame:
+    """The nearest rows that differ in ``level`` categories but the target, within each query's radius."""
+    spark = rows.sparkSession
+    keyed = _in_views(rows, views)
+    size = keyed.agg(
+        F.count(F.lit(1)).alias("rows"), F.approx_count_distinct(F.xxhash64("key")).alias("distinct")
+    ).first()
+    row_bytes = 8 * (numeric + 1)
+    most = min(MAX_BLOCKS, DRIVER_BYTES // (8 * row_bytes))
+    blocks = max(1, min(most, -(-min(size["rows"], k * size["distinct"]) // rows_per_block)))
+    depth = (blocks - 1).bit_length()
+    wanted = min(DRIVER_BYTES // (2 * row_bytes), _SAMPLE_PER_BLOCK << depth)
+    # the sample only places the cuts; its size is bounded by the number of blocks
+    drawn = keyed.sample(min(1.0, wanted / max(1, size["rows"])), seed=29).select("key").toArrow()
+    sample = np.unique(_matrix(drawn["key"], len(drawn)).reshape(len(drawn), numeric + 1), axis=0)
+    tree = _BlockTree.of(sample, depth, numeric, grouped=True)
+    cuts = spark.sparkContext.broadcast((tree.depth, tree.numeric, tree.dims, tree.cuts))
+
+    @F.arrow_udf(T.LongType())
+    def leaf_of(key: pa.Array) -> pa.Array:
+        return pa.array(_BlockTree(*cuts.value).leaf(_matrix(key, len(key))), pa.int64())
+
+    placed = cut_lineage(keyed.withColumn("leaf", leaf_of("key")))
+    boxes = _boxes(placed, numeric + 1)
+    leaves, sizes = boxes["leaf"].to_numpy(), boxes["size"].to_numpy().copy()
+    tree.enclose(leaves, _matrix(boxes["low"], len(boxes)), _matrix(boxes["high"], len(boxes)), sizes)
+    shared = spark.sparkContext.broadcast((tree.depth, tree.numeric, tree.dims, tree.cuts, tree.low, tree.high, tree.sizes))
+    # rows alike in z-scores and in the view's categories are at one distance: the first k do
+    placed, sizes = _thin_out(placed, leaves, sizes, 4 * rows_per_block, k, ["view", "z", _in_view()])
+    parts = np.maximum(1, -(-sizes // (8 * rows_per_block)))
+
+    def within_views(candidates: _Candidates, left: pa.Table, right: pa.Table) -> tuple[np.ndarray, ...]:
+        z, codes = _matrix(left["z"], len(left)), candidates.encode(left["cats"])
+        radius, views = _matrix(left["radius"], len(left)), left["view"].to_numpy()
+        theirs, found = right["o_view"].to_numpy(), []
+        for view in np.unique(views):
+            own, held = np.nonzero(views == view)[0], np.nonzero(theirs == view)[0]
+            query, target, place, near = search_view(
+                candidates.rows[held], candidates.z[held], candidates.codes[:, held], z[own], codes[:, own], radius[own], int(view), k
+            )
+            found.append((own[query], target, held[place], near))
+        return tuple(np.concatenate(part) for part in zip(*found))
+
+    def search(visits: DataFrame) -> DataFrame:
+        found = _search_blocks(visits, placed, (leaves, sizes, parts), categories, k, queries_per_block, ["view"], within_views)
+        return spark.createDataFrame([], _PARTIAL_SCHEMA) if found is None else found
+
+    # a radius less than the level, or of a target that the view shares, asks for nothing
+    asks = f"transform(radius, (r, t) -> IF((view & shiftleft(1, t)) != 0 OR r * r * (1.0D + 1e-9D) + 1e-9D < {level}, -1.0D, r))"
+
+    def viewed(queries: DataFrame) -> DataFrame:
+        seen = _in_views(queries, views).withColumn("radius", F.expr(asks))
+        return seen.where(F.exists("radius", lambda r: r >= 0))
+
+    best = search(viewed(queries).withColumn("leaf", leaf_of("key")))
+    best = cut_lineage(_top_k(best if before is None else best.unionByName(before), k).drop("rank"))
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        boxes = _BlockTree(*shared.value, grouped=True)
+        step = max(1, min(1024, CELLS_PER_STEP >> boxes.depth))  # even if every block is in reach
+        for batch in batches:
+            for low in range(0, len(batch), step):
+                piece = batch.slice(low, step)
+                keys, radius = _matrix(piece["key"], len(piece)), _matrix(piece["radius"], len(piece))
+                square = np.where(radius >= 0, radius * radius, 0.0).max(axis=1) - level
+                query, leaf, _ = boxes.within(keys, np.sqrt(np.maximum(square, 0.0) + 1e-9 * (1.0 + level)))
+                away = leaf != boxes.leaf(keys)[query]
+                kept = piece.select(["i", "z", "cats", "radius", "view"]).take(pa.array(query[away]))
+                yield kept.append_column("leaf", pa.array(leaf[away], pa.int64()))
+
+    # a fixed number of tasks: few bytes per query, but much work
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    nearer = queries.select("i", "z", "cats").repartition(tasks, "i").join(_reach(best, categories, k), "i", "left")
+    nearer = nearer.withColumn("radius", F.coalesce("radius", F.array(*[F.lit(float("inf"))] * categories)))
+    visits = viewed(nearer).select("i", "z", "cats", "radius", "view", "key").mapInArrow(route, _VIEW_SCHEMA)
+    found = search(cut_lineage(visits))
+    return cut_lineage(_top_k(best.unionByName(found), k).drop("rank"))
+
+
 def _by_blocks(
     seeds: DataFrame,
     originals: DataFrame,
@@ -444,14 +602,6 @@ def _by_blocks(
     # a block that is searched whole gives a query's k nearest at once
     best = cut_lineage(_top_k(best, k).drop("rank") if (parts > 1).any() else best)
 
-    def reach(best: DataFrame) -> DataFrame:
-        """The k-th distance per query and target so far, infinite while there are fewer."""
-        kth = [
-            F.when(F.count_if(F.col("target") == t) >= k, F.max(F.when(F.col("target") == t, F.col("distance"))))
-            for t in range(categories)
-        ]
-        return best.groupBy("i").agg(F.array(*[F.coalesce(r, F.lit(float("inf"))) for r in kth]).alias("radius"))
-
     def route(nearest: int | None):
         def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             boxes = _BlockTree(*shared.value)
@@ -467,7 +617,7 @@ def _by_blocks(
 
     def visits(best: DataFrame, nearby: DataFrame | None, nearest: int | None) -> DataFrame:
         # a fixed number of tasks: few bytes per query, but much work
-        queries = homes.repartition(tasks, "i").join(reach(best), "i", "left")
+        queries = homes.repartition(tasks, "i").join(_reach(best, categories, k), "i", "left")
         visited = F.array("leaf")
         if nearby is not None:
             queries = queries.join(nearby.groupBy("i").agg(F.collect_list("leaf").alias("nearby")), "i", "left")
@@ -504,7 +654,7 @@ def _boxes(placed: DataFrame, dims: int) -> pa.Table:
 
 
 def _thin_out(
-    placed: DataFrame, leaves: np.ndarray, sizes: np.ndarray, limit: int, k: int
+    placed: DataFrame, leaves: np.ndarray, sizes: np.ndarray, limit: int, k: int, alike: list[str | Column] | None = None
 ) -> tuple[DataFrame, np.ndarray]:
     """Keep the first k copies of equal rows, in the blocks that are far too large.
 
@@ -516,7 +666,7 @@ def _thin_out(
     if not large.any():
         return rows, sizes
     hot = F.broadcast(placed.sparkSession.createDataFrame(pa.table({"leaf": leaves[large]})))
-    thinned = cut_lineage(first_copies(rows.join(hot, "leaf", "left_semi"), k))
+    thinned = cut_lineage(first_copies(rows.join(hot, "leaf", "left_semi"), k, alike))
     left = thinned.groupBy("leaf").agg(F.count(F.lit(1)).alias("size")).toArrow()
     sizes[np.searchsorted(leaves, left["leaf"].to_numpy())] = left["size"].to_numpy()
     return rows.join(hot, "leaf", "left_anti").unionByName(thinned), sizes
@@ -529,14 +679,20 @@ def _search_blocks(
     categories: int,
     k: int,
     queries_per_block: int,
+    more: list[str] | None = None,
+    within: Callable[[_Candidates, pa.Table, pa.Table], tuple[np.ndarray, ...]] | None = None,
 ) -> DataFrame | None:
     """The k nearest per query inside each visited block; None when no block is visited.
 
+    ``within`` finds (query, target, candidate, distance) in a block in another way than by all
+    categories; it sees the ``more`` columns of both sides too.
+
     ``blocks`` gives leaf, size and number of parts of every block, in leaf order. A block with many
     rows is cut into parts, which all its queries visit; a block with many queries gets several
     chunks of queries, each with its own copy of the (bounded) part. Blocks nobody visits are
     dropped before the shuffle. The driver counts the queries per block: one row a block.
     """
+    more = more or []
     leaves, sizes, parts = blocks
     load = visits.groupBy("leaf").agg(F.count(F.lit(1)).alias("queries")).toArrow()
     asked, queries = load["leaf"].to_numpy(), load["queries"].to_numpy()
@@ -554,7 +710,7 @@ def _search_blocks(
         visits.join(plan, "leaf")
         .withColumn("chunk", F.pmod(F.xxhash64("i"), "chunks"))
         .withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
-        .select("i", "z", "cats", "radius", *_BLOCK_KEYS)
+        .select("i", "z", "cats", "radius", *more, *_BLOCK_KEYS)
         .repartition(tasks, *_BLOCK_KEYS)
     )
     rows = (
@@ -562,15 +718,18 @@ def _search_blocks(
         .withColumn("part", F.pmod(F.xxhash64(ROW_INDEX), "parts"))
         .withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
         # new names: both sides can descend from the same original columns
-        .select(*[F.col(c).alias(f"o_{c}") for c in (ROW_INDEX, "z", "cats")], *_BLOCK_KEYS)
+        .select(*[F.col(c).alias(f"o_{c}") for c in (ROW_INDEX, "z", "cats", *more)], *_BLOCK_KEYS)
         .repartition(tasks, *_BLOCK_KEYS)
     )
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         columns = right.select([f"o_{ROW_INDEX}", "o_z", "o_cats"]).rename_columns([ROW_INDEX, "z", "cats"])
         candidates = _Candidates.of(columns, categories)
-        z, codes = _matrix(left["z"], len(left)), candidates.encode(left["cats"])
-        query, target, _, place, near = _search(candidates, z, codes, k, _matrix(left["radius"], len(left)))
+        if within is not None:
+            query, target, place, near = within(candidates, left, right)
+        else:
+            z, codes = _matrix(left["z"], len(left)), candidates.encode(left["cats"])
+            query, target, _, place, near = _search(candidates, z, codes, k, _matrix(left["radius"], len(left)))
         return pa.table(
             {
                 "i": left["i"].combine_chunks().take(pa.array(query)),
