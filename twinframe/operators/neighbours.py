@@ -504,7 +504,7 @@ def _search_level(
     def within_views(candidates: _Candidates, left: pa.Table, right: pa.Table) -> tuple[np.ndarray, ...]:
         z, codes = _matrix(left["z"], len(left)), candidates.encode(left["cats"])
         radius, views = _matrix(left["radius"], len(left)), left["view"].to_numpy()
-        theirs, found = right["o_view"].to_numpy(), []
+        theirs, found = right["o_view"].to_numpy(), [tuple(_NOTHING[at] for at in (0, 1, 3, 4))]  # a part may have no queries
         for view in np.unique(views):
             own, held = np.nonzero(views == view)[0], np.nonzero(theirs == view)[0]
             query, target, place, near = search_view(
