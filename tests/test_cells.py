@@ -260,3 +260,18 @@ def test_one_text_per_instant(spark):
             assert {r.cell: r.text for r in df.select("cell", canonical_text(F.col("cell")).alias("text")).collect()} == cells
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
+
+
+@pytest.mark.parametrize("copies", [False, True])
+def test_row_index_of_float_keys_in_many_ranges(spark, copies):
+    values = [None, float("nan"), 0.0, *[n / 7 for n in range(-400, 400)]]
+    rows = [(v, n % 3) for n, v in enumerate(values)] * (2 if copies else 1)
+    made = with_row_index(spark.createDataFrame(rows, "v double, k long").repartition(5), ["v", "k"], 50)
+    unique = with_row_index(spark.createDataFrame([(*r, "x") for r in rows[: len(values)]], "v double, k long, other string"), ["v", "k"], 50)
+    for found, times in ((made, 2 if copies else 1), (unique, 1)):
+        ordered = [(r.v, r.k) for r in sorted(found.collect(), key=lambda r: r.row_idx)]
+        expected = sorted(rows[: len(values)], key=lambda r: (r[0] is not None, r[0] != r[0], r[0] if r[0] == r[0] else 0, r[1]))
+        assert list(map(repr, ordered)) == [repr(r) for r in expected for _ in range(times)]
+        assert sorted(r.row_idx for r in found.collect()) == list(range(len(expected) * times))
+    with pytest.raises(ValueError, match="not unique"):
+        with_row_index(spark.createDataFrame([(1.5, n) for n in range(2)], "v double, n long"), ["v"], 50)

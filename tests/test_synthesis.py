@@ -8,7 +8,7 @@ import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
 
-from twinframe.operators.neighbours import _Candidates, _search, feature_arrays, nearest_neighbours
+from twinframe.operators.neighbours import _Candidates, _gathered, _search, feature_arrays, nearest_neighbours
 from twinframe.plans.catalogue import CUSTOMER_COLUMNS, customers_with_gaps, table
 from twinframe.plans.synthesize import synthesize, table_facts
 
@@ -73,6 +73,21 @@ def test_same_neighbours_as_all_pairs(spark, monkeypatch, form, numeric, vocabul
     assert neighbour_rows(found) == expected
 
 
+@pytest.mark.parametrize("scanned", [True, False])
+@pytest.mark.parametrize("vocabulary", [[["a", "b", None], ["x", "y"], ["u", "v"]], [["a", None]] * 7])
+def test_few_queries_go_to_the_originals(spark, monkeypatch, scanned, vocabulary):
+    monkeypatch.setattr("twinframe.operators.neighbours.ROWS_PER_SCAN", 30)
+    monkeypatch.setattr("twinframe.operators.neighbours.MAX_SCANNED", 12 if scanned else 11)
+    rng = random.Random(5)
+    originals = random_points(spark, rng, 400, 2, vocabulary, "row_idx", 30)
+    seeds = random_points(spark, rng, 12, 2, vocabulary, "i", 3)
+    with monkeypatch.context() as small:
+        small.setattr("twinframe.operators.neighbours._gathered", lambda batches, rows: _gathered((b.slice(n, 7) for b in batches for n in range(0, len(b), 7)), rows))
+        found = nearest_neighbours(seeds, 12, originals, 2, len(vocabulary), strategy="blocked", rows_per_block=16)
+        assert ("FlatMapCoGroups" in found._jdf.queryExecution().toString()) != scanned
+        assert neighbour_rows(found) == brute_force(seeds.collect(), originals.collect(), len(vocabulary))
+
+
 @pytest.mark.parametrize("numeric, categories, window_from", [(1, 1, 50), (2, 2, 50), (3, 3, 50), (2, 1, 10**6)])
 def test_search_inside_a_task(numeric, categories, window_from):
     rng = np.random.default_rng(numeric)

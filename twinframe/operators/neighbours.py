@@ -9,8 +9,9 @@ Two physical forms give the same rows:
 
 * ``broadcast``: the original features fit a byte limit, checked by summing them up, and the pairs
   of rows a limit too; synthetic rows stay where they are.
-* ``blocked``: beyond the limits. Originals are cut into blocks of similar rows; every synthetic
-  row searches the block it falls in, and then only those whose bounding box is no further away
+* ``blocked``: beyond the limits. Up to ``MAX_SCANNED`` queries go to the originals: these are read
+  once, in blocks as they lie, and each task keeps the nearest of its blocks so far. For more
+  queries originals are cut into blocks of similar rows; every synthetic row searches the block it falls in, and then only those whose bounding box is no further away
   than its k-th neighbour so far. With up to ``MAX_VIEWED`` categories and many queries that is done once for
   every view (see ``views``) in reach, by blocks of equal categories; otherwise once over all categories,
   (with many blocks) with the nearest others in between. Where a block is hot, equal feature rows
@@ -46,6 +47,10 @@ BROADCAST_PAIRS = 500_000_000
 # up to as many categories have a view for each of their sets
 MAX_VIEWED = 6
 QUERIES_FOR_VIEWS = 8  # for one query in as many originals, at least
+# up to as many queries, of as many bytes, are broadcast to the originals where views don't pay
+MAX_SCANNED = 4096
+SCANNED_BYTES = 16 * 1024 * 1024
+ROWS_PER_SCAN = 65_536
 PAIRS_PER_TASK = 50_000_000
 CELLS_PER_STEP = 2_000_000
 
@@ -249,9 +254,9 @@ def nearest_neighbours(
     ``seeds`` holds ``i``, ``z`` and ``cats`` (of the seed row) next to any other columns;
     ``originals`` holds ``row_idx``, ``z`` and ``cats``.
     """
+    text = F.aggregate("cats", F.lit(0), lambda n, c: n + F.coalesce(F.octet_length(c), F.lit(0)))
+    width = 8 * (numeric + 1) + 12 * categories
     if strategy == "auto":
-        text = F.aggregate("cats", F.lit(0), lambda n, c: n + F.coalesce(F.octet_length(c), F.lit(0)))
-        width = 8 * (numeric + 1) + 12 * categories
         size = originals.agg(F.sum(text + width).alias("bytes"), F.count(F.lit(1)).alias("rows")).first()
         small = (size["bytes"] or 0) <= broadcast_bytes and size["rows"] * seed_count <= BROADCAST_PAIRS
         strategy = "broadcast" if small else "blocked"
@@ -260,9 +265,89 @@ def nearest_neighbours(
     # views pay for many queries; they hold the originals once per category and more
     if categories <= MAX_VIEWED and seed_count * QUERIES_FOR_VIEWS >= originals.count():
         return _by_views(seeds, originals, numeric, categories, k, rows_per_block, queries_per_block)
+    if seed_count <= MAX_SCANNED:
+        seeds = cut_lineage(seeds)
+        if (seeds.agg(F.sum(text + width)).first()[0] or 0) <= SCANNED_BYTES:
+            return _by_scan(seeds, originals, categories, k)
     return _by_blocks(seeds, originals, numeric, categories, k, rows_per_block, queries_per_block)
 
 
+def _by_scan(homes: DataFrame, originals: DataFrame, categories: int, k: int) -> DataFrame:
+    spark = homes.sparkSession
+    asked = homes.select("i", "z", "cats").toArrow().combine_chunks()
+    shared = spark.sparkContext.broadcast((asked["i"].to_numpy(), _matrix(asked["z"], len(asked)), asked["cats"]))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        i, z, cats = shared.value
+        radius = np.full((len(i), categories), np.inf)
+        # the nearest so far, in order of query and target: (query, target, distance, row), and the class
+        best, classes = tuple(np.empty(0, dtype=t) for t in (int, int, float, np.int64)), np.empty(0, dtype=object)
+        for block in _gathered(batches, ROWS_PER_SCAN):
+            candidates = _Candidates.of(block, categories)
+            # what is found for a level narrows the radius for the next
+            for query, target, place, near in _levels(candidates, z, candidates.encode(cats), k, radius):
+                words = candidates.texts(target, place).to_numpy(zero_copy_only=False)
+                found = (query, target, near, candidates.rows[place])
+                best, classes = tuple(map(np.concatenate, zip(best, found))), np.concatenate([classes, words])
+                order = np.lexsort((best[3], best[2], best[1], best[0]))
+                asks = best[0][order] * categories + best[1][order]
+                rank = np.arange(len(order)) - np.searchsorted(asks, asks)
+                kth = order[rank == k - 1]
+                radius[best[0][kth], best[1][kth]] = best[2][kth]
+                best, classes = tuple(x[order[rank < k]] for x in best), classes[order[rank < k]]
+        if len(classes):
+            query, target, near, row = best
+            arrays = [pa.array(i[query], pa.int64()), pa.array(target, pa.int32()), pa.array(near), pa.array(row, pa.int64()), pa.array(classes, pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["i", "target", "distance", ROW_INDEX, "class"])
+
+    found = originals.select(ROW_INDEX, "z", "cats").mapInArrow(search, _PARTIAL_SCHEMA)
+    entry = F.struct("target", "rank", ROW_INDEX, "distance", "class").cast(NEIGHBOUR_TYPE)
+    lists = _top_k(found, k).groupBy("i").agg(F.sort_array(F.collect_list(entry)).alias("neighbours"))
+    return homes.join(lists, "i", "left")
+
+
+def _levels(
+    candidates: _Candidates, z: np.ndarray, codes: np.ndarray, k: int, radius: np.ndarray
+) -> Iterator[tuple[np.ndarray, ...]]:
+    """(query, target, candidate, distance) of at least the k nearest within the radius, by the number of categories that differ.
+
+    The caller may narrow ``radius`` between the parts.
+    """
+    categories = len(codes)
+    if categories > MAX_VIEWED:
+        query, target, _, place, near = _search(candidates, z, codes, k, radius)
+        yield query, target, place, near
+        return
+    for level in range(categories):
+        asks = np.where(radius * radius * (1.0 + 1e-9) + 1e-9 >= level, radius, -1.0)
+        found = []
+        for shared in combinations(range(categories), categories - 1 - level):
+            wanted = asks.copy()
+            wanted[:, list(shared)] = -1.0
+            own = np.nonzero((wanted >= 0).any(axis=1))[0]
+            if len(own):
+                view = sum(1 << c for c in shared)
+                query, target, place, near = search_view(
+                    candidates.rows, candidates.z, candidates.codes, z[own], codes[:, own], wanted[own], view, k
+                )
+                found.append((own[query], target, place, near))
+        if found:
+            yield tuple(map(np.concatenate, zip(*found)))
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """The first batch, which gives a first radius, then tables of at least as many rows until the last."""
+    held, size, wanted = [], 0, 1
+    for batch in batches:
+        held.append(batch)
+        size += len(batch)
+        if size >= wanted:
+            yield pa.Table.from_batches(held)
+            held, size, wanted = [], 0, rows
+    if size:
+        yield pa.Table.from_batches(held)
+
+
 def _by_broadcast(seeds: DataFrame, seed_count: int, originals: DataFrame, categories: int, k: int) -> DataFrame:
     spark = seeds.sparkSession
     table = originals.select(ROW_INDEX, "z", "cats").toArrow()

@@ -52,16 +52,25 @@ def _sorted_ranges(rows: DataFrame, order_by: list[str], rows_per_range: int) ->
     cut = [c.alias(f"_cut{at}") for at, c in enumerate(_cut_key(rows, order_by))]
     cuts = [f"_cut{at}" for at in range(len(cut))]
     key = F.struct(*[F.col(n).alias(f"k{at}") for at, n in enumerate(names)])
-    # partitioned as the ranges are, so the window sorts each range and moves no row
-    in_range = Window.partitionBy(*cuts).orderBy(*names)
-    ordered = rows.select("*", *cut).repartitionByRange(ranges, *cuts).withColumn("_again", F.lag(key).over(in_range).eqNullSafe(key))
+    dealt = rows.select("*", *cut).repartitionByRange(ranges, *cuts)
+    floating = any("float" in kind or "double" in kind for kind in (rows.schema[c].dataType.simpleString() for c in order_by))
+    if floating:
+        # a window by these columns groups normalized numbers: it would shuffle again and lose the ranges' order
+        ordered = dealt.sortWithinPartitions(*names)
+    else:
+        # partitioned as the ranges are, so the window sorts each range and moves no row
+        in_range = Window.partitionBy(*cuts).orderBy(*names)
+        ordered = dealt.withColumn("_again", F.lag(key).over(in_range).eqNullSafe(key))
     placed = cut_lineage(ordered.drop(*cuts).withColumn("_place", F.monotonically_increasing_id()))
-    return placed.select(
-        *[f"`{c}`" for c in rows.columns],
-        "_again",
+    placed = placed.select(
+        *[f"`{c}`" for c in placed.columns[:-1]],
         F.shiftright("_place", _IN_RANGE).cast("int").alias("_range"),
         F.col("_place").bitwiseAND(F.lit((1 << _IN_RANGE) - 1)).alias("_within"),
     )
+    if floating:
+        in_range = Window.partitionBy("_range").orderBy("_within")
+        placed = placed.withColumn("_again", F.lag(key).over(in_range).eqNullSafe(key))
+    return placed
 
 
 def _offsets(sizes: DataFrame) -> DataFrame:
@@ -84,15 +93,22 @@ def with_row_index(df: DataFrame, order_by: list[str], rows_per_range: int = 100
     placed = _sorted_ranges(df, order_by, rows_per_range)
     if not placed.where("_again").isEmpty():
         raise ValueError(f"the key {order_by} is not unique: name a unique key, or all columns")
+    return _numbered(placed, df.columns)
+
+
+def _numbered(placed: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns with the index of each placed row, written."""
     offsets = _offsets(placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows")))
     index = (F.col("_offset") + F.col("_within")).cast("bigint").alias(ROW_INDEX)
-    return cut_lineage(placed.join(offsets, "_range").select(*[f"`{c}`" for c in df.columns], index))
+    return cut_lineage(placed.join(offsets, "_range").select(*[f"`{c}`" for c in columns], index))
 
 
 def _index_copies(rows: DataFrame, order_by: list[str], rows_per_range: int) -> DataFrame:
     names = [f"`{c}`" for c in rows.columns]
     groups = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("_copies"))
     placed = _sorted_ranges(cut_lineage(groups), list(dict.fromkeys(order_by)), rows_per_range)
+    if placed.where("_copies > 1").isEmpty():
+        return _numbered(placed, rows.columns)
     offsets = _offsets(placed.groupBy("_range").agg(F.sum("_copies").alias("_rows")))
     before = Window.partitionBy("_range").orderBy("_within").rowsBetween(Window.unboundedPreceding, -1)
     first = F.col("_offset") + F.coalesce(F.sum("_copies").over(before), F.lit(0))
