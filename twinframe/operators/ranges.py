@@ -100,7 +100,7 @@ def _numbered(placed: DataFrame, columns: list[str]) -> DataFrame:
     """The columns with the index of each placed row, written."""
     offsets = _offsets(placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows")))
     index = (F.col("_offset") + F.col("_within")).cast("bigint").alias(ROW_INDEX)
-    return cut_lineage(placed.join(offsets, "_range").select(*[f"`{c}`" for c in columns], index))
+    return cut_lineage(placed.join(F.broadcast(offsets), "_range").select(*[f"`{c}`" for c in columns], index))
 
 
 def _index_copies(rows: DataFrame, order_by: list[str], rows_per_range: int) -> DataFrame:
@@ -112,7 +112,7 @@ def _index_copies(rows: DataFrame, order_by: list[str], rows_per_range: int) ->
     offsets = _offsets(placed.groupBy("_range").agg(F.sum("_copies").alias("_rows")))
     before = Window.partitionBy("_range").orderBy("_within").rowsBetween(Window.unboundedPreceding, -1)
     first = F.col("_offset") + F.coalesce(F.sum("_copies").over(before), F.lit(0))
-    numbered = cut_lineage(placed.join(offsets, "_range").withColumn("_first", first).drop("_range", "_offset", "_within", "_again"))
+    numbered = cut_lineage(placed.join(F.broadcast(offsets), "_range").withColumn("_first", first).drop("_range", "_offset", "_within", "_again"))
 
     def multiplied(pieces: DataFrame) -> DataFrame:
         steps = F.sequence(F.col("_first"), F.col("_first") + F.col("_copies") - 1)
