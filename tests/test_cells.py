@@ -263,7 +263,10 @@ def test_one_text_per_instant(spark):
 
 
 @pytest.mark.parametrize("copies", [False, True])
-def test_row_index_of_float_keys_in_many_ranges(spark, copies):
+def test_row_index_of_float_keys_in_many_ranges(spark, copies, request):
+    # small partitions must not be merged into one, as large ones aren't
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled"))
     values = [None, float("nan"), 0.0, *[n / 7 for n in range(-400, 400)]]
     rows = [(v, n % 3) for n, v in enumerate(values)] * (2 if copies else 1)
     made = with_row_index(spark.createDataFrame(rows, "v double, k long").repartition(5), ["v", "k"], 50)
