@@ -8,7 +8,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from twinframe.operators.neighbours import _Candidates, _search
+from twinframe.operators import neighbours
+from twinframe.operators.neighbours import _Candidates, _search, nearest_neighbours
 from twinframe.operators.views import search_view
 
 
@@ -41,3 +42,26 @@ def test_views_together_hold_the_nearest(rows, numeric, categories):
         if len(kept) < k:
             kept.append(entry)
     assert sorted(e for kept in best.values() for e in kept) == wanted
+
+
+def test_a_wide_radius_is_its_own_querys_alone(spark, monkeypatch):
+    """A query that finds nothing close by looks everywhere; the others in its batch don't."""
+    visited = []
+
+    def counted(visits, *rest):
+        visited.append(visits.groupBy("i").count().collect())
+        return search_blocks(visits, *rest)
+
+    search_blocks = neighbours._search_blocks
+    monkeypatch.setattr(neighbours, "_search_blocks", counted)
+    rows = [(n, [n / 75], ["a", "x"]) for n in range(1500)]
+    # one query far off, whose k-th neighbour in its block is further away than most blocks
+    asked = [(n, [n / 10 + 0.001], ["a", "x"]) for n in range(200)] + [(200, [90.0], ["a", "x"])]
+    originals = spark.createDataFrame(rows, "row_idx bigint, z array<double>, cats array<string>")
+    seeds = spark.createDataFrame(asked, "i bigint, z array<double>, cats array<string>").coalesce(1)
+    forms = ({"strategy": "broadcast"}, {"strategy": "blocked", "rows_per_block": 32})
+    first, second = (nearest_neighbours(seeds, 201, originals, 1, 2, **form).orderBy("i").select("i", "neighbours").collect() for form in forms)
+    assert first == second
+    routed = {r["i"]: r["count"] for r in visited[1]}  # the second search goes beyond the own block
+    assert max(n for i, n in routed.items() if i < 200) <= 4
+    assert len(routed) < 100  # most have all neighbours in their own block

@@ -449,6 +449,20 @@ class _BlockTree:
             node = 2 * node + (keys[np.arange(len(keys)), self.dims[node]] > self.cuts[node])
         return node - (1 << self.depth)
 
+    def beyond(self, keys: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, leaf) where a leaf other than the query's own is within the query's one radius, in a grouped tree."""
+        node, margin = np.ones(len(keys), dtype=np.int64), np.full(len(keys), np.inf)
+        for _ in range(self.depth):
+            dim = self.dims[node]
+            gap = keys[np.arange(len(keys)), dim] - self.cuts[node]
+            margin = np.where(dim < self.numeric, np.minimum(margin, np.abs(gap)), margin)
+            node = 2 * node + (gap > 0)
+        # a radius that no cut on the way crosses stays in the own leaf
+        crossed = np.nonzero(radius * (1.0 + 1e-9) + 1e-9 >= margin)[0]
+        query, leaf, _ = self.within(keys[crossed], radius[crossed, None])
+        away = leaf != node[crossed][query] - (1 << self.depth)
+        return crossed[query[away]], leaf[away]
+
     def enclose(self, leaves: np.ndarray, low: np.ndarray, high: np.ndarray, sizes: np.ndarray) -> None:
         """Fill in bounding boxes: the leaves' own, and unions of both children above."""
         inner = 1 << self.depth
@@ -531,7 +545,7 @@ def _by_views(
                 break
         best = _search_level(queries, rows, views, level, numeric, categories, k, best, rows_per_block, queries_per_block)
     entry = F.struct("target", "rank", ROW_INDEX, "distance", "class").cast(NEIGHBOUR_TYPE)
-    lists = _top_k(best, k).groupBy("i").agg(F.sort_array(F.collect_list(entry)).alias("neighbours"))
+    lists = best.groupBy("i").agg(F.sort_array(F.collect_list(entry)).alias("neighbours"))
     return homes.join(lists, "i", "left")
 
 
@@ -556,7 +570,7 @@ def _search_level(
     rows_per_block: int,
     queries_per_block: int,
 ) -> DataFrame:
-    """The nearest rows that differ in ``level`` categories but the target, within each query's radius."""
+    """The nearest rows that differ in ``level`` categories but the target, within each query's radius, ranked with those ``before``."""
     spark = rows.sparkSession
     keyed = _in_views(rows, views)
     size = keyed.agg(
@@ -610,7 +624,10 @@ def _search_level(
         return seen.where(F.exists("radius", lambda r: r >= 0))
 
     best = search(viewed(queries).withColumn("leaf", leaf_of("key")))
-    best = cut_lineage(_top_k(best if before is None else best.unionByName(before), k).drop("rank"))
+    if before is not None:
+        best = best.unionByName(before.drop("rank"))
+    # on the first level a target has one view, and a block that is searched whole gives its k nearest at once
+    best = cut_lineage(best if before is None and not (parts > 1).any() else _top_k(best, k).drop("rank"))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         boxes = _BlockTree(*shared.value, grouped=True)
@@ -620,10 +637,9 @@ def _search_level(
                 piece = batch.slice(low, step)
                 keys, radius = _matrix(piece["key"], len(piece)), _matrix(piece["radius"], len(piece))
                 square = np.where(radius >= 0, radius * radius, 0.0).max(axis=1) - level
-                query, leaf, _ = boxes.within(keys, np.sqrt(np.maximum(square, 0.0) + 1e-9 * (1.0 + level)))
-                away = leaf != boxes.leaf(keys)[query]
-                kept = piece.select(["i", "z", "cats", "radius", "view"]).take(pa.array(query[away]))
-                yield kept.append_column("leaf", pa.array(leaf[away], pa.int64()))
+                query, leaf = boxes.beyond(keys, np.sqrt(np.maximum(square, 0.0) + 1e-9 * (1.0 + level)))
+                kept = piece.select(["i", "z", "cats", "radius", "view"]).take(pa.array(query))
+                yield kept.append_column("leaf", pa.array(leaf, pa.int64()))
 
     # a fixed number of tasks: few bytes per query, but much work
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -631,7 +647,7 @@ def _search_level(
     nearer = nearer.withColumn("radius", F.coalesce("radius", F.array(*[F.lit(float("inf"))] * categories)))
     visits = viewed(nearer).select("i", "z", "cats", "radius", "view", "key").mapInArrow(route, _VIEW_SCHEMA)
     found = search(cut_lineage(visits))
-    return cut_lineage(_top_k(best.unionByName(found), k).drop("rank"))
+    return cut_lineage(_top_k(best.unionByName(found), k))
 
 
 def _by_blocks(
