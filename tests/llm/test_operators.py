@@ -513,6 +513,19 @@ def test_repeats_are_cut_out(spark, documents, nothing, monkeypatch, few):
         assert suffix_dedup.removed_repeats(nothing).count() == 0
 
 
+def test_text_of_a_short_period_makes_few_rows(spark):
+    draw = random.Random(9)
+    edge = lambda: "".join(draw.choice("abcé ") for _ in range(draw.randint(0, 200)))
+    units = ["x", "ab cd ef ", prose(7, 8)[:60], prose(8, 30)[:150]]
+    rows = [(n, edge() + units[n % 4] * (3000 // len(units[n % 4])) + edge()) for n in range(24)]
+    rows += [(50, units[1] * 40 + edge() + units[1] * 40), (51, units[1] * 40), (52, units[1] * 40), (53, edge() + "y" * 101)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    texts = df.selectExpr("unhex(md5(cast(text AS binary))) AS digest", "text")
+    made = texts.join(suffix_dedup.anchor_pieces(texts, 100), "digest").groupBy("digest", F.octet_length("text").alias("size")).agg(F.count("*").alias("rows"), F.sum("weight").alias("anchors")).collect()
+    assert max(r.anchors for r in made) > 2500 and all(r["rows"] < r.size / 10 for r in made)
+    assert Counter(map(tuple, suffix_dedup.removed_repeats(df, 100).collect())) == brute_removal(rows, 100)
+
+
 def test_two_stage_sorting_finds_all_repeats():
     draw = random.Random(1)
     for _ in range(150):
